@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake import fixed_values as fv
+from flowlake.session import settle
 
 INF = float("inf")
 
@@ -68,9 +69,10 @@ def finite_max(df: DataFrame, columns: list[str], by: list[str] | None = None) -
 def clip_infinite(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Infinities become the group's largest finite value, then nulls and NaN become 0.
 
-    The maxima are one row per group of a small fixed set (datasets), so Spark may broadcast them.
+    The maxima are written first: Spark then knows their real size and broadcasts them only below its threshold.
     """
-    joined = df.join(finite_max(df, columns, by), by)
+    maxima = settle(finite_max(df, columns, by), "maxima")
+    joined = df.join(maxima, by) if by else df.crossJoin(F.broadcast(maxima))
     fixed = {c: F.coalesce(F.when(is_infinite(q(c)), q(f"max_{c}")).otherwise(finite(q(c))), F.lit(0.0))
              for c in columns}
     return joined.withColumns(fixed).drop(*[f"max_{c}" for c in columns])

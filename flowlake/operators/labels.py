@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake import fixed_values as fv
+from flowlake.session import settle
 
 
 def binary_label(attack: Column) -> Column:
@@ -40,9 +41,9 @@ def taxonomy(attack: Column, default: str | None = None) -> Column:
 
 
 def label_index(df: DataFrame, column: str, name: str = "label_idx") -> DataFrame:
-    """Dense index by sorted distinct text; the distinct labels are few, the join to rows is left to Spark."""
+    """Dense index by sorted distinct text, 0 for missing text; the index is written so its size is known."""
     distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    index = distinct.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1)
+    index = settle(distinct.withColumn(name, F.row_number().over(Window.orderBy(column)) - 1), "label-index")
     return df.join(index, column, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlake import fixed_values as fv
 from flowlake.operators.cleaning import clip_infinite, is_infinite, log_scale, number, port_buckets, q
 from flowlake.operators.labels import taxonomy
+from flowlake.session import settle
 
 EPS = 1e-8
 
@@ -15,14 +16,15 @@ EPS = 1e-8
 def fit_stats(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Long table (by..., ord, feature, mean, std, min, max, n): one aggregation pass over all columns.
 
-    ``std`` is the sample deviation.  Only the aggregate row is unpivoted, never the input.
+    ``std`` is the sample deviation.  Only the aggregate row is unpivoted, never the input.  The table is written:
+    fitting runs once, and joins to it are planned on its real size.
     """
     by = by or []
     wide = df.groupBy(*by).agg(*[F.struct(
         F.lit(i).alias("ord"), F.lit(c).alias("feature"), F.avg(q(c)).alias("mean"), F.stddev_samp(q(c)).alias("std"),
         F.min(q(c)).alias("min"), F.max(q(c)).alias("max"), F.count(q(c)).alias("n")).alias(f"s{i}")
         for i, c in enumerate(columns)])
-    return wide.select(*by, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
+    return settle(wide.select(*by, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))]))), "stats")
 
 
 def stats_as_columns(stats: DataFrame, by: list[str], columns: list[str], kinds: tuple[str, ...]) -> DataFrame:
@@ -32,9 +34,9 @@ def stats_as_columns(stats: DataFrame, by: list[str], columns: list[str], kinds:
 
 
 def apply_zscore(df: DataFrame, stats: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """``(x - mean) / (std + eps)``; stats are one row per dataset, which is a fixed small set."""
+    """``(x - mean) / (std + eps)`` with the statistics of the row's group."""
     by = by or []
-    wide = stats_as_columns(stats, by, columns, ("mean", "std"))
+    wide = settle(stats_as_columns(stats, by, columns, ("mean", "std")), "zscore")
     joined = df.join(wide, by) if by else df.crossJoin(F.broadcast(wide))
     scaled = {c: (q(c) - q(f"mean_{c}")) / (q(f"std_{c}") + EPS) for c in columns}
     return joined.withColumns(scaled).drop(*[f"{k}_{c}" for c in columns for k in ("mean", "std")])
@@ -43,7 +45,7 @@ def apply_zscore(df: DataFrame, stats: DataFrame, columns: list[str], by: list[s
 def apply_minmax(df: DataFrame, stats: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """``(x - min) / (max - min)``; a constant column divides by 1."""
     by = by or []
-    wide = stats_as_columns(stats, by, columns, ("min", "max"))
+    wide = settle(stats_as_columns(stats, by, columns, ("min", "max")), "minmax")
     joined = df.join(wide, by) if by else df.crossJoin(F.broadcast(wide))
 
     def scaled(c: str) -> Column:

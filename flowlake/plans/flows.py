@@ -276,9 +276,10 @@ for _name, _columns in CIC_VIEWS.items():
     _add_cic_view(_name, _columns)
 
 
-@query("cic_segments", CIC_SEG + "SELECT pkt_id, flow_key, seg, g AS gap_us, sg AS side_gap_us FROM seg")
+@query("cic_segments", CIC_SEG + "SELECT pkt_id, flow_key, seg, coalesce(g, -1) AS gap_us, coalesce(sg, -1) AS side_gap_us FROM seg")
 def cic_segments_query(spark, sf):
-    return cic.cic_segments(table(spark, sf, "packets")).select("pkt_id", "flow_key", "seg", "gap_us", "side_gap_us")
+    return cic.cic_segments(table(spark, sf, "packets")).select(
+        "pkt_id", "flow_key", "seg", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("gap_us", "side_gap_us")])
 
 
 @query("l7_port_guess", PK + f"SELECT pkt_id, {_guess_sql('dst_port', 'src_port', 'proto')} AS app_id FROM packets")
@@ -306,14 +307,15 @@ res AS (SELECT f.*, coalesce(CASE WHEN f.end_us - a.seen_us <= 600000000 THEN a.
   CASE WHEN f.end_us - b.seen_us <= 600000000 THEN b.app_id END) AS cached_app FROM fl f
  LEFT JOIN cache a ON a.src_ip = f.src_ip AND a.src_port = f.src_port AND a.dst_ip = f.dst_ip AND a.dst_port = f.dst_port AND a.proto = f.proto
  LEFT JOIN cache b ON b.src_ip = f.dst_ip AND b.src_port = f.dst_port AND b.dst_ip = f.src_ip AND b.dst_port = f.src_port AND b.proto = f.proto)
-""" + f"SELECT flow_id, cached_app, coalesce(nullif(cached_app, 0), {_guess_sql('dst_port', 'src_port', 'proto')}) AS l7_proto FROM res")
+""" + f"SELECT flow_id, coalesce(cached_app, -1) AS cached_app, coalesce(nullif(cached_app, 0), {_guess_sql('dst_port', 'src_port', 'proto')}) AS l7_proto FROM res")
 def l7_resolved(spark, sf):
     flows = nfv3_features.nfv3_record(nfv3_segments.segment_flows(table(spark, sf, "packets"))).select(
         "flow_id", F.col("IPV4_SRC_ADDR").alias("src_ip"), F.col("L4_SRC_PORT").alias("src_port"),
         F.col("IPV4_DST_ADDR").alias("dst_ip"), F.col("L4_DST_PORT").alias("dst_port"),
         F.col("PROTOCOL").alias("proto"),
         (F.col("FLOW_END_MILLISECONDS") * 1000).alias("end_us"))
-    return l7.resolve_apps(flows, l7.app_cache(table(spark, sf, "app_flows"))).select("flow_id", "cached_app", "l7_proto")
+    return l7.resolve_apps(flows, l7.app_cache(table(spark, sf, "app_flows"))).select(
+        "flow_id", F.coalesce("cached_app", F.lit(-1)).alias("cached_app"), "l7_proto")
 
 
 @query("flow_session_window", PK + ", " + KEYED + """, c AS (SELECT *, CASE WHEN p IS NULL OR ts_us - p >= 15000000 THEN 1 ELSE 0 END AS cut
