@@ -19,8 +19,8 @@ US = 1_000_000
 
 
 def cic_segments(packets: DataFrame, timeout_s: int = fv.CIC_TIMEOUT_S, hot_rows: int = 1_000_000) -> DataFrame:
-    """Packets with ``flow_key``, ``seg`` (1, 2, ... per key), ``gap_us`` (to the flow's previous packet) and
-    ``side_gap_us`` (to the previous packet of the same sender in the flow).
+    """Packets with ``flow_key``, ``seg`` (1, 2, ... per key), ``gap_us`` (to the flow's previous packet, null on its
+    first) and ``side_gap_us`` (to the previous packet of the same sender in the flow, null on that side's first).
 
     Keys above ``hot_rows`` packets are cut into time slots that carry the last packet and the count of cuts across.
     """
@@ -69,7 +69,7 @@ def cic_record(segmented: DataFrame) -> DataFrame:
     tcp = F.col("proto") == 6
     header = F.col("ip_ihl") * 4 + F.when(tcp, F.col("tcp_dataofs") * 4).otherwise(8)
     payload = F.greatest(F.lit(0), length - header)
-    at = F.struct("ts_us", "pkt_id")
+    opens, side_opens = F.col("gap_us").isNull(), F.col("side_gap_us").isNull()
     has = lambda mask: tcp & (F.col("tcp_flags").bitwiseAND(F.lit(mask)) != 0)
     four = ("Max", "Min", "Mean", "Std")
     secs = lambda c: c / F.lit(1e6)
@@ -77,7 +77,7 @@ def cic_record(segmented: DataFrame) -> DataFrame:
     idle = F.col("gap_us") > fv.CIC_IDLE_GAP_S * US
 
     shared = {
-        "first": F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "proto", "from_lo", "tcp_window"), at),
+        "lo_first": F.bool_or(opens & lo), "first_window": F.max(F.when(opens, F.col("tcp_window"))),
         "t0": F.min("ts_us"), "t1": F.max("ts_us"),
         **_stats("Pkt Len", length, ("Min", "Max", "Mean", "Std", "Var")), "tot_bytes": F.sum(length),
         **_stats("Flow IAT", gap, ("Mean", "Std", "Max", "Min")),
@@ -99,27 +99,29 @@ def cic_record(segmented: DataFrame) -> DataFrame:
             "Header": F.coalesce(F.sum(pick(header)), F.lit(0)),
             "Seg Avg": F.coalesce(F.avg(pick(payload)), F.lit(0.0)), "Seg Min": F.min(pick(payload)),
             "Data": F.count_if(mine & (payload > 0)),
-            "Win": F.coalesce(F.min_by(pick(F.col("tcp_window")), F.when(mine & tcp, at)), F.lit(0)),
+            "Win": F.coalesce(F.max(F.when(mine & tcp & side_opens, F.col("tcp_window"))), F.lit(0)),
         }
 
     lo_side, hi_side = sided(lo), sided(~lo)
-    grouped = segmented.groupBy("flow_key", "seg").agg(
+    ends = {f"{side}_{what}": F.when(lo == F.lit(side == "lo"), F.col(f"src_{what}")).otherwise(F.col(f"dst_{what}"))
+            for side in ("lo", "hi") for what in ("ip", "port")}
+    grouped = segmented.withColumns(ends).groupBy("flow_key", "seg", *ends, "proto").agg(
         *[e.alias(n) for n, e in shared.items()],
         F.struct(*[e.alias(n) for n, e in lo_side.items()]).alias("lo"),
         F.struct(*[e.alias(n) for n, e in hi_side.items()]).alias("hi"))
-    sides = grouped.withColumns({
-        "fwd": F.when(F.col("first.from_lo"), F.col("lo")).otherwise(F.col("hi")),
-        "bwd": F.when(F.col("first.from_lo"), F.col("hi")).otherwise(F.col("lo"))})
+    sides = grouped.withColumns({n: F.when(F.col("lo_first"), F.col(a)).otherwise(F.col(b)) for n, a, b in (
+        ("fwd", "lo", "hi"), ("bwd", "hi", "lo"), ("src_ip", "lo_ip", "hi_ip"), ("dst_ip", "hi_ip", "lo_ip"),
+        ("src_port", "lo_port", "hi_port"), ("dst_port", "hi_port", "lo_port"))})
     f, b = (lambda n: F.col("fwd")[n]), (lambda n: F.col("bwd")[n])
     took = F.greatest((F.col("t1") - F.col("t0")).cast("double"), F.lit(1.0))
     total = f("Pkts") + b("Pkts")
     rate = lambda c: c / took * F.lit(1e6)
     own = F.col
     out = {
-        "Flow ID": F.concat_ws("-", "first.src_ip", "first.dst_ip", own("first.src_port").cast("string"),
-                               own("first.dst_port").cast("string"), own("first.proto").cast("string")),
-        "Source IP": own("first.src_ip"), "Source Port": own("first.src_port"),
-        "Destination IP": own("first.dst_ip"), "Dst Port": own("first.dst_port"), "Protocol": own("first.proto"),
+        "Flow ID": F.concat_ws("-", "src_ip", "dst_ip", own("src_port").cast("string"),
+                               own("dst_port").cast("string"), own("proto").cast("string")),
+        "Source IP": own("src_ip"), "Source Port": own("src_port"),
+        "Destination IP": own("dst_ip"), "Dst Port": own("dst_port"), "Protocol": own("proto"),
         "Timestamp": secs(own("t0")), "Flow Duration": took,
         "Tot Fwd Pkts": f("Pkts"), "Tot Bwd Pkts": b("Pkts"),
         "TotLen Fwd Pkts": f("Bytes"), "TotLen Bwd Pkts": b("Bytes"),
@@ -141,7 +143,7 @@ def cic_record(segmented: DataFrame) -> DataFrame:
         **{f"{way} {n} Avg": F.lit(0) for way in ("Fwd", "Bwd") for n in ("Byts/b", "Pkts/b", "Blk Rate")},
         "Subflow Fwd Pkts": f("Pkts"), "Subflow Fwd Byts": f("Bytes"),
         "Subflow Bwd Pkts": b("Pkts"), "Subflow Bwd Byts": b("Bytes"),
-        "Init Fwd Win Byts": own("first.tcp_window"), "Init Bwd Win Byts": b("Win"),
+        "Init Fwd Win Byts": own("first_window"), "Init Bwd Win Byts": b("Win"),
         "Fwd Act Data Pkts": f("Data"), "Fwd Header Length.1": f("Header"), "Fwd Seg Size Min": f("Seg Min"),
         **{f"{n} {k}": own(f"{n} {k}") for n in ("Active", "Idle") for k in ("Mean", "Std", "Max", "Min")},
     }

@@ -43,18 +43,9 @@ def number(col: Column) -> Column:
     return col.try_cast("double")
 
 
-def is_finite(col: Column) -> Column:
-    """Null counts as not finite."""
-    return F.coalesce(~(F.isnan(col) | col.isin(INF, -INF)), F.lit(False))
-
-
 def finite(col: Column) -> Column:
-    """The value if finite, else null."""
-    return F.when(is_finite(col), col)
-
-
-def is_infinite(col: Column) -> Column:
-    return F.coalesce(col.isin(INF, -INF), F.lit(False))
+    """The value if finite, else null (NaN sorts above infinity, so one comparison covers both)."""
+    return F.when(F.abs(col) < INF, col)
 
 
 def zero_if_not_finite(col: Column) -> Column:
@@ -73,7 +64,8 @@ def clip_infinite(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame
     """
     maxima = settle(finite_max(df, columns, by), "maxima")
     joined = df.join(maxima, by) if by else df.crossJoin(F.broadcast(maxima))
-    fixed = {c: F.coalesce(F.when(is_infinite(q(c)), q(f"max_{c}")).otherwise(finite(q(c))), F.lit(0.0))
+    size = {c: F.abs(q(c)) for c in columns}
+    fixed = {c: F.coalesce(F.when(size[c] < INF, q(c)).when(size[c] == INF, q(f"max_{c}")), F.lit(0.0))
              for c in columns}
     return joined.withColumns(fixed).drop(*[f"max_{c}" for c in columns])
 

@@ -21,15 +21,10 @@ def flow_keys(packets: DataFrame) -> DataFrame:
     The smaller (ip, port) endpoint is the "lo" side; ``from_lo`` tells which side sent the packet.  One equality on
     ``flow_key`` replaces a forward-or-reverse lookup, so every later step shares one shuffle.
     """
-    src, dst = F.struct("src_ip", "src_port"), F.struct("dst_ip", "dst_port")
-    text = "concat({0}_ip, ':', {0}_port)"
-    src_text, dst_text = F.expr(text.format("src")), F.expr(text.format("dst"))
-    from_lo = src <= dst
-    return packets.filter(F.col("proto").isin(6, 17)).withColumns({
-        "from_lo": from_lo,
-        "flow_key": F.concat_ws("-", F.when(from_lo, src_text).otherwise(dst_text),
-                                F.when(from_lo, dst_text).otherwise(src_text), F.col("proto").cast("string")),
-    })
+    from_lo = F.expr("src_ip < dst_ip OR (src_ip = dst_ip AND src_port <= dst_port)")
+    src, dst = "concat(src_ip, ':', src_port)", "concat(dst_ip, ':', dst_port)"
+    key = f"CASE WHEN from_lo THEN concat_ws('-', {src}, {dst}, proto) ELSE concat_ws('-', {dst}, {src}, proto) END"
+    return packets.filter(F.col("proto").isin(6, 17)).withColumn("from_lo", from_lo).withColumn("flow_key", F.expr(key))
 
 
 def hot_keys(keyed: DataFrame, hot_rows: int) -> DataFrame | None:

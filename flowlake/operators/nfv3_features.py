@@ -19,19 +19,25 @@ def _sided(expr: Column, fwd: bool) -> Column:
 def nfv3_record(segmented: DataFrame) -> DataFrame:
     """All 53 columns of a flow record, plus ``flow_id``.
 
-    Lags and repeat marks are windows whose keys start with ``flow_key``, so on the ordinary segmentation path they
-    and the final aggregation reuse its one shuffle.  A flow spans at most the active timeout plus one gap, which
-    bounds each window.  ICMP and FTP columns are constant 0: only TCP and UDP packets form flows.
+    The windows' keys start with ``flow_key``, so on the ordinary segmentation path they and the final aggregation
+    reuse its one shuffle.  A flow spans at most the active timeout plus one gap, which bounds each window.  All
+    aggregation buffers are of fixed width, which keeps the aggregation hash-based.  DNS fields count on UDP port 53.
+    ICMP and FTP columns are constant 0: only TCP and UDP packets form flows.
     """
     order = ["ts_us", "pkt_id"]
-    same_way = Window.partitionBy("flow_key", "flow_id", "fwd").orderBy(*order)
+    flow = Window.partitionBy("flow_key", "flow_id").orderBy(*order)
+    earlier = flow.rowsBetween(Window.unboundedPreceding, -1)
     same_seq = Window.partitionBy("flow_key", "flow_id", "fwd", "tcp_seq", "payload_len").orderBy(*order)
     tcp = F.col("proto") == 6
-    pkts = segmented.withColumns({
-        "iat_ms": (F.col("ts_us") - F.lag("ts_us").over(same_way)) / F.lit(1000.0),
+    last_us = lambda fwd: F.last(_sided(F.col("ts_us"), fwd), ignorenulls=True).over(earlier)
+    pkts = segmented.withColumns({"at": F.row_number().over(flow), "last_fwd": last_us(True), "last_bwd": last_us(False)})
+    pkts = pkts.withColumns({
+        "iat_ms": (F.col("ts_us") - F.when(F.col("fwd"), F.col("last_fwd")).otherwise(F.col("last_bwd"))) / F.lit(1000.0),
         "again": tcp & (F.row_number().over(same_seq) > 1),
-        "at": F.struct(*order),
+        **{f"{who}_{what}": F.when(F.col("fwd") == F.lit(who == "client"), F.col(f"src_{what}"))
+           .otherwise(F.col(f"dst_{what}")) for who in ("client", "server") for what in ("ip", "port")},
     })
+    ends = ["client_ip", "client_port", "server_ip", "server_port", "proto"]
     zero = lambda c: F.coalesce(c, F.lit(0))
     size = F.col("ip_len")
     lows = [-1, *SIZE_EDGES[:-1]]
@@ -41,7 +47,6 @@ def nfv3_record(segmented: DataFrame) -> DataFrame:
                                 (F.max(_sided(F.col("ts_us"), fwd)) - F.min(_sided(F.col("ts_us"), fwd)))
                                 / F.lit(1000.0)).otherwise(0.0)
     aggs = {
-        "first": F.min_by(F.struct("src_ip", "src_port", "dst_ip", "dst_port", "proto"), "at"),
         "t0": F.min("ts_us"), "t1": F.max("ts_us"),
         "IN_BYTES": zero(F.sum(_sided(size, True))), "IN_PKTS": F.count_if("fwd"),
         "OUT_BYTES": zero(F.sum(_sided(size, False))), "OUT_PKTS": F.count_if(~F.col("fwd")),
@@ -66,16 +71,16 @@ def nfv3_record(segmented: DataFrame) -> DataFrame:
         gap = _sided(F.col("iat_ms"), fwd)
         aggs |= {f"{prefix}_IAT_MIN": zero(F.min(gap)), f"{prefix}_IAT_MAX": zero(F.max(gap)),
                  f"{prefix}_IAT_AVG": zero(F.avg(gap)), f"{prefix}_IAT_STDDEV": zero(F.stddev_pop(gap))}
-    flows = pkts.groupBy("flow_key", "flow_id").agg(*[e.alias(n) for n, e in aggs.items()])
+    flows = pkts.groupBy("flow_key", "flow_id", *ends).agg(*[e.alias(n) for n, e in aggs.items()])
 
     took = F.col("t1") - F.col("t0")
     rate = lambda amount: F.when(took > 0, amount / (took / F.lit(1e6))).otherwise(0.0)
     derived = {
         "FLOW_START_MILLISECONDS": F.floor(F.col("t0") / 1000), "FLOW_END_MILLISECONDS": F.floor(F.col("t1") / 1000),
-        "IPV4_SRC_ADDR": F.col("first.src_ip"), "L4_SRC_PORT": F.col("first.src_port"),
-        "IPV4_DST_ADDR": F.col("first.dst_ip"), "L4_DST_PORT": F.col("first.dst_port"),
-        "PROTOCOL": F.col("first.proto"),
-        "L7_PROTO": port_app_id(F.col("first.dst_port"), F.col("first.src_port"), F.col("first.proto")),
+        "IPV4_SRC_ADDR": F.col("client_ip"), "L4_SRC_PORT": F.col("client_port"),
+        "IPV4_DST_ADDR": F.col("server_ip"), "L4_DST_PORT": F.col("server_port"),
+        "PROTOCOL": F.col("proto"),
+        "L7_PROTO": port_app_id(F.col("server_port"), F.col("client_port"), F.col("proto")),
         "FLOW_DURATION_MILLISECONDS": took / F.lit(1000.0),
         "MIN_IP_PKT_LEN": F.col("SHORTEST_FLOW_PKT"), "MAX_IP_PKT_LEN": F.col("LONGEST_FLOW_PKT"),
         "SRC_TO_DST_SECOND_BYTES": rate(F.col("IN_BYTES")), "DST_TO_SRC_SECOND_BYTES": rate(F.col("OUT_BYTES")),

@@ -50,9 +50,10 @@ def mark_flags(keyed: DataFrame, rules: CloseRules) -> DataFrame:
 def gap_pieces(keyed: DataFrame, inactive_s: int = fv.INACTIVE_TIMEOUT_S) -> DataFrame:
     """Number the pieces of each key: a new one after a gap above ``inactive_s`` and after an RST."""
     w = Window.partitionBy("flow_key").orderBy("ts_us", "pkt_id")
-    prev = F.lag(F.struct("ts_us", "rst")).over(w)
-    cut = prev.isNull() | (F.col("ts_us") - prev["ts_us"] > inactive_s * US) | prev["rst"]
-    return keyed.withColumn("cut", cut.cast("int")).withColumn("piece", F.sum("cut").over(w)).drop("cut")
+    near = keyed.withColumns({"prev_us": F.lag("ts_us").over(w), "prev_rst": F.lag("rst").over(w)})
+    cut = F.col("prev_us").isNull() | (F.col("ts_us") - F.col("prev_us") > inactive_s * US) | F.col("prev_rst")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return near.withColumn("piece", F.sum(cut.cast("long")).over(upto)).drop("prev_us", "prev_rst")
 
 
 def segment_flows(packets: DataFrame, rules: CloseRules = CloseRules(), hot_rows: int = 200_000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake import fixed_values as fv
-from flowlake.operators.cleaning import clip_infinite, is_infinite, log_scale, number, port_buckets, q
+from flowlake.operators.cleaning import clip_infinite, log_scale, number, port_buckets, q
 from flowlake.operators.labels import taxonomy
 from flowlake.session import settle
 
@@ -74,7 +74,8 @@ def nfv3_clean(raw: DataFrame, by: list[str], keep: list[str] = ()) -> tuple[Dat
     df = df.drop(*drop)
     other = {*by, *keep, *[names[c] for c in ("LABEL", "ATTACK") if c in names]}
     features = [c for c in df.columns if c not in other]
-    df = df.withColumns({c: number(q(c)) for c in features})
+    text = {n for n, t in df.dtypes if t == "string"}
+    df = df.withColumns({c: number(q(c)) if c in text else q(c).cast("double") for c in features})
     df = clip_infinite(df, features, by)
     logs = [c for c in features if c.upper() in fv.LOG_COLUMNS]
     return df.withColumns({c: log_scale(q(c)) for c in logs}), features

@@ -13,6 +13,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",  # larger methods are never compiled by the JVM; run them unfused
     "spark.sql.legacy.javaCharsets": "true",  # CSV sets in windows-1252
 }
 
