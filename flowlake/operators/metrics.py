@@ -1,7 +1,8 @@
 """Quality metrics from predictions: confusion, F1 family, exact AUROC, recall per attack, protocol results.
 
 All metrics start from counts per (group, truth, prediction) or per (group, score), taken with partial aggregation, so
-the later steps see a few rows per group whatever the input size.
+the later steps see a few rows per group whatever the input size.  ``weight`` names a column of row counts, for input
+that is counted already.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.operators.ordered import running_totals
+from flowlake.session import settle
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -17,11 +19,16 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(part / whole)
 
 
-def confusion(df: DataFrame, truth: str, predicted: str, by: list[str] = ()) -> DataFrame:
+def tally(cond: Column, weight: str | None) -> Column:
+    """Rows that meet ``cond``, each counted ``weight`` times."""
+    return F.count_if(cond) if weight is None else F.coalesce(F.sum(F.when(cond, F.col(weight))), F.lit(0))
+
+
+def confusion(df: DataFrame, truth: str, predicted: str, by: list[str] = (), weight: str | None = None) -> DataFrame:
     """Binary counts tp, tn, fp, fn per group."""
     y, p = F.col(truth) == 1, F.col(predicted) == 1
-    return df.groupBy(*by).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & ~p).alias("tn"),
-                               F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"))
+    return df.groupBy(*by).agg(*[tally(c, weight).alias(n) for n, c in (
+        ("tp", y & p), ("tn", ~y & ~p), ("fp", ~y & p), ("fn", y & ~p))])
 
 
 def binary_metrics(counts: DataFrame) -> DataFrame:
@@ -32,9 +39,10 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
         "fpr": share(fp, fp + tn), "specificity": share(tn, tn + fp), "f1": share(2 * tp, 2 * tp + fp + fn)})
 
 
-def class_metrics(df: DataFrame, truth: str, predicted: str, by: list[str] = ()) -> DataFrame:
+def class_metrics(df: DataFrame, truth: str, predicted: str, by: list[str] = (), weight: str | None = None) -> DataFrame:
     """Precision, recall, F1, support per class seen in truth or prediction."""
-    pairs = df.groupBy(*by, F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
+    pairs = df.groupBy(*by, F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(
+        tally(F.lit(True), weight).alias("n"))
     sides = pairs.select(*by, "n", F.explode(F.array(
         F.struct(F.col("t").alias("cls"), F.lit(True).alias("true"), (F.col("t") == F.col("p")).alias("hit")),
         F.struct(F.col("p").alias("cls"), F.lit(False).alias("true"), F.lit(False).alias("hit")))).alias("s"))
@@ -56,7 +64,7 @@ def averaged_metrics(per_class: DataFrame, by: list[str] = ()) -> DataFrame:
         *[weighted(c) for c in ("precision", "recall", "f1")])
 
 
-def auroc(df: DataFrame, truth: str, score: str, by: list[str], bucket: Column) -> DataFrame:
+def auroc(df: DataFrame, truth: str, score: str, by: list[str], bucket: Column, weight: str | None = None) -> DataFrame:
     """Exact area under the ROC curve per group, ties counted half; 0 when a group has one class only.
 
     Rows are first counted per distinct score.  ``bucket`` must grow with the score; it cuts long score lists into
@@ -64,7 +72,7 @@ def auroc(df: DataFrame, truth: str, score: str, by: list[str], bucket: Column)
     """
     y = F.col(truth) == 1
     scores = df.groupBy(*by, bucket.alias("bucket"), F.col(score).alias("score")).agg(
-        F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
+        tally(y, weight).alias("pos"), tally(~y, weight).alias("neg"))
     below = running_totals(scores, by, "bucket", ["score"], {"neg_upto": F.col("neg")})
     won = F.col("pos") * (F.col("neg_upto") - F.col("neg") + F.col("neg") / 2)
     return below.groupBy(*by).agg(share(F.sum(won), F.sum("pos") * F.sum("neg")).alias("auroc"),
@@ -88,21 +96,23 @@ def recall_by(df: DataFrame, attack: str, truth: str, predicted: str) -> DataFra
 
 def protocol_rows(df: DataFrame, test_split: Column, adapted: DataFrame, shots: list[int]) -> DataFrame:
     """Rows per evaluation: a = test split of each dataset, b = whole held-out dataset, c = held-out rows not used for
-    adaptation, per shot count.  ``adapted`` holds (row_id, shots)."""
+    adaptation, per shot count.  ``adapted`` holds (row_id, shots), a few rows per dataset and class."""
     kinds = F.array_compact(F.array(
         F.when(test_split, F.struct(F.lit("a").alias("protocol"), F.lit(0).alias("shots"))),
         F.struct(F.lit("b").alias("protocol"), F.lit(0).alias("shots")),
         *[F.struct(F.lit("c").alias("protocol"), F.lit(n).alias("shots")) for n in shots]))
     rows = df.withColumn("__k", F.explode(kinds)).select(*df.columns, "__k.protocol", "__k.shots")
-    return rows.join(adapted.withColumn("protocol", F.lit("c")), ["row_id", "shots", "protocol"], "left_anti")
+    used = settle(adapted.withColumn("protocol", F.lit("c")), "adapted")
+    return rows.join(used, ["row_id", "shots", "protocol"], "left_anti")
 
 
 def protocol_results(rows: DataFrame, truth: str, predicted: str, score: str, bucket: Column) -> DataFrame:
-    """Accuracy, macro F1, AUROC and FPR per (protocol, dataset, shots)."""
+    """Accuracy, macro F1, AUROC and FPR per (protocol, dataset, shots), all from one count of the rows per score."""
     by = ["protocol", "dataset", "shots"]
-    macro = averaged_metrics(class_metrics(rows, truth, predicted, by), by).select(*by, "n", "accuracy", "f1_macro")
-    fpr = binary_metrics(confusion(rows, truth, predicted, by)).select(*by, "fpr")
-    return macro.join(fpr, by).join(auroc(rows, truth, score, by, bucket).select(*by, "auroc"), by)
+    counted = settle(rows.groupBy(*by, truth, predicted, score).agg(F.count("*").alias("n")), "counted")
+    macro = averaged_metrics(class_metrics(counted, truth, predicted, by, "n"), by).select(*by, "n", "accuracy", "f1_macro")
+    fpr = binary_metrics(confusion(counted, truth, predicted, by, "n")).select(*by, "fpr")
+    return macro.join(fpr, by).join(auroc(counted, truth, score, by, bucket, "n").select(*by, "auroc"), by)
 
 
 def comparison_table(results: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from flowlake import fixed_values as fv
-from flowlake.operators import cic, flow_keys, l7, nfv3_features, nfv3_segments
+from flowlake.operators import cic, flow_keys, l7, nfv3_features, nfv3_segments, sessions
 from flowlake.plans.derived import cte, table
 from flowlake.plans.registry import query, rounded
 
@@ -318,13 +318,10 @@ def l7_resolved(spark, sf):
         "flow_id", F.coalesce("cached_app", F.lit(-1)).alias("cached_app"), "l7_proto")
 
 
-@query("flow_session_window", PK + ", " + KEYED + """, c AS (SELECT *, CASE WHEN p IS NULL OR ts_us - p >= 15000000 THEN 1 ELSE 0 END AS cut
+@query("flow_session_window", PK + ", " + KEYED + """, c AS (SELECT *, CASE WHEN p IS NULL OR ts_us - p > 15000000 THEN 1 ELSE 0 END AS cut
  FROM (SELECT *, lag(ts_us) OVER (PARTITION BY flow_key ORDER BY ts_us, pkt_id) AS p FROM keyed) q),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY flow_key ORDER BY ts_us, pkt_id) AS n FROM c)
 SELECT flow_key, min(ts_us) AS start_us, max(ts_us) + 15000000 AS end_us, count(*) AS pkts, CAST(sum(ip_len) AS BIGINT) AS bytes
 FROM s GROUP BY flow_key, n""")
 def flow_session_window(spark, sf):
-    keyed = flow_keys.flow_keys(table(spark, sf, "packets")).withColumn("ts", F.timestamp_micros("ts_us"))
-    return keyed.groupBy("flow_key", F.session_window("ts", "15 seconds").alias("w")).agg(
-        F.count("*").alias("pkts"), F.sum("ip_len").alias("bytes")).select(
-        "flow_key", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "pkts", "bytes")
+    return sessions.idle_sessions(table(spark, sf, "packets"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowlake.operators import cic, nfv3_features, nfv3_segments
+from flowlake.operators import cic, nfv3_features, nfv3_segments, sessions
 from flowlake.operators.flow_keys import flow_keys
 from flowlake.operators.nfv3_segments import CloseRules
 from tests.packets import Capture
@@ -148,3 +148,8 @@ def test_one_shuffle_for_a_record(spark):
     packets = random_capture(7, 50).frame(spark)
     plan = nfv3_features.nfv3_record(nfv3_segments.segment_flows(packets))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_idle_sessions_with_and_without_slots(spark):
+    packets = random_capture(8).frame(spark)
+    assert sorted(sessions.idle_sessions(packets).collect()) == sorted(sessions.idle_sessions(packets, hot_rows=0).collect())
