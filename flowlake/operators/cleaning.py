@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake import fixed_values as fv
-from flowlake.session import settle
+from flowlake.session import settle, single_row
 
 INF = float("inf")
 
@@ -57,13 +57,20 @@ def finite_max(df: DataFrame, columns: list[str], by: list[str] | None = None) -
     return df.groupBy(*(by or [])).agg(*[F.max(finite(q(c))).alias(f"max_{c}") for c in columns])
 
 
+def attach(df: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
+    """Columns of a per-group table on every row; without ``by`` the table has one row."""
+    if by:
+        return df.join(values, by, "left")
+    held = df.withColumn("__row", single_row(values))
+    return held.withColumns({c: F.col("__row")[c] for c in values.columns}).drop("__row")
+
+
 def clip_infinite(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Infinities become the group's largest finite value, then nulls and NaN become 0.
 
     The maxima are written first: Spark then knows their real size and broadcasts them only below its threshold.
     """
-    maxima = settle(finite_max(df, columns, by), "maxima")
-    joined = df.join(maxima, by) if by else df.crossJoin(F.broadcast(maxima))
+    joined = attach(df, settle(finite_max(df, columns, by), "maxima"), by)
     size = {c: F.abs(q(c)) for c in columns}
     fixed = {c: F.coalesce(F.when(size[c] < INF, q(c)).when(size[c] == INF, q(f"max_{c}")), F.lit(0.0))
              for c in columns}
@@ -72,7 +79,7 @@ def clip_infinite(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame
 
 def fill_with_max(df: DataFrame, columns: list[str], maxima: DataFrame, by: list[str]) -> DataFrame:
     """Non-finite and missing values become the given maximum, or 0 where there is none."""
-    joined = df.join(maxima, by, "left") if by else df.crossJoin(F.broadcast(maxima))
+    joined = attach(df, maxima, by)
     fixed = {c: F.coalesce(finite(q(c)), q(f"max_{c}"), F.lit(0.0)) for c in columns}
     return joined.withColumns(fixed).drop(*[f"max_{c}" for c in columns])
 

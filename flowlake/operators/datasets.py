@@ -70,7 +70,7 @@ def class_balanced(df: DataFrame, label: str = "label", per_class: int = 100_000
     ``n`` is the largest class size, at most ``per_class``.  Adds ``epoch_pos`` within the class.
     """
     size = df.groupBy(label).count().agg(F.least(F.max("count"), F.lit(per_class)).alias("size"))
-    ranked = shuffled(df, [label], seed, total="n").crossJoin(F.broadcast(size)).filter("rn <= size")
+    ranked = shuffled(df, [label], seed, total="n").withColumn("size", size.scalar()).filter("rn <= size")
     repeats = F.floor((F.col("size") - F.col("rn")) / F.col("n")).cast("int")
     copies = ranked.withColumn("turn", F.explode(F.sequence(F.lit(0), repeats)))
     return copies.withColumn("epoch_pos", F.col("rn") + F.col("turn") * F.col("n")).drop("rn", "n", "size", "turn")

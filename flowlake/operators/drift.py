@@ -28,7 +28,7 @@ def histogram(df: DataFrame, features: list[str], edges: DataFrame) -> DataFrame
     features partial rows per task.
     """
     packed = edges.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("lo", "span", "bins")))).alias("__e"))
-    values = df.select(*features).crossJoin(F.broadcast(packed)).select("__e", F.explode(F.array(*[
+    values = df.select(packed.scalar().alias("__e"), *features).select("__e", F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("v"))
     e = F.element_at("__e", F.col("v.feature"))
     spot = (F.col("v.x") - e["lo"]) / e["span"]

@@ -173,7 +173,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
                                .otherwise(F.col(c)) for c in features})
     acc = model.transform(mixed).groupBy("feature").agg(
         F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"))
+    acc = settle(acc, "importance")
     base = acc.filter("feature = 'none'").select(F.col("accuracy").alias("base"))
-    return acc.filter("feature <> 'none'").crossJoin(F.broadcast(base)).select(
-        "feature", (F.col("base") - F.col("accuracy")).alias("importance"))
+    return acc.filter("feature <> 'none'").select("feature", (base.scalar() - F.col("accuracy")).alias("importance"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake import fixed_values as fv
-from flowlake.operators.cleaning import clip_infinite, log_scale, number, port_buckets, q
+from flowlake.operators.cleaning import attach, clip_infinite, log_scale, number, port_buckets, q
 from flowlake.operators.labels import taxonomy
 from flowlake.session import settle
 
@@ -36,8 +36,8 @@ def stats_as_columns(stats: DataFrame, by: list[str], columns: list[str], kinds:
 def apply_zscore(df: DataFrame, stats: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """``(x - mean) / (std + eps)`` with the statistics of the row's group."""
     by = by or []
-    wide = settle(stats_as_columns(stats, by, columns, ("mean", "std")), "zscore")
-    joined = df.join(wide, by) if by else df.crossJoin(F.broadcast(wide))
+    wide = stats_as_columns(stats, by, columns, ("mean", "std"))
+    joined = attach(df, wide, by)
     scaled = {c: (q(c) - q(f"mean_{c}")) / (q(f"std_{c}") + EPS) for c in columns}
     return joined.withColumns(scaled).drop(*[f"{k}_{c}" for c in columns for k in ("mean", "std")])
 
@@ -45,8 +45,8 @@ def apply_zscore(df: DataFrame, stats: DataFrame, columns: list[str], by: list[s
 def apply_minmax(df: DataFrame, stats: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """``(x - min) / (max - min)``; a constant column divides by 1."""
     by = by or []
-    wide = settle(stats_as_columns(stats, by, columns, ("min", "max")), "minmax")
-    joined = df.join(wide, by) if by else df.crossJoin(F.broadcast(wide))
+    wide = stats_as_columns(stats, by, columns, ("min", "max"))
+    joined = attach(df, wide, by)
 
     def scaled(c: str) -> Column:
         span = q(f"max_{c}") - q(f"min_{c}")

@@ -36,7 +36,7 @@ def match_rules(df: DataFrame, ip: str, rules: DataFrame, inline_limit: int = 50
     ranges = settle(rule_ranges(rules), "rules")
     if ranges.limit(inline_limit + 1).count() <= inline_limit:
         packed = ranges.agg(F.array_sort(F.collect_list(F.struct("rule", "lo", "hi"))).alias("__rules"))
-        held = df.withColumn("__ip", ip_hex(F.col(ip))).crossJoin(F.broadcast(packed))
+        held = df.withColumns({"__ip": ip_hex(F.col(ip)), "__rules": packed.scalar()})
         first = F.get(F.filter("__rules", lambda r: (r["lo"] <= F.col("__ip")) & (F.col("__ip") <= r["hi"])), F.lit(0))
         return held.withColumn("__hit", first["rule"]).withColumns(
             {"verdict": F.col("__hit.list_type"), "rule_id": F.col("__hit.id")}).drop("__ip", "__rules", "__hit")
@@ -48,7 +48,7 @@ def _match_by_prefix(addresses: DataFrame, ip: str, ranges: DataFrame) -> DataFr
     # at most 33 + 129 prefix lengths exist, so the one-row list is bounded
     lengths = ranges.select(F.substring("lo", 1, 1).alias("family"), "bits").distinct().agg(
         F.collect_list(F.struct("family", "bits")).alias("lengths"))
-    each = (addresses.withColumn("__ip", ip_hex(F.col(ip))).crossJoin(F.broadcast(lengths))
+    each = (addresses.select(ip, ip_hex(F.col(ip)).alias("__ip"), lengths.scalar().alias("lengths"))
             .select(ip, "__ip", F.explode("lengths").alias("l"))
             .filter(F.col("l.family") == F.substring("__ip", 1, 1))
             .select(ip, F.col("l.bits").alias("bits"), network(F.col("__ip"), F.col("l.bits")).alias("lo")))

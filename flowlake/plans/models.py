@@ -64,8 +64,8 @@ def anomaly_recon_error(spark, sf):
     model = learning.fit_reconstruction(benign, FEATURES, k=3)
     limit = learning.reconstruction_error(model, benign, len(FEATURES)).agg(
         F.percentile_approx("error", 0.95).alias("limit"))
-    scored = learning.reconstruction_error(model, df, len(FEATURES)).crossJoin(F.broadcast(limit))
-    return scored.select("row_id", "error", (F.col("error") > F.col("limit")).alias("flagged"))
+    scored = learning.reconstruction_error(model, df, len(FEATURES))
+    return scored.select("row_id", "error", (F.col("error") > limit.scalar()).alias("flagged"))
 
 
 @query("federated_rounds")

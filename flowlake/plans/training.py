@@ -61,8 +61,7 @@ def adaptation_sample(df):
     """1-in-20 rows with a numeric port and a 0/1 label; empty when only one class is present."""
     sample = datasets.every_nth(df).withColumn("dst_port", cleaning.number(F.col("l4_dst_port"))).filter(
         "dst_port is not null").withColumn("y", labels.binary_label(F.col("cic_label")))
-    classes = sample.agg((F.min("y") != F.max("y")).alias("both"))
-    return sample.join(F.broadcast(classes.filter("both")), how="cross").drop("both")
+    return sample.filter(sample.agg(F.min("y") != F.max("y")).scalar())
 
 
 @query("rf_adapt_sample", RF_SAMPLE_SQL)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators rely on; sizes (shuffle partitions, memory) belong to the cluster.
 SESSION_CONF = {
@@ -44,3 +45,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def single_row(df: DataFrame) -> Column:
+    """The row of a one-row table (a global aggregate) as a struct: a scalar subquery, so no join is planned."""
+    return df.select(F.struct("*")).scalar()
