@@ -55,8 +55,6 @@ def send_heartbeat(spark, sf, schema, folder):
 def stream_flows(spark, sf):
     packets = stream_table(spark, sf, "packets")
     beat, path = new_path(spark, "heartbeat"), new_path(spark, "stream-flows")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     tagged = sfl.tagged_packets(with_heartbeat(spark, packets, beat))
     checkpoint = drain(tagged, sfl.flow_sink(path))
     send_heartbeat(spark, sf, packets.schema, beat)

@@ -5,7 +5,8 @@ Every sink writes a micro-batch under its batch id, so a batch that is run again
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,13 +22,30 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_file
     return reader.parquet(folder)
 
 
+@contextmanager
+def state_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings a stateful stream fixes at its first start: RocksDB state, one partition per core of the cluster."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass":
+              "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
           checkpoint: str | None = None) -> str:
     """Run the stream over all available input and stop; returns the checkpoint folder, to go on later."""
     checkpoint = checkpoint or new_path(stream.sparkSession, "stream-checkpoint")
-    run = (stream.writeStream.foreachBatch(each).outputMode(mode).trigger(availableNow=True)
-           .option("checkpointLocation", checkpoint).start())
-    run.awaitTermination()
+    with state_settings(stream.sparkSession):
+        run = (stream.writeStream.foreachBatch(each).outputMode(mode).trigger(availableNow=True)
+               .option("checkpointLocation", checkpoint).start())
+        run.awaitTermination()
     return checkpoint
 
 

@@ -21,8 +21,6 @@ def feed(df, folder, parts, order):
 
 
 def test_flows_over_several_batches_equal_batch_flows(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     packets = random_capture(11, 300).frame(spark)
     folder, path = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([], packets.schema).write.parquet(folder)
