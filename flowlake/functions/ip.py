@@ -6,7 +6,7 @@ null.  Everything is built from Spark functions, so no Python runs per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 QUAD = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}"
@@ -71,3 +71,14 @@ def cidr_range(cidr: Column) -> Column:
         (F.length(address) - 2) * 4)
     return F.struct(_nibble_mask(address, bits, True).alias("lo"), _nibble_mask(address, bits, False).alias("hi"),
                     bits.alias("bits"))
+
+
+def register(spark: SparkSession) -> None:
+    """IPv4 helpers as temporary SQL functions: ``ip_to_long``, ``cidr_lo``, ``cidr_hi``; bad text gives null."""
+    octet = "IF(try_cast(x AS INT) BETWEEN 0 AND 255, try_cast(x AS INT), NULL)"
+    free = "shiftleft(1L, 32 - coalesce(try_cast(get(split(cidr, '/'), 1) AS INT), 32))"
+    low = f"ip_to_long(split(cidr, '/')[0]) DIV {free} * {free}"
+    for name, arg, body in (
+            ("ip_to_long", "ip", f"IF(size(split(ip, '[.]')) = 4, aggregate(split(ip, '[.]'), 0L, (a, x) -> a * 256L + {octet}), NULL)"),
+            ("cidr_lo", "cidr", low), ("cidr_hi", "cidr", f"{low} + {free} - 1")):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arg} STRING) RETURNS BIGINT RETURN {body}")

@@ -99,3 +99,8 @@ def null_shares(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = lambda c: F.avg((q(c).isNull() | F.isnan(q(c))).cast("double")).alias(c)
     one = df.agg(*[missing(c) for c in columns])
     return one.unpivot([], columns, "feature", "share")
+
+
+def flag_sparse(df: DataFrame, columns: list[str], max_share: float = 0.05) -> DataFrame:
+    """Null shares with ``flagged`` for columns above ``max_share``."""
+    return null_shares(df, columns).withColumn("flagged", F.col("share") > max_share)

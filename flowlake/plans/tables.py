@@ -45,16 +45,18 @@ def _csv_folder(spark, sf):
     return path
 
 
-@query("scan_dir_limit_per_file", RF + """SELECT dataset, count(*) AS n_rows, min(row_id) AS first_id FROM (
- SELECT dataset, row_id, row_number() OVER (PARTITION BY dataset ORDER BY row_id) AS rn FROM raw_flows) q
-WHERE rn <= 100 GROUP BY dataset""")
+@query("scan_dir_limit_per_file", RF + """SELECT dataset, part, count(*) AS n_rows, min(row_id) AS first_id, max(row_id) AS last_id FROM (
+ SELECT dataset, row_id // 16 % 16 AS part, row_id, row_number() OVER (PARTITION BY dataset, row_id // 16 % 16 ORDER BY row_id) AS rn FROM raw_flows) q
+WHERE rn <= 100 GROUP BY dataset, part""")
 def scan_dir_limit_per_file(spark, sf):
     path = new_path(spark, "csv-dir")
-    (raw_flows(spark, sf).repartition(4, "dataset").sortWithinPartitions("dataset", "row_id")
-     .write.options(**files.CSV_OPTIONS).partitionBy("dataset").csv(path))
+    parted = raw_flows(spark, sf).withColumn("part", F.expr("row_id DIV 16 % 16"))
+    (parted.repartition("dataset", "part").sortWithinPartitions("dataset", "part", "row_id")
+     .write.options(**files.CSV_OPTIONS).partitionBy("dataset", "part").csv(path))
     df = files.scan_csv_dir(spark, path, RAW_SCHEMA, limit=100)
-    return df.groupBy(F.regexp_extract("file", "dataset=([^/]+)", 1).alias("dataset")).agg(
-        F.count("*").alias("n_rows"), F.min("row_id").alias("first_id"))
+    return df.groupBy(F.regexp_extract("file", "dataset=([^/]+)", 1).alias("dataset"),
+                      F.regexp_extract("file", "part=([^/]+)", 1).cast("long").alias("part")).agg(
+        F.count("*").alias("n_rows"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))
 
 
 @query("schema_compat_report", """SELECT coalesce(a.column_name, b.column_name) AS column_name,
@@ -150,8 +152,7 @@ def log1p_features(spark, sf):
     f"avg(CASE WHEN {c} IS NULL OR isnan({c}) THEN 1 ELSE 0 END) > 0.005 AS flagged FROM raw_flows"
     for i, c in enumerate(NUMERIC)))
 def nan_ratio_flags(spark, sf):
-    shares = cleaning.null_shares(raw_flows(spark, sf).select(*NUMERIC), NUMERIC)
-    return rounded(shares.withColumn("flagged", F.col("share") > 0.005))
+    return rounded(cleaning.flag_sparse(raw_flows(spark, sf), NUMERIC, max_share=0.005))
 
 
 CIC_SHORT = ["Dst Port", "Tot Fwd Pkts", "Tot Bwd Pkts", "Flow Byts/s", "Flow Pkts/s"]

@@ -1,6 +1,6 @@
 """Flow assembly over a stream of packets.
 
-State per flow key: the open flow's close signals and its packets, at most the active timeout plus one gap.  Packets
+State per flow key: the packets of its open flow, at most the active timeout plus one gap.  Packets
 of one call are taken in (ts_us, pkt_id) order under the same rules as the batch segmentation; an event-time timer
 closes a flow that stays silent.  Closed flows leave as tagged packets, which each micro-batch turns into records with
 the batch code.  Packets later than the watermark are dropped.
@@ -8,6 +8,7 @@ the batch code.  Packets later than the watermark are dropped.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,71 +21,80 @@ from flowlake.operators.flow_keys import flow_keys
 from flowlake.operators.nfv3_features import nfv3_record
 from flowlake.operators.nfv3_segments import US, CloseRules, mark_flags
 
-SIGNALS = "flow_id long, lo0 boolean, t0 long, last long, fin_lo boolean, fin_hi boolean, deadline long"
+class OpenFlow:
+    """Close signals of one flow, advanced packet by packet."""
 
+    def __init__(self, first):
+        self.flow_id, self.lo0, self.t0, self.last = first.pkt_id, first.from_lo, first.ts_us, first.ts_us
+        self.fins, self.deadline = set(), None
 
-def advance(state: tuple | None, p, rules: CloseRules) -> tuple[tuple | None, bool, bool]:
-    """One packet: (state of its flow or None if dropped, whether it starts a flow, whether the flow closes)."""
-    go_on = state is not None and p.ts_us - state[3] <= rules.inactive_s * US
-    if not go_on and not p.may_start:
-        return None, False, False
-    flow_id, lo0, t0, _, fin_lo, fin_hi, deadline = state if go_on else (
-        p.pkt_id, p.from_lo, p.ts_us, p.ts_us, False, False, -1)
-    fin_lo, fin_hi = fin_lo or (p.fin and p.from_lo), fin_hi or (p.fin and not p.from_lo)
-    closes = (p.rst or p.ts_us - t0 > rules.active_s * US or (deadline >= 0 and p.ts_us > deadline)
-              or (fin_lo and fin_hi))
-    if p.fin and deadline < 0:
-        deadline = p.ts_us + rules.fin_grace_s * US
-    new = (int(flow_id), bool(lo0), int(t0), int(p.ts_us), bool(fin_lo), bool(fin_hi), int(deadline))
-    return new, not go_on, bool(closes)
+    def include(self, p, rules: CloseRules) -> bool:
+        """Add a packet; True when the flow closes after it."""
+        late = self.deadline is not None and p.ts_us > self.deadline
+        self.last = p.ts_us
+        if p.fin:
+            self.fins.add(p.from_lo)
+            if self.deadline is None:
+                self.deadline = p.ts_us + rules.fin_grace_s * US
+        return bool(p.rst or late or p.ts_us - self.t0 > rules.active_s * US or len(self.fins) == 2)
 
 
 class FlowAssembler(StatefulProcessor):
+    """Holds the packets of the key's open flow; its signals follow from them, so they are the only state."""
+
     def __init__(self, packet_schema: T.StructType, rules: CloseRules):
-        self.packet_schema, self.rules = packet_schema, rules
+        self.names, self.packet_schema, self.rules = packet_schema.names, packet_schema, rules
+        self.row = namedtuple("Packet", self.names)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.signals = handle.getValueState("signals", SIGNALS)
         self.packets = handle.getListState("packets", self.packet_schema)
 
-    def _tagged(self, key: str, state: tuple, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.packet_schema.names)
-        out["flow_key"], out["flow_id"] = key, state[0]
-        out["fwd"] = out["from_lo"] == state[1]
-        return out
+    def _held(self) -> tuple[OpenFlow | None, list]:
+        rows = [self.row(*r) for r in self.packets.get()]
+        flow = OpenFlow(rows[0]) if rows else None
+        for p in rows:
+            flow.include(p, self.rules)
+        return flow, rows
+
+    def _tagged(self, key: str, closed: list[tuple[OpenFlow, list]]) -> pd.DataFrame:
+        """Packets of closed flows, with the columns the batch segmentation adds."""
+        out = pd.DataFrame([(*p, key, flow.flow_id, p.from_lo == flow.lo0) for flow, rows in closed for p in rows],
+                           columns=[*self.names, "flow_key", "flow_id", "fwd"])
+        return out.drop(columns=["fin", "rst", "may_start"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts_us", "pkt_id"])
-        state = tuple(self.signals.get()) if self.signals.exists() else None
-        held = [tuple(r) for r in self.packets.get()] if state else []
-        names = self.packet_schema.names
-        for p in batch.itertuples(index=False):
-            new, starts, closes = advance(state, p, self.rules)
-            if state is not None and (new is None or starts):
-                yield self._tagged(key[0], state, held)
-                held = []
-            if new is not None:
-                held.append(tuple(getattr(p, n) for n in names))
-            if closes:
-                yield self._tagged(key[0], new, held)
-                new, held = None, []
-            state = new
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if state is None:
-            self.signals.clear()
-            self.packets.clear()
+        fresh = sorted((self.row(*p) for pdf in rows for p in zip(*[pdf[n].tolist() for n in self.names])),
+                       key=lambda p: (p.ts_us, p.pkt_id))
+        flow, held = self._held()
+        closed = []
+        for p in fresh:
+            if flow and p.ts_us - flow.last > self.rules.inactive_s * US:
+                closed.append((flow, held))
+                flow, held = None, []
+            if flow is None and p.may_start:
+                flow = OpenFlow(p)
+            if flow:
+                held.append(p)
+                if flow.include(p, self.rules):
+                    closed.append((flow, held))
+                    flow, held = None, []
+        if flow:
+            self.packets.put([tuple(p) for p in held])
+            self.handle.registerTimer(self._silent_ms(flow))
         else:
-            self.signals.update(state)
-            self.packets.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in held])
-            self.handle.registerTimer((state[3] + self.rules.inactive_s * US) // 1000 + 1)
+            self.packets.clear()
+        if closed:
+            yield self._tagged(key[0], closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.signals.exists():
-            yield self._tagged(key[0], tuple(self.signals.get()), [tuple(r) for r in self.packets.get()])
-            self.signals.clear()
+        flow, held = self._held()
+        if flow and self._silent_ms(flow) <= expiredTimerInfo.getExpiryTimeInMs():  # else a later packet set a later timer
             self.packets.clear()
+            yield self._tagged(key[0], [(flow, held)])
+
+    def _silent_ms(self, flow: OpenFlow) -> int:
+        return (flow.last + self.rules.inactive_s * US) // 1000 + 1
 
     def close(self) -> None:
         pass
@@ -93,9 +103,8 @@ class FlowAssembler(StatefulProcessor):
 def tagged_packets(packets: DataFrame, rules: CloseRules = CloseRules(), late_s: int = 30) -> DataFrame:
     """Packets of closed flows, tagged as the batch segmentation tags them."""
     marked = mark_flags(flow_keys(packets), rules).withColumn("ts", F.timestamp_micros("ts_us"))
-    kept = T.StructType([T.StructField(f.name, f.dataType) for f in marked.schema
-                         if f.name not in ("flow_key", "fin", "rst", "may_start", "ts")])
-    out = T.StructType([*kept.fields, T.StructField("flow_key", T.StringType()),
+    kept = T.StructType([T.StructField(f.name, f.dataType) for f in marked.schema if f.name not in ("flow_key", "ts")])
+    out = T.StructType([*[f for f in kept if f.name not in ("fin", "rst", "may_start")], T.StructField("flow_key", T.StringType()),
                         T.StructField("flow_id", T.LongType()), T.StructField("fwd", T.BooleanType())])
     return (marked.withWatermark("ts", f"{late_s} seconds").groupBy("flow_key")
             .transformWithStateInPandas(FlowAssembler(kept, rules), outputStructType=out, outputMode="Append",

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from flowlake.functions.ip import cidr_range, ip_hex
+from flowlake.functions.ip import cidr_range, ip_hex, register
 from flowlake.operators import alerts, datasets, drift, metrics, rules, scoring
 
 
@@ -43,6 +43,14 @@ def test_cidr_bounds(spark):
             assert None in got[c], c
 
 
+def test_sql_functions(spark):
+    register(spark)
+    row = spark.sql("SELECT ip_to_long('10.0.0.1') a, ip_to_long('10.0.0.999') b, ip_to_long('x') c, cidr_lo('10.0.0.77/25') d, "
+                    "cidr_hi('10.0.0.77/25') e, cidr_hi('10.9.8.7') f").first()
+    ten = 10 << 24
+    assert tuple(row) == (ten + 1, None, None, ten, ten + 127, ten + (9 << 16) + (8 << 8) + 7)
+
+
 @pytest.mark.parametrize("inline_limit", [500, 0])
 def test_rule_match_both_ways(spark, inline_limit):
     rng = random.Random(3)
