@@ -126,7 +126,7 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = 600, pieces: int
 
     Rows without text, without a letter or without language teach nothing; without any there is no language to name.
     """
-    usable = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).rlike(r"\\p{L}")).select(doc_id, text, lang)
+    usable = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(doc_id, text, lang)
     key = F.xxhash64(doc_id)
     first = usable.withColumn("place", F.row_number().over(Window.partitionBy(lang).orderBy(key, doc_id)))
     n, length = F.length(text), shape.window

@@ -62,7 +62,7 @@ _KINDS = [("assign", _ASSIGN, 6), ("access", r"(AKIA[A-Z0-9]+)", 20), ("hex", r"
 def _spans(at: int, kind: str, pattern: str, least: int) -> str:
     """All matches of one kind: gaps and matches in turn, whose summed lengths are the places."""
     return f"""
-SELECT doc_id, {at} AS at, '{kind}' AS kind, CAST(list_sum(list_transform(full_[1:i], lambda x: length(x))) AS BIGINT) AS e,
+SELECT doc_id, {at} AS place, '{kind}' AS kind, CAST(list_sum(list_transform(full_[1:i], lambda x: length(x))) AS BIGINT) AS e,
        length(whole[i]) AS m FROM (
   SELECT doc_id, full_, whole, part, unnest(range(1, len(full_) + 1)) AS i FROM (
     SELECT doc_id, regexp_extract_all(body, '((?s:.*?))({pattern})', 0) AS full_,
@@ -73,10 +73,10 @@ SELECT doc_id, {at} AS at, '{kind}' AS kind, CAST(list_sum(list_transform(full_[
 
 SECRET_SCAN = f"""
 WITH m AS ({" UNION ALL ".join(_spans(i, *k) for i, k in enumerate(_KINDS))}),
-t AS (SELECT doc_id, at, kind, e - m AS s, kind || ':' || (e - m) || ':' || e AS txt FROM m),
+t AS (SELECT doc_id, place, kind, e - m AS s, kind || ':' || (e - m) || ':' || e AS txt FROM m),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k,
-             count(*) FILTER (kind = 'hex') AS h, string_agg(txt, ',' ORDER BY s, at) FILTER (at < 3) AS base,
-             string_agg(txt, ',' ORDER BY s, at) AS spans FROM t GROUP BY doc_id)
+             count(*) FILTER (kind = 'hex') AS h, string_agg(txt, ',' ORDER BY s, place) FILTER (place < 3) AS base,
+             string_agg(txt, ',' ORDER BY s, place) AS spans FROM t GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
