@@ -8,13 +8,16 @@ findings back to all paths and versions that hold the blob.  Column expressions
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import sha256
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPAN = "struct<rule:string,start:bigint,end:bigint>"
-LEDGER_SCHEMA = f"blob binary, scanned array<string>, found array<{SPAN}>"
+LEDGER_COLUMNS = {"blob": "binary", "scanned": "array<string>", "found": f"array<{SPAN}>"}
+LEDGER_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in LEDGER_COLUMNS.items())
 
 
 @dataclass(frozen=True)
@@ -24,6 +27,8 @@ class Rule:
     kind: str
     pattern: str
     least: int = 1
+    words: tuple[str, ...] = ()  # any match holds one of these, in either case if ``folded``; none: look for the pattern
+    folded: bool = False
 
     @property
     def version(self) -> str:
@@ -33,13 +38,14 @@ class Rule:
 # Kinds, in the order in which spans of one start are listed, and their patterns.
 BASE_RULES = (
     Rule("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|"""
-                   r"""[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
-    Rule("access", r"(AKIA[A-Z0-9]{16,})"),
+                   r"""[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6,
+         ("password", "passwd", "secret", "token", "apikey", "api_key"), True),
+    Rule("access", r"(AKIA[A-Z0-9]{16,})", 1, ("AKIA",)),
     Rule("hex", r"([0-9a-f]{24,})"),
 )
 EXTRA_RULES = (
-    Rule("pem", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)"),
-    Rule("forge", r"(gh[pousr]_[A-Za-z0-9]{36,})"),
+    Rule("pem", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, ("PRIVATE KEY-----",)),
+    Rule("forge", r"(gh[pousr]_[A-Za-z0-9]{36,})", 1, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
 )
 RULES = BASE_RULES + EXTRA_RULES
 
@@ -49,8 +55,11 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
     Each element of ``steps`` runs from the end of the last match to the end of the next, so the sums of their lengths
     are the ends.  ``\\G`` holds the search to that chain; without it a text without match would be read once per
-    character.
+    character.  The chain is slow beside a plain search, so it only runs on texts that have a match somewhere.
     """
+    body = F.lower(text) if rule.folded else text
+    hint = reduce(or_, [F.contains(body, F.lit(w)) for w in rule.words]) if rule.words else F.lit(True)
+    likely = F.when(hint, F.regexp_like(text, F.lit(rule.pattern))).otherwise(F.lit(False))
     chain = rf"\G[\s\S]*?{rule.pattern}"
     steps = F.regexp_extract_all(text, F.lit(f"({chain})"), F.lit(1))
     empty = F.array().cast(f"array<{SPAN}>")
@@ -64,7 +73,7 @@ def spans_of(text: Column, rule: Rule) -> Column:
                         .otherwise(state["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-    return F.aggregate(steps, start, step, lambda state: state["out"])
+    return F.when(likely, F.aggregate(steps, start, step, lambda state: state["out"])).otherwise(empty)
 
 
 def ordered(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -86,7 +95,7 @@ def blob_id(text: Column) -> Column:
 
 def create_ledger(spark: SparkSession, ledger: str) -> str:
     """An empty ledger at the path ``ledger``."""
-    spark.createDataFrame([], LEDGER_SCHEMA).write.parquet(ledger)
+    spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in LEDGER_COLUMNS.items()]).write.parquet(ledger)
     return ledger
 
 
