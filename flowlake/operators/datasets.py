@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.operators.ordered import hash_bucket, hash_text, id_bucket, row_numbers
+from flowlake.operators.ordered import hash_bucket, hash_text, range_buckets, row_numbers
 from flowlake.session import settle
 
 
 def numbered(df: DataFrame, by: list[str], id_col: str = "row_id", name: str = "rn",
              total: str | None = None) -> DataFrame:
     """Rank by id within ``by`` (all rows when empty), for groups of any size."""
-    return row_numbers(df.withColumn("__b", id_bucket(F.col(id_col))), by, "__b", [id_col], name, total).drop("__b")
+    return row_numbers(range_buckets(df, id_col, "__b"), by, "__b", [id_col], name, total).drop("__b")
 
 
 def shuffled(df: DataFrame, by: list[str], seed: str, id_col: str = "row_id", name: str = "rn",
@@ -83,9 +83,6 @@ def every_nth(df: DataFrame, n: int = 20, id_col: str = "row_id") -> DataFrame:
 
 def head_per_group(df: DataFrame, by: str, rows: int, id_col: str = "row_id") -> DataFrame:
     """First rows of each group."""
-    if rows < 1000:
-        w = Window.partitionBy(by).orderBy(id_col)
-        return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= rows)
     return numbered(df, [by], id_col).filter(F.col("rn") <= rows)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.operators.ordered import running_totals
+from flowlake.operators.ordered import range_buckets, running_totals
 from flowlake.session import settle
 
 
@@ -64,27 +64,31 @@ def averaged_metrics(per_class: DataFrame, by: list[str] = ()) -> DataFrame:
         *[weighted(c) for c in ("precision", "recall", "f1")])
 
 
-def auroc(df: DataFrame, truth: str, score: str, by: list[str], bucket: Column, weight: str | None = None) -> DataFrame:
+def auroc(df: DataFrame, truth: str, score: str, by: list[str], weight: str | None = None) -> DataFrame:
     """Exact area under the ROC curve per group, ties counted half; 0 when a group has one class only.
 
-    Rows are first counted per distinct score.  ``bucket`` must grow with the score; it cuts long score lists into
-    ranges, so that no task has to walk all scores of a group.
+    Rows are first counted per distinct score.  Approximate quantiles of these scores cut long lists into ranges, so
+    that no task has to walk all scores of a group, however many there are and however they are spread.
     """
     y = F.col(truth) == 1
-    scores = df.groupBy(*by, bucket.alias("bucket"), F.col(score).alias("score")).agg(
-        tally(y, weight).alias("pos"), tally(~y, weight).alias("neg"))
-    below = running_totals(scores, by, "bucket", ["score"], {"neg_upto": F.col("neg")})
+    scores = settle(df.groupBy(*by, F.col(score).alias("score")).agg(
+        tally(y, weight).alias("pos"), tally(~y, weight).alias("neg")), "scores")
+    below = running_totals(range_buckets(scores, "score", "bucket"), by, "bucket", ["score"], {"neg_upto": F.col("neg")})
     won = F.col("pos") * (F.col("neg_upto") - F.col("neg") + F.col("neg") / 2)
     return below.groupBy(*by).agg(share(F.sum(won), F.sum("pos") * F.sum("neg")).alias("auroc"),
                                   F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
-def auroc_one_vs_rest(df: DataFrame, truth: str, scores: list[str], bucket_width: float) -> DataFrame:
-    """Macro average of one-vs-rest AUROC; class k is scored by ``scores[k]``."""
+def auroc_one_vs_rest(df: DataFrame, truth: str, scores: list[str]) -> DataFrame:
+    """Macro average of one-vs-rest AUROC; class k is scored by ``scores[k]``.
+
+    0 for the whole if a class has no positive or no negative row, as the average isn't defined then.
+    """
     each = df.select(F.col(truth).alias("t"), F.posexplode(F.array(*scores)).alias("cls", "score"))
     each = each.withColumn("is_cls", (F.col("t") == F.col("cls")).cast("int"))
-    per = auroc(each, "is_cls", "score", ["cls"], F.floor(F.col("score") / bucket_width))
-    return per.agg(F.avg("auroc").alias("auroc_macro"), F.count("*").alias("classes"))
+    per = auroc(each, "is_cls", "score", ["cls"])
+    whole = F.min(F.least("n_pos", "n_neg")) > 0
+    return per.agg(F.when(whole, F.avg("auroc")).otherwise(0.0).alias("auroc_macro"), F.count("*").alias("classes"))
 
 
 def recall_by(df: DataFrame, attack: str, truth: str, predicted: str) -> DataFrame:
@@ -106,13 +110,13 @@ def protocol_rows(df: DataFrame, test_split: Column, adapted: DataFrame, shots:
     return rows.join(used, ["row_id", "shots", "protocol"], "left_anti")
 
 
-def protocol_results(rows: DataFrame, truth: str, predicted: str, score: str, bucket: Column) -> DataFrame:
+def protocol_results(rows: DataFrame, truth: str, predicted: str, score: str) -> DataFrame:
     """Accuracy, macro F1, AUROC and FPR per (protocol, dataset, shots), all from one count of the rows per score."""
     by = ["protocol", "dataset", "shots"]
     counted = settle(rows.groupBy(*by, truth, predicted, score).agg(F.count("*").alias("n")), "counted")
     macro = averaged_metrics(class_metrics(counted, truth, predicted, by, "n"), by).select(*by, "n", "accuracy", "f1_macro")
     fpr = binary_metrics(confusion(counted, truth, predicted, by, "n")).select(*by, "fpr")
-    return macro.join(fpr, by).join(auroc(counted, truth, score, by, bucket, "n").select(*by, "auroc"), by)
+    return macro.join(fpr, by).join(auroc(counted, truth, score, by, "n").select(*by, "auroc"), by)
 
 
 def comparison_table(results: DataFrame) -> DataFrame:

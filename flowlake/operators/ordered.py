@@ -3,12 +3,15 @@
 ``Window.partitionBy(g)`` sends a whole group to one task, which fails when one group holds a large share of the
 rows.  These helpers take a ``bucket`` column that grows with the sort order and cuts a group into bounded ranges:
 the window runs inside (group, bucket), and one small row per bucket carries totals or the last row across.
-The summary has one row per (group, bucket); with about 10^4-10^5 buckets it stays small for any table size.
-Group and bucket columns must not be null.
+The summary has one row per (group, bucket); with about 10^3-10^5 buckets it stays small for any table size.
+Null is a group, and a bucket, of its own.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +26,26 @@ def hash_bucket(hashed: Column, digits: int = 4) -> Column:
     return F.substring(hashed, 1, digits)
 
 
-def id_bucket(col: Column, width: int = 1_000_000) -> Column:
-    """Bucket for a unique integer order: at most ``width`` rows each."""
-    return F.floor(col / F.lit(width)).cast("long")
+def range_buckets(df: DataFrame, col: str, name: str, buckets: int = 1024) -> DataFrame:
+    """Add bucket ``name`` that grows with the number in ``col``: about equal shares of the rows, whatever the values.
+
+    One pass takes approximate quantiles as boundaries.  A value that holds more than a share has a bucket of its own;
+    null and NaN come last.
+    """
+    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
+    edges = [-float("inf"), *sorted({c for c in cuts or [] if abs(c) < float("inf")}), float("inf")]
+    if len(edges) < 3:
+        edges.insert(1, 0.0)
+    number = f"__{name}"
+    cut = Bucketizer(splits=edges, inputCol=number, outputCol=name, handleInvalid="keep")
+    return cut.transform(df.withColumn(number, F.col(col).cast("double"))).drop(number)
+
+
+def join_back(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` where null equals null; each key stays once."""
+    renamed = summary.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return df.join(renamed, same).drop(*[f"__k_{k}" for k in keys])
 
 
 def running_totals(df: DataFrame, by: list[str], bucket: str, order: list, totals: dict[str, Column],
@@ -44,7 +64,7 @@ def running_totals(df: DataFrame, by: list[str], bucket: str, order: list, total
         *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in totals],
         *[F.sum(f"__{n}").over(whole).alias(out) for n, out in (group_totals or {}).items()])
     local = df.withColumns({name: F.sum(expr).over(inner) for name, expr in totals.items()})
-    joined = local.join(offsets, keys)
+    joined = join_back(local, offsets, keys)
     return joined.withColumns({n: F.col(n) + F.col(f"__{n}") for n in totals}).drop(*[f"__{n}" for n in totals])
 
 
@@ -67,7 +87,7 @@ def previous_row(df: DataFrame, by: list[str], order: list[str], values: list[st
     tails = df.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("__tail"))
     carried = tails.select(*keys, F.lag("__tail").over(Window.partitionBy(*by).orderBy(bucket)).alias("__carry"))
     local = df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
-    return local.join(carried, keys).withColumn(name, F.coalesce(name, "__carry")).drop("__carry")
+    return join_back(local, carried, keys).withColumn(name, F.coalesce(name, "__carry")).drop("__carry")
 
 
 def nearest_mark(df: DataFrame, by: list[str], bucket: str, order: list[str], marks: dict[str, Column],
@@ -86,5 +106,5 @@ def nearest_mark(df: DataFrame, by: list[str], bucket: str, order: list[str], ma
     carried = edges.select(*keys, *[pick(f"__{n}").over(outer).alias(f"__{n}") for n in marks])
     seen = {n: pick(e).over(inner.rowsBetween(Window.unboundedPreceding, -1 if n in strict else 0))
             for n, e in marks.items()}
-    out = df.withColumns(seen).join(carried, keys)
+    out = join_back(df.withColumns(seen), carried, keys)
     return out.withColumns({n: F.coalesce(n, f"__{n}") for n in marks}).drop(*[f"__{n}" for n in marks])

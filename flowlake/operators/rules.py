@@ -26,22 +26,14 @@ def rule_ranges(rules: DataFrame) -> DataFrame:
         F.inline(F.array(cidr_range(F.col("cidr"))))).filter("lo is not null")
 
 
-def match_rules(df: DataFrame, ip: str, rules: DataFrame, inline_limit: int = 500) -> DataFrame:
+def match_rules(df: DataFrame, ip: str, rules: DataFrame) -> DataFrame:
     """Add ``verdict`` (list type or null) and ``rule_id`` for the address in column ``ip``.
 
-    Up to ``inline_limit`` rules (counted) travel as one array in rank order and the first range that holds the address
-    wins: no shuffle.  Longer lists match the distinct addresses by an equi join on (prefix length, network), and the
-    verdicts are joined back by address; AQE may split a hot address on the row side.
+    The distinct addresses meet the rules by an equi join on (prefix length, network), and the verdicts are joined back
+    by address; AQE may split a hot address on the row side.  The plan is the same for any number of rules.
     """
-    ranges = settle(rule_ranges(rules), "rules")
-    if ranges.limit(inline_limit + 1).count() <= inline_limit:
-        packed = ranges.agg(F.array_sort(F.collect_list(F.struct("rule", "lo", "hi"))).alias("__rules"))
-        held = df.withColumns({"__ip": ip_hex(F.col(ip)), "__rules": packed.scalar()})
-        first = F.get(F.filter("__rules", lambda r: (r["lo"] <= F.col("__ip")) & (F.col("__ip") <= r["hi"])), F.lit(0))
-        return held.withColumn("__hit", first["rule"]).withColumns(
-            {"verdict": F.col("__hit.list_type"), "rule_id": F.col("__hit.id")}).drop("__ip", "__rules", "__hit")
-    verdicts = _match_by_prefix(df.select(ip).distinct(), ip, ranges)
-    return df.join(verdicts, ip, "left")
+    verdicts = _match_by_prefix(df.select(ip).distinct(), ip, settle(rule_ranges(rules), "rules"))
+    return df.join(verdicts, ip, "left").select(*df.columns, "verdict", "rule_id")
 
 
 def _match_by_prefix(addresses: DataFrame, ip: str, ranges: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def ip_rule_match(spark, sf):
 @query("ip_rule_match_long_list", cte("packets", "ip_rules") + f", {RANGES_SQL}, " + hit_sql("src_ip", "packets", "pkt_id") + """
 SELECT pkt_id, src_ip, coalesce(verdict, 'none') AS verdict, coalesce(rule_id, -1) AS rule_id FROM packets LEFT JOIN hit USING (pkt_id)""")
 def ip_rule_match_long_list(spark, sf):
-    matched = rules.match_rules(table(spark, sf, "packets"), "src_ip", active_rules(spark, sf), inline_limit=0)
+    matched = rules.match_rules(table(spark, sf, "packets"), "src_ip", active_rules(spark, sf))
     return matched.select("pkt_id", "src_ip", F.coalesce("verdict", F.lit("none")).alias("verdict"),
                           F.coalesce("rule_id", F.lit(-1)).alias("rule_id"))
 
@@ -329,13 +329,13 @@ AUC_SQL = """SELECT round(CASE WHEN np * nn = 0 THEN 0 ELSE (rs - np * (np + 1)
 @query("auroc_binary", PR + AUC_SQL.format(y="y_true", s="p_milli", t="predictions"))
 def auroc_binary(spark, sf):
     df = predictions(spark, sf).withColumn("all", F.lit(1))
-    return rounded(metrics.auroc(df, "y_true", "p_milli", ["all"], F.floor(F.col("p_milli") / 10)).drop("all"))
+    return rounded(metrics.auroc(df, "y_true", "p_milli", ["all"]).drop("all"))
 
 
-@query("auroc_ovr", LG + "SELECT round(avg(auroc), 6) AS auroc_macro, count(*) AS classes FROM (" + " UNION ALL ".join(
-    f"(SELECT auroc FROM ({AUC_SQL.format(y=f'CASE WHEN c_true = {k} THEN 1 ELSE 0 END', s=f'm{k}', t='logits').replace(', 6)', ', 12)')}) x{k})" for k in range(3)) + ") u")
+@query("auroc_ovr", LG + "SELECT CASE WHEN min(least(n_pos, n_neg)) = 0 THEN 0 ELSE round(avg(auroc), 6) END AS auroc_macro, count(*) AS classes FROM (" + " UNION ALL ".join(
+    f"(SELECT auroc, n_pos, n_neg FROM ({AUC_SQL.format(y=f'CASE WHEN c_true = {k} THEN 1 ELSE 0 END', s=f'm{k}', t='logits').replace(', 6)', ', 12)')}) x{k})" for k in range(3)) + ") u")
 def auroc_ovr(spark, sf):
-    return rounded(metrics.auroc_one_vs_rest(table(spark, sf, "logits"), "c_true", ["m0", "m1", "m2"], 0.05))
+    return rounded(metrics.auroc_one_vs_rest(table(spark, sf, "logits"), "c_true", ["m0", "m1", "m2"]))
 
 
 @query("recall_by_attack", PR + """SELECT attack_name, count(*) FILTER (y_pred = 1) AS caught, count(*) AS n, round(count(*) FILTER (y_pred = 1) / count(*), 6) AS recall
@@ -366,7 +366,7 @@ def protocol_results(spark, sf, predicted=None):
     ranked = datasets.split_ordered(df.select("row_id", "dataset", "y_true", "y_pred", "p_milli")).drop("rn", "n")
     adapted = datasets.few_shot_rows(df, SHOTS, "y_true").select("row_id", "shots")
     rows = metrics.protocol_rows(ranked, F.col("split") == "test", adapted, SHOTS)
-    return metrics.protocol_results(rows, "y_true", "y_pred", "p_milli", F.floor(F.col("p_milli") / 10))
+    return metrics.protocol_results(rows, "y_true", "y_pred", "p_milli")
 
 
 @query("protocol_eval", protocol_sql() + "SELECT protocol, dataset, shots, n, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro, round(auroc, 6) AS auroc, round(fpr, 6) AS fpr FROM res")
@@ -422,19 +422,22 @@ def batch_eval(spark, sf):
 # ---- drift ----------------------------------------------------------------------------------------------------
 
 def hist_sql(where: str, name: str) -> str:
+    """CTEs ``name`` (dataset, feature, bin, n) and ``name``_p with shares, by comparing each value with all edges."""
     parts = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, least(CAST(floor(({c} - lo) / span * 50) AS BIGINT), 49) AS bin, count(*) AS n FROM (SELECT {c} FROM raw_flows WHERE {where}) v, edges "
-        f"WHERE feature = '{c}' AND ({c} - lo) / span BETWEEN 0 AND 1 GROUP BY 1, 2" for c in CLEAN)
-    return f"""{name}_c AS ({parts}), {name} AS (SELECT feature, bin, coalesce(n, 0) AS n FROM (SELECT feature, unnest(range(50)) AS bin FROM edges) b LEFT JOIN {name}_c USING (feature, bin)),
-{name}_d AS (SELECT feature, bin, n / (sum(n) OVER (PARTITION BY feature) * span / 50) + 1e-10::DOUBLE AS d FROM {name} JOIN edges USING (feature)),
-{name}_p AS (SELECT feature, bin, d / sum(d) OVER (PARTITION BY feature) AS p FROM {name}_d)
+        f"SELECT dataset, '{c}' AS feature, least(len(list_filter(es, lambda e: e <= {c})), 50) - 1 AS bin, count(*) AS n FROM raw_flows, edges "
+        f"WHERE {where} AND feature = '{c}' AND {c} BETWEEN lo AND hi GROUP BY ALL" for c in CLEAN)
+    return f"""{name}_c AS ({parts}), {name}_k AS (SELECT DISTINCT dataset FROM raw_flows WHERE {where}),
+{name} AS (SELECT dataset, feature, bin, coalesce(n, 0) AS n FROM (SELECT dataset, feature, unnest(range(50)) AS bin FROM {name}_k, edges) b LEFT JOIN {name}_c USING (dataset, feature, bin)),
+{name}_d AS (SELECT dataset, feature, bin, coalesce(n / (nullif(sum(n) OVER (PARTITION BY dataset, feature), 0) * (hi - lo) / 50), 0) + 1e-10::DOUBLE AS d FROM {name} JOIN edges USING (feature)),
+{name}_p AS (SELECT dataset, feature, bin, d / sum(d) OVER (PARTITION BY dataset, feature) AS p FROM {name}_d)
 """
 
 
-EDGES_SQL = "edges AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, min({c}) AS lo, max({c}) - min({c}) AS span FROM raw_flows WHERE dataset = 'unsw'" for c in CLEAN) + "), "
-KL_SQL = RF + ", " + EDGES_SQL + hist_sql("dataset = 'unsw'", "a") + ", " + hist_sql("dataset = 'cic' AND out_bytes < 2500", "b") + \
-    ", kl AS (SELECT feature, sum(a_p.p * ln(a_p.p / b_p.p)) AS kl FROM a_p JOIN b_p USING (feature, bin) GROUP BY feature) "
+EDGES_SQL = "bounds AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, min({c}) AS lo, max({c}) AS hi FROM raw_flows WHERE dataset = 'unsw'" for c in CLEAN) + """),
+edges AS (SELECT feature, lo, hi, list_transform(range(51), lambda i: CASE WHEN i = 50 THEN hi ELSE lo + i * ((hi - lo) / 50) END) AS es FROM bounds), """
+KL_SQL = RF + ", " + EDGES_SQL + hist_sql("dataset = 'unsw'", "a") + ", " + hist_sql("true", "b") + \
+    ", kl AS (SELECT b_p.dataset, feature, sum(a_p.p * ln(a_p.p / b_p.p)) AS kl FROM a_p JOIN b_p USING (feature, bin) GROUP BY ALL) "
 
 
 def _reference(spark, sf):
@@ -442,21 +445,22 @@ def _reference(spark, sf):
     return df, drift.fit_reference(df.filter("dataset = 'unsw'"), CLEAN)
 
 
-@query("feature_histogram", RF + ", " + EDGES_SQL + hist_sql("dataset = 'unsw'", "a") + "SELECT feature, bin, n FROM a")
+@query("feature_histogram", RF + ", " + EDGES_SQL + hist_sql("true", "a") + "SELECT dataset, feature, bin, n FROM a")
 def feature_histogram(spark, sf):
-    df = raw_flows(spark, sf).filter("dataset = 'unsw'")
-    return drift.histogram(df, CLEAN, settle(drift.bin_edges(df, CLEAN), "edges"))
+    df = raw_flows(spark, sf)
+    edges = settle(drift.bin_edges(df.filter("dataset = 'unsw'"), CLEAN), "edges")
+    return drift.histogram(df, CLEAN, edges, ["dataset"]).select("dataset", "feature", "bin", "n")
 
 
-@query("drift_kl", KL_SQL + "SELECT feature, round(kl, 5) AS kl, kl > 0.1 AS drifted FROM kl")
+@query("drift_kl", KL_SQL + "SELECT dataset, feature, round(kl, 5) + 0.0 AS kl, kl > 0.1 AS drifted FROM kl")
 def drift_kl(spark, sf):
     df, (edges, ref) = _reference(spark, sf)
-    return rounded(drift.kl_by_feature(edges, ref, df.filter("dataset = 'cic' and out_bytes < 2500"), CLEAN), 5)
+    return rounded(drift.kl_by_feature(edges, ref, df, CLEAN, by=["dataset"]), 5).withColumn("kl", F.col("kl") + 0.0)
 
 
-@query("drift_summary", KL_SQL + """SELECT bool_or(kl > 0.1) AS drifted, round(avg(kl), 5) AS mean_kl, round(max(kl), 5) AS max_kl,
- coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (kl > 0.1), '') AS drifted_features FROM kl""")
+@query("drift_summary", KL_SQL + """SELECT dataset, bool_or(kl > 0.1) AS drifted, round(avg(kl), 5) + 0.0 AS mean_kl, round(max(kl), 5) + 0.0 AS max_kl,
+ coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (kl > 0.1), '') AS drifted_features FROM kl GROUP BY dataset""")
 def drift_summary(spark, sf):
     df, (edges, ref) = _reference(spark, sf)
-    return rounded(drift.drift_summary(drift.kl_by_feature(
-        edges, ref, df.filter("dataset = 'cic' and out_bytes < 2500"), CLEAN)), 5)
+    return rounded(drift.drift_summary(drift.kl_by_feature(edges, ref, df, CLEAN, by=["dataset"]), ["dataset"]), 5).withColumns(
+        {c: F.col(c) + 0.0 for c in ("mean_kl", "max_kl")})

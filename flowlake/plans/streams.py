@@ -113,13 +113,13 @@ def stream_sequences(spark, sf):
     return spark.read.parquet(path).select("row_id", "dataset", digest.alias("digest"))
 
 
-@query("stream_drift", KL_SQL + "SELECT feature, round(kl, 5) AS kl, kl > 0.1 AS drifted FROM kl")
+@query("stream_drift", KL_SQL + "SELECT dataset, feature, round(kl, 5) + 0.0 AS kl, kl > 0.1 AS drifted FROM kl")
 def stream_drift(spark, sf):
     edges, reference = drift.fit_reference(raw_flows(spark, sf).filter("dataset = 'unsw'"), CLEAN)
-    path = new_path(spark, "stream-drift")
-    new = stream_table(spark, sf, "raw_flows").filter("dataset = 'cic' and out_bytes < 2500").select(*CLEAN)
-    drain(new, sal.drift_sink(edges, reference, CLEAN, path))
-    return rounded(spark.read.parquet(path).select("feature", "kl", "drifted"), 5)
+    path, by = new_path(spark, "stream-drift"), ["dataset"]
+    drain(stream_table(spark, sf, "raw_flows").select(*by, *CLEAN), sal.drift_sink(edges, CLEAN, path, by))
+    done = sal.drift_so_far(spark.read.parquet(path), edges, reference, by)
+    return rounded(done.select(*by, "feature", "kl", "drifted"), 5).withColumn("kl", F.col("kl") + 0.0)
 
 
 @query("stream_l7", cte("app_flows") + ", " + KEYED + ", " + APP_CACHE.split("cache AS")[0] + """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,11 +27,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can read: the cluster's ``spark.checkpoint.dir``, or a temporary one in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can read: the cluster's ``spark.checkpoint.dir``.
+
+    Only a local master, where driver and executors are one process, may do without and gets a temporary folder; on a
+    cluster that would leave each executor with files the others can't see, so it is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_flowlake_dir", None)
     if not base:
-        base = getattr(spark, "_flowlake_dir", None) or tempfile.mkdtemp(prefix="flowlake-")
-        spark._flowlake_dir = base
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark._flowlake_dir = tempfile.mkdtemp(prefix="flowlake-")
     return base
 
 

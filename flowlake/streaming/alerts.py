@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlake.operators.datasets import sequences
-from flowlake.operators.drift import kl_by_feature
+from flowlake.operators.drift import histogram, kl_of_shares, shares
 from flowlake.operators.scoring import raise_alerts
 from flowlake.session import new_path
 
@@ -32,14 +32,23 @@ def running_counters(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("is_attack", "attack_type").agg(F.count("*").alias("n"))
 
 
-def drift_sink(edges: DataFrame, reference: DataFrame, features: list[str], path: str):
-    """Drift of each micro-batch against the saved reference."""
+def drift_sink(edges: DataFrame, features: list[str], path: str, by: list[str]):
+    """Bin counts of each micro-batch under its id; a batch that is run again replaces its own counts.
+
+    ``drift_so_far`` adds them up, so drift is measured over all rows seen, however they were cut into batches.
+    """
     def write(df: DataFrame, batch_id: int) -> None:
         if not df.isEmpty():
-            kl_by_feature(edges, reference, df, features).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            histogram(df, features, edges, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 
+def drift_so_far(counts: DataFrame, edges: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
+    """Drift per group and feature from the counts of all batches."""
+    merged = counts.groupBy(*by, "feature", "bin").agg(F.sum("n").alias("n"))
+    return kl_of_shares(reference, shares(merged, edges, by), by=by)
+
+
 def sequence_sink(spark: SparkSession, features: list[str], path: str, length: int = 10, by: str = "dataset",
                   id_col: str = "row_id"):
     """Windows over the last ``length`` rows per sensor, across micro-batches.

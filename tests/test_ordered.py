@@ -5,14 +5,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlake.operators import datasets
-from flowlake.operators.ordered import id_bucket, nearest_mark, previous_row, row_numbers, running_totals
+from flowlake.operators.ordered import nearest_mark, previous_row, range_buckets, row_numbers, running_totals
 
 
 @pytest.fixture(scope="module")
 def rows(spark):
     g = F.when(F.col("id") % 3 == 0, F.col("id") % 5).otherwise(99).cast("string")
     return spark.range(997).select("id", g.alias("g"), (F.col("id") * 37 % 101).alias("v")).withColumn(
-        "b", id_bucket(F.col("id"), 50))
+        "b", F.floor(F.col("id") / 50))
 
 
 def same(a, b):
@@ -74,3 +74,25 @@ def test_class_balance(rows):
     capped = datasets.class_balanced(df, per_class=100)
     assert capped.groupBy("label").count().select("count").distinct().collect()[0][0] == 100
     assert capped.filter("label = 0").select("row_id").distinct().count() == 100
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "a", None if i % 3 == 0 else 1, float(i)) for i in range(40)],
+                               "row_id long, dataset string, label int, v double")
+    split = datasets.split_ordered(df)
+    assert split.count() == 40 and {r["split"] for r in split.filter("dataset is null").collect()} == {"train", "val", "test"}
+    assert datasets.class_balanced(df, per_class=5).groupBy("label").count().count() == 2
+    assert datasets.sequences(df, ["v"], length=3).filter("dataset is null").count() == 8
+    assert datasets.warm_up(df).count() == 40 and datasets.benign_union(df, cap=3, label="label").count() == 0
+    assert previous_row(df.withColumn("b", F.floor(F.col("row_id") / 9)), ["dataset"], ["row_id"], ["v"], "p", "b").count() == 40
+
+
+def test_sparse_ids_and_a_hot_group_share_bounded_buckets(spark):
+    ids = F.col("id") * 10_000_000 + F.when(F.col("id") > 1900, F.lit(1 << 45)).otherwise(0)
+    df = spark.range(2000).select(ids.alias("row_id"), F.when(F.col("id") % 100 == 0, "b").otherwise("a").alias("g"))
+    buckets = range_buckets(df, "row_id", "b", 50).groupBy("b").count().collect()
+    assert 40 <= len(buckets) <= 51 and max(r["count"] for r in buckets) <= 80
+    w = Window.partitionBy("g").orderBy("row_id")
+    same(datasets.numbered(df, ["g"]).select("row_id", "rn"), df.select("row_id", F.row_number().over(w).alias("rn")))
+    odd = spark.createDataFrame([(None,), (1.0,), (float("inf"),), (float("nan"),)], "x double")
+    assert range_buckets(odd, "x", "b").count() == 4 and range_buckets(odd.filter("false"), "x", "b").count() == 0
