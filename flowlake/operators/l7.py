@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlake import fixed_values as fv
 from flowlake.operators.flow_keys import flow_keys
+from flowlake.operators.ordered import nearest_mark
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -24,28 +25,40 @@ def app_name_id(name: Column) -> Column:
     return F.coalesce(_lookup(fv.APP_NAME_ID, F.split(name, r"\.")[0]), F.lit(0))
 
 
-def app_cache(app_flows: DataFrame) -> DataFrame:
-    """Latest application id per directed 5-tuple; guessed and unknown entries are ignored."""
-    known = app_flows.withColumn("app_id", app_name_id(F.col("app_name"))).filter(
+def known_apps(app_flows: DataFrame) -> DataFrame:
+    """Entries of the side channel with ``app_id``; guessed and unknown ones are ignored."""
+    return app_flows.withColumn("app_id", app_name_id(F.col("app_name"))).filter(
         ~((F.col("app_id") == 0) & F.col("is_guessed")))
-    return known.groupBy("src_ip", "src_port", "dst_ip", "dst_port", "proto").agg(
+
+
+def app_cache(app_flows: DataFrame) -> DataFrame:
+    """Latest application id per directed 5-tuple, as the cache holds it after the last entry."""
+    return known_apps(app_flows).groupBy("src_ip", "src_port", "dst_ip", "dst_port", "proto").agg(
         F.max_by("app_id", F.struct("ts_us", "flow_no")).alias("app_id"), F.max("ts_us").alias("seen_us"))
 
 
-def resolve_apps(flows: DataFrame, cache: DataFrame, max_age_s: int = 600) -> DataFrame:
+def resolve_apps(flows: DataFrame, app_flows: DataFrame, max_age_s: int = 600) -> DataFrame:
     """Add ``l7_proto`` to flows (``src_ip, src_port, dst_ip, dst_port, proto, end_us``).
 
-    One equi join on the direction-free key; of the two directed entries the flow's own direction wins.  An entry
-    older than ``max_age_s`` at the flow's end is stale.  No entry, or entry 0, falls back to the port tables.
+    A flow asks at its end for the newest entry of its 5-tuple that is at most ``max_age_s`` old then; entries that come
+    later are not known yet.  Its own direction wins over the other.  No entry, or entry 0, falls back to the port
+    tables.  Entries and questions are one list per key in order of time, cut into time slots, so a key with any number
+    of entries is spread over tasks.
     """
-    entries = flow_keys(cache).groupBy("flow_key").agg(
-        F.max(F.when(F.col("from_lo"), F.struct("seen_us", "app_id"))).alias("lo"),
-        F.max(F.when(~F.col("from_lo"), F.struct("seen_us", "app_id"))).alias("hi"))
-    fresh = lambda e: F.when(F.col("end_us") - e["seen_us"] <= max_age_s * 1_000_000, e["app_id"])
+    age = max_age_s * 1_000_000
+    entries = flow_keys(known_apps(app_flows)).select(
+        "flow_key", "from_lo", F.col("ts_us").alias("t"), F.lit(0).alias("ask"),
+        F.struct(F.col("ts_us").alias("seen_us"), "flow_no", "app_id").alias("entry"))
+    asked = flow_keys(flows).withColumns({"t": F.col("end_us"), "ask": F.lit(1), "entry": F.lit(None).cast(
+        entries.schema["entry"].dataType)})
+    both = asked.unionByName(entries, allowMissingColumns=True).withColumn("slot", F.floor(F.col("t") / age))
+    seen = nearest_mark(both, ["flow_key"], "slot", ["t", "ask"], {
+        "lo": F.when(F.col("from_lo"), F.col("entry")), "hi": F.when(~F.col("from_lo"), F.col("entry"))}, ahead=False)
+    fresh = lambda e: F.when(F.col("end_us") - e["seen_us"] <= age, e["app_id"])
     own = F.when(F.col("from_lo"), F.col("lo")).otherwise(F.col("hi"))
     other = F.when(F.col("from_lo"), F.col("hi")).otherwise(F.col("lo"))
     resolved = F.coalesce(fresh(own), fresh(other))
     guess = port_app_id(F.col("dst_port"), F.col("src_port"), F.col("proto"))
-    joined = flow_keys(flows).join(entries, "flow_key", "left")
-    return joined.withColumns({"cached_app": resolved, "l7_proto": F.coalesce(F.nullif(resolved, F.lit(0)), guess)}
-                              ).drop("flow_key", "from_lo", "lo", "hi")
+    return seen.filter("ask = 1").withColumns({
+        "cached_app": resolved, "l7_proto": F.coalesce(F.nullif(resolved, F.lit(0)), guess)}).select(
+        *flows.columns, "cached_app", "l7_proto")

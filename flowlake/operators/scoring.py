@@ -96,15 +96,16 @@ def source_ip(source: Column) -> Column:
 def raise_alerts(flows: DataFrame, rules: DataFrame, scorer_name: str) -> DataFrame:
     """Alerts for flows with ``source`` and a ``features`` map.
 
-    Addresses on the allow list are benign with confidence 0, on the deny list attacks with confidence 1; all other
-    rows go to the scorer.
+    Addresses on the allow list are benign with confidence 0, on the deny list attacks with confidence 1; for all
+    other rows the scorer decides.  Rows are read, matched and scored in one pass.
     """
     cleaned = flows.withColumns({"features": clean_features(F.col("features")),
                                  "src_ip": source_ip(F.col("source"))})
     matched = match_rules(cleaned, "src_ip", rules)
-    deny = F.col("verdict") == "blacklist"
-    by_rule = matched.filter("verdict is not null").withColumns({
-        "is_attack": deny, "confidence": F.when(deny, 1.0).otherwise(0.0),
-        "attack_type": F.when(deny, "Blacklisted").otherwise("Whitelisted")})
-    scored = score(matched.filter("verdict is null"), scorer_name)
-    return by_rule.unionByName(scored).drop("src_ip", "verdict")
+    listed, deny = F.col("verdict").isNotNull(), F.col("verdict") == "blacklist"
+    scored = score(matched, scorer_name)
+    return scored.withColumns({
+        "is_attack": F.when(listed, deny).otherwise(F.col("is_attack")),
+        "confidence": F.when(deny, 1.0).when(listed, 0.0).otherwise(F.col("confidence")),
+        "attack_type": F.when(deny, "Blacklisted").when(listed, "Whitelisted").otherwise(F.col("attack_type")),
+    }).drop("src_ip", "verdict")

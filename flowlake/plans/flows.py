@@ -302,11 +302,13 @@ def l7_app_cache(spark, sf):
 
 @query("l7_resolved", nf_segments_sql() + ", " + "app_flows AS (" + cte("app_flows").split("app_flows AS (", 1)[1].rstrip()
        + ", " + APP_CACHE + """, fl AS (SELECT flow_id, arg_min(src_ip, rn) AS src_ip, arg_min(src_port, rn) AS src_port,
- arg_min(dst_ip, rn) AS dst_ip, arg_min(dst_port, rn) AS dst_port, min(proto) AS proto, max(ts_us) AS end_us FROM seg GROUP BY flow_id),
-res AS (SELECT f.*, coalesce(CASE WHEN f.end_us - a.seen_us <= 600000000 THEN a.app_id END,
-  CASE WHEN f.end_us - b.seen_us <= 600000000 THEN b.app_id END) AS cached_app FROM fl f
- LEFT JOIN cache a ON a.src_ip = f.src_ip AND a.src_port = f.src_port AND a.dst_ip = f.dst_ip AND a.dst_port = f.dst_port AND a.proto = f.proto
- LEFT JOIN cache b ON b.src_ip = f.dst_ip AND b.src_port = f.dst_port AND b.dst_ip = f.src_ip AND b.dst_port = f.src_port AND b.proto = f.proto)
+ arg_min(dst_ip, rn) AS dst_ip, arg_min(dst_port, rn) AS dst_port, min(proto) AS proto, max(ts_us) // 1000 * 1000 AS end_us FROM seg GROUP BY flow_id),
+near AS (SELECT f.flow_id, a.app_id, a.ts_us::HUGEINT * 1000000000 + a.flow_no AS moment, a.src_ip = f.src_ip AND a.src_port = f.src_port AS own
+ FROM fl f JOIN app_ids a ON a.proto = f.proto AND NOT (a.app_id = 0 AND a.is_guessed) AND a.ts_us BETWEEN f.end_us - 600000000 AND f.end_us
+  AND ((a.src_ip = f.src_ip AND a.src_port = f.src_port AND a.dst_ip = f.dst_ip AND a.dst_port = f.dst_port)
+    OR (a.src_ip = f.dst_ip AND a.src_port = f.dst_port AND a.dst_ip = f.src_ip AND a.dst_port = f.src_port))),
+best AS (SELECT flow_id, coalesce(arg_max(app_id, moment) FILTER (own), arg_max(app_id, moment) FILTER (NOT own)) AS cached_app FROM near GROUP BY flow_id),
+res AS (SELECT f.*, cached_app FROM fl f LEFT JOIN best USING (flow_id))
 """ + f"SELECT flow_id, coalesce(cached_app, -1) AS cached_app, coalesce(nullif(cached_app, 0), {_guess_sql('dst_port', 'src_port', 'proto')}) AS l7_proto FROM res")
 def l7_resolved(spark, sf):
     flows = nfv3_features.nfv3_record(nfv3_segments.segment_flows(table(spark, sf, "packets"))).select(
@@ -314,7 +316,7 @@ def l7_resolved(spark, sf):
         F.col("IPV4_DST_ADDR").alias("dst_ip"), F.col("L4_DST_PORT").alias("dst_port"),
         F.col("PROTOCOL").alias("proto"),
         (F.col("FLOW_END_MILLISECONDS") * 1000).alias("end_us"))
-    return l7.resolve_apps(flows, l7.app_cache(table(spark, sf, "app_flows"))).select(
+    return l7.resolve_apps(flows, table(spark, sf, "app_flows")).select(
         "flow_id", F.coalesce("cached_app", F.lit(-1)).alias("cached_app"), "l7_proto")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake import fixed_values as fv
@@ -59,14 +62,25 @@ def scan_dir_limit_per_file(spark, sf):
         F.count("*").alias("n_rows"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))
 
 
-@query("schema_compat_report", """SELECT coalesce(a.column_name, b.column_name) AS column_name,
- CASE WHEN b.column_name IS NULL THEN 'extra' WHEN a.column_name IS NULL THEN 'missing' ELSE 'present' END AS status
-FROM (SELECT column_name FROM (DESCRIBE orders)) a
-FULL JOIN (VALUES ('o_orderkey'), ('o_custkey'), ('o_totalprice'), ('o_attack')) b(column_name)
- ON a.column_name = b.column_name""")
+SCHEMAS = {  # columns wanted of each table; one of each is not there, and others are there that nobody asks for
+    "orders": ["o_orderkey", "o_custkey", "o_totalprice", "o_attack"],
+    "lineitem": ["l_orderkey", "l_quantity", "l_attack"],
+    "customer": ["c_custkey", "c_name", "c_attack"],
+    "events": ["event_id", "user_id", "ts", "attack"],
+}
+HAVE = {"orders": ["o_orderkey", "o_custkey", "o_totalprice"], "lineitem": ["l_orderkey", "l_quantity"],
+        "customer": ["c_custkey", "c_name"], "events": ["event_id", "user_id", "ts"]}
+
+
+@query("schema_compat_report", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, 'missing' AS status, 0::BIGINT AS n_values" for t, cs in SCHEMAS.items()
+    for c in cs if c not in HAVE[t]) + "".join(
+    f" UNION ALL SELECT '{t}', column_name, CASE WHEN column_name IN ({', '.join(repr(c) for c in cs)}) THEN 'present' ELSE 'extra' END, n "
+    f"FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE n)" for t, cs in SCHEMAS.items()))
 def schema_compat_report(spark, sf):
-    have = spark.read.parquet(f"{sf}/orders.parquet").columns
-    return files.schema_report(have, ["o_orderkey", "o_custkey", "o_totalprice", "o_attack"], spark)
+    reports = [files.schema_report(spark.read.parquet(f"{sf}/{t}.parquet"), want).select(F.lit(t).alias("table_name"), "*")
+               for t, want in SCHEMAS.items()]
+    return reduce(DataFrame.unionByName, reports)
 
 
 @query("dataset_report", RF + """SELECT dataset, count(*) AS n_rows, 13 AS n_cols, true AS columns_match,
@@ -76,10 +90,9 @@ def dataset_report(spark, sf):
     return report.filter("size_mb > 0").drop("size_mb")
 
 
-@query("scan_parquet", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'")
+@query("scan_parquet", "SELECT * FROM orders")
 def scan_parquet(spark, sf):
-    return spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderpriority = '1-URGENT'").select(
-        "o_orderkey", "o_totalprice")
+    return spark.read.parquet(f"{sf}/orders.parquet")
 
 
 @query("sample_every_20th", RF + """SELECT row_id, dataset, out_bytes FROM (
@@ -118,13 +131,13 @@ def clean_inf_to_zero(spark, sf):
     return raw_flows(spark, sf).select("row_id", cleaning.zero_if_not_finite(F.col("in_bytes")).alias("in_bytes"))
 
 
-@query("clean_fill_train_max", RF + """, m AS (SELECT max(CASE WHEN isfinite(in_bytes) THEN in_bytes END) AS mx FROM raw_flows
- WHERE dataset = 'unsw')
-SELECT row_id, CASE WHEN isfinite(in_bytes) THEN in_bytes ELSE coalesce(mx, 0) END AS in_bytes FROM raw_flows, m WHERE dataset <> 'unsw'""")
+@query("clean_fill_train_max", RF + ", m AS (SELECT " + ", ".join(f"max(CASE WHEN isfinite({c}) THEN {c} END) AS mx_{c}" for c in NUMERIC)
+       + " FROM raw_flows WHERE dataset = 'unsw') SELECT row_id, " + ", ".join(
+           f"CASE WHEN isfinite({c}) THEN {c} ELSE coalesce(mx_{c}, 0) END AS {c}" for c in NUMERIC) + " FROM raw_flows, m WHERE dataset <> 'unsw'")
 def clean_fill_train_max(spark, sf):
     df = raw_flows(spark, sf)
-    train_max = cleaning.finite_max(df.filter("dataset = 'unsw'"), ["in_bytes"])
-    return cleaning.fill_with_max(df.filter("dataset <> 'unsw'"), ["in_bytes"], train_max, []).select("row_id", "in_bytes")
+    train_max = cleaning.finite_max(df.filter("dataset = 'unsw'"), NUMERIC)
+    return cleaning.fill_with_max(df.filter("dataset <> 'unsw'"), NUMERIC, train_max, []).select("row_id", *NUMERIC)
 
 
 @query("coerce_numeric", RF + """SELECT row_id, coalesce(try_cast(l4_dst_port AS DOUBLE), -1) AS dst_port,

@@ -52,13 +52,15 @@ def scan_csv_dir(spark: SparkSession, folder: str, schema: str, limit: int | Non
     return df.drop("block", "line")
 
 
-def schema_report(have: list[str], want: list[str], spark: SparkSession) -> DataFrame:
-    """One row per column name: present, missing or extra."""
-    a = spark.createDataFrame([(c.strip(),) for c in have], "column_name string")
-    b = spark.createDataFrame([(c,) for c in want], "column_name string")
-    both = a.withColumn("h", F.lit(True)).join(b.withColumn("w", F.lit(True)), "column_name", "full")
-    return both.select("column_name", F.when(F.col("w").isNull(), "extra").when(F.col("h").isNull(), "missing")
-                       .otherwise("present").alias("status"))
+def schema_report(df: DataFrame, want: list[str]) -> DataFrame:
+    """One row per column name, stripped: present, missing or extra, and how many rows have a value in it."""
+    names = {c.strip(): c for c in df.columns}
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(n) for n, c in names.items()])
+    known = counts.unpivot([], [f"`{n}`" for n in names], "column_name", "n_values")
+    status = F.when(F.col("column_name").isin(want), "present").otherwise("extra")
+    missing = F.array(*[F.lit(c) for c in want if c not in names]).cast("array<string>")
+    gone = counts.select(F.explode(missing).alias("column_name"), F.lit("missing").alias("status"), F.lit(0).cast("long").alias("n_values"))
+    return known.select("column_name", status.alias("status"), "n_values").unionByName(gone)
 
 
 def file_sizes(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlake.functions.ip import cidr_range, ip_hex, register
-from flowlake.operators import alerts, datasets, drift, metrics, rules, scoring
+from flowlake import fixed_values as fv
+from flowlake.operators import alerts, datasets, drift, l7, metrics, rules, scoring
 from flowlake.streaming.alerts import drift_so_far
 
 
@@ -190,3 +191,19 @@ def test_alert_defaults(spark):
     a, b = alerts.parse_alerts(df).orderBy("id").collect()
     assert (a.is_attack, a.confidence, a.attack_type, a.original_features) == (False, 0.0, "Unknown", {})
     assert (b.is_attack, b.confidence, b.attack_type, b.original_features) == (True, 0.9, "DoS", {"a": 1.0})
+
+
+def test_apps_are_resolved_as_of_the_end(spark):
+    s = 1_000_000
+    tup = ("10.0.0.1", 40000, "10.0.0.2", 9999, 6)
+    back = ("10.0.0.2", 9999, "10.0.0.1", 40000, 6)
+    apps = [(0, *tup, "HTTP", False, 100 * s), (1, *tup, "QUIC", False, 5000 * s), (2, *back, "DNS", False, 5100 * s),
+            (3, *back, "DNS", False, 9000 * s), (4, *tup, "Unknown", True, 9100 * s)]
+    flows = [(1, *tup, 99 * s), (2, *tup, 100 * s), (3, *tup, 110 * s), (4, *tup, 701 * s), (5, *tup, 5200 * s), (6, *back, 5200 * s),
+             (7, *tup, 9101 * s), (8, *tup, 99_999 * s)]
+    cols = "src_ip string, src_port int, dst_ip string, dst_port int, proto int"
+    got = l7.resolve_apps(spark.createDataFrame(flows, f"flow_id int, {cols}, end_us long"),
+                          spark.createDataFrame(apps, f"flow_no int, {cols}, app_name string, is_guessed boolean, ts_us long"))
+    http, quic, dns = (fv.APP_NAME_ID[n] for n in ("HTTP", "QUIC", "DNS"))
+    assert {r.flow_id: r.cached_app for r in got.collect()} == {
+        1: None, 2: http, 3: http, 4: None, 5: quic, 6: dns, 7: dns, 8: None}
