@@ -21,8 +21,9 @@ def nfv3_record(segmented: DataFrame) -> DataFrame:
 
     The windows' keys start with ``flow_key``, so on the ordinary segmentation path they and the final aggregation
     reuse its one shuffle.  A flow spans at most the active timeout plus one gap, which bounds each window.  All
-    aggregation buffers are of fixed width, which keeps the aggregation hash-based.  DNS fields count on UDP port 53.
-    ICMP and FTP columns are constant 0: only TCP and UDP packets form flows.
+    aggregation buffers are of fixed width, which keeps the aggregation hash-based.  DNS fields count wherever
+    a packet has a DNS layer (``dns_qr`` is not null): the last query, its type if it has a question, the TTL of the last
+    reply with an answer.  ICMP and FTP columns are constant 0: only TCP and UDP packets form flows.
     """
     order = ["ts_us", "pkt_id"]
     flow = Window.partitionBy("flow_key", "flow_id").orderBy(*order)
@@ -41,8 +42,9 @@ def nfv3_record(segmented: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     size = F.col("ip_len")
     lows = [-1, *SIZE_EDGES[:-1]]
-    query = (F.col("dns_qr") == 0) & (F.col("dst_port").eqNullSafe(53) | F.col("src_port").eqNullSafe(53)) & ~tcp
-    reply = (F.col("dns_qr") == 1) & (F.col("dns_ttl") > 0) & ~tcp
+    query, reply = F.col("dns_qr") == 0, (F.col("dns_qr") == 1) & (F.col("dns_ancount") > 0)
+    asked = query & (F.col("dns_qdcount") > 0)
+    newest = lambda cond, c: zero(F.max_by(F.when(cond, F.col(c)), F.when(cond, F.col("at"))))
     lasted = lambda fwd: F.when(F.count_if(F.col("fwd") == F.lit(fwd)) > 1,
                                 (F.max(_sided(F.col("ts_us"), fwd)) - F.min(_sided(F.col("ts_us"), fwd)))
                                 / F.lit(1000.0)).otherwise(0.0)
@@ -63,9 +65,8 @@ def nfv3_record(segmented: DataFrame) -> DataFrame:
         **{name: F.count_if((size > lo) & (size <= hi)) for name, lo, hi in zip(fv.SIZE_COLUMNS, lows, SIZE_EDGES)},
         "TCP_WIN_MAX_IN": zero(F.max(_sided(F.col("tcp_window"), True))),
         "TCP_WIN_MAX_OUT": zero(F.max(_sided(F.col("tcp_window"), False))),
-        "DNS_QUERY_ID": zero(F.max_by(F.when(query, F.col("dns_id")), F.when(query, F.col("at")))),
-        "DNS_QUERY_TYPE": zero(F.max_by(F.when(query, F.col("dns_qtype")), F.when(query, F.col("at")))),
-        "DNS_TTL_ANSWER": zero(F.max_by(F.when(reply, F.col("dns_ttl")), F.when(reply, F.col("at")))),
+        "DNS_QUERY_ID": newest(query, "dns_id"), "DNS_QUERY_TYPE": newest(asked, "dns_qtype"),
+        "DNS_TTL_ANSWER": newest(reply, "dns_ttl"),
     }
     for prefix, fwd in (("SRC_TO_DST", True), ("DST_TO_SRC", False)):
         gap = _sided(F.col("iat_ms"), fwd)

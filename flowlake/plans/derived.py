@@ -32,7 +32,8 @@ t as (select event_id as pkt_id, c, p, k, slow, grace,
  case k % 7 when 0 then 443 when 1 then 80 when 2 then 53 when 3 then 22 when 4 then 8080 when 5 then 6379 else 50001 end as sport_,
  case when k % 7 = 2 then 17 when k % 19 = 18 then 1 else 6 end as proto,
  case when p in (1,3,7) then 1 else 0 end as rev
- from f)
+ from f),
+u as (select *, proto = 17 or (proto = 6 and k % 21 = 6 and p in (3, 4, 5, 7)) as dns from t)
 select pkt_id, ts_us, case when rev=1 then srv else cli end src_ip, case when rev=1 then sport_ else cport end src_port,
  case when rev=1 then cli else srv end dst_ip, case when rev=1 then cport else sport_ end dst_port, proto,
  40 + (pkt_id*131) % 1600 ip_len, 54 + (pkt_id*131) % 1600 frame_len, case when rev=1 then 128 - c % 3 else 64 - c % 5 end ttl, 5 ip_ihl,
@@ -43,10 +44,10 @@ select pkt_id, ts_us, case when rev=1 then srv else cli end src_ip, case when re
  case when proto=6 then 1024 + (pkt_id*37) % 60000 else 0 end tcp_window,
  case when c % 5 = 0 and p=4 then 1000+2 else 1000+p end tcp_seq, 5 tcp_dataofs,
  case when c % 5 = 0 and p in (2,4) then 100 else (pkt_id*131) % 1600 end payload_len,
- case when proto=17 then rev else 0 end dns_qr, case when proto=17 then pkt_id % 65536 else 0 end dns_id,
- case when proto=17 then case c % 3 when 0 then 1 when 1 then 28 else 15 end else 0 end dns_qtype,
- case when proto=17 and rev=1 then 60*(1 + c % 10) else 0 end dns_ttl
-from t
+ case when dns then rev end dns_qr, case when dns then pkt_id % 65536 else 0 end dns_id,
+ case when dns and c % 8 <> 7 then 1 else 0 end dns_qdcount, case when dns then case c % 3 when 0 then 1 when 1 then 28 else 15 end else 0 end dns_qtype,
+ case when dns and rev=1 and pkt_id % 9 <> 4 then 1 else 0 end dns_ancount, case when dns and rev=1 then 60*(pkt_id % 5) else 0 end dns_ttl
+from u
 """
 
 TABLE_SQL["raw_flows"] = """

@@ -48,7 +48,7 @@ NF_SEG = nf_segments_sql()
 NF_REC = NF_SEG + """,
 marked AS (SELECT *, (ts_us - lag(ts_us) OVER (PARTITION BY flow_id, fwd ORDER BY ts_us, pkt_id)) / 1000.0::DOUBLE AS iat,
   proto = 6 AND row_number() OVER (PARTITION BY flow_id, fwd, tcp_seq, payload_len ORDER BY ts_us, pkt_id) > 1 AS again,
-  proto = 17 AND dns_qr = 0 AND (dst_port = 53 OR src_port = 53) AS dq, proto = 17 AND dns_qr = 1 AND dns_ttl > 0 AS dr
+  coalesce(dns_qr = 0, false) AS dq, coalesce(dns_qr = 0 AND dns_qdcount > 0, false) AS dt, coalesce(dns_qr = 1 AND dns_ancount > 0, false) AS dr
  FROM seg),
 rec AS (SELECT flow_id, min(ts_us) AS t0, max(ts_us) AS t1,
   arg_min(src_ip, rn) AS src_ip, arg_min(src_port, rn) AS src_port, arg_min(dst_ip, rn) AS dst_ip,
@@ -66,7 +66,7 @@ rec AS (SELECT flow_id, min(ts_us) AS t0, max(ts_us) AS t1,
   count(*) FILTER (ip_len > 256 AND ip_len <= 512) AS n512, count(*) FILTER (ip_len > 512 AND ip_len <= 1024) AS n1024,
   count(*) FILTER (ip_len > 1024 AND ip_len <= 1514) AS n1514,
   coalesce(max(tcp_window) FILTER (fwd), 0) AS win_in, coalesce(max(tcp_window) FILTER (NOT fwd), 0) AS win_out,
-  coalesce(arg_max(dns_id, rn) FILTER (dq), 0) AS dns_id, coalesce(arg_max(dns_qtype, rn) FILTER (dq), 0) AS dns_qtype,
+  coalesce(arg_max(dns_id, rn) FILTER (dq), 0) AS dns_id, coalesce(arg_max(dns_qtype, rn) FILTER (dt), 0) AS dns_qtype,
   coalesce(arg_max(dns_ttl, rn) FILTER (dr), 0) AS dns_ttl,
   coalesce(min(iat) FILTER (fwd), 0) AS fmin, coalesce(max(iat) FILTER (fwd), 0) AS fmax,
   coalesce(avg(iat) FILTER (fwd), 0) AS favg, coalesce(stddev_pop(iat) FILTER (fwd), 0) AS fstd,

@@ -14,7 +14,7 @@ from flowlake.plans.detection import AL, KL_SQL, active_rules
 from flowlake.plans.flows import APP_CACHE, KEYED, NF_VIEWS, nf_columns_sql
 from flowlake.plans.registry import ORACLES, query, rounded
 from flowlake.plans.tables import CLEAN, RF, raw_flows
-from flowlake.session import new_path
+from flowlake.session import new_path, settle
 from flowlake.streaming import alerts as sal
 from flowlake.streaming import flows as sfl
 from flowlake.streaming.jobs import batch_sink, collected, drain, file_stream, latest
@@ -51,15 +51,30 @@ def send_heartbeat(spark, sf, schema, folder):
     row.select(*cols).write.mode("append").parquet(folder)
 
 
+BATCHES = 6
+
+
+def arriving(spark, sf):
+    """The packets as a folder of files, one micro-batch each, up to 20 seconds out of order."""
+    folder = new_path(spark, "packets-arriving")
+    packets = table(spark, sf, "packets")
+    bounds = packets.agg(F.min("ts_us").alias("lo"), (F.max("ts_us") + 20_000_001).alias("hi")).first()
+    arrival = F.col("ts_us") + F.pmod(F.xxhash64("pkt_id"), F.lit(20_000_000))
+    cut = F.floor((arrival - bounds["lo"]) * BATCHES / F.lit(bounds["hi"] - bounds["lo"]))
+    spread = settle(packets.withColumn("file", cut), "packets-spread")
+    for i in range(BATCHES):
+        spread.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(folder)
+    return folder, packets.schema
+
+
 @query("stream_flows", nf_columns_sql(NF_VIEWS["nfv3_flows"]))
 def stream_flows(spark, sf):
-    packets = stream_table(spark, sf, "packets")
-    beat, path = new_path(spark, "heartbeat"), new_path(spark, "stream-flows")
-    tagged = sfl.tagged_packets(with_heartbeat(spark, packets, beat))
-    checkpoint = drain(tagged, sfl.flow_sink(path))
-    send_heartbeat(spark, sf, packets.schema, beat)
-    drain(tagged, sfl.flow_sink(path), checkpoint=checkpoint)
-    return rounded(spark.read.parquet(path).filter("IPV4_SRC_ADDR <> '0.0.0.0'").select("flow_id", *NF_VIEWS["nfv3_flows"]), 4)
+    folder, schema = arriving(spark, sf)
+    path, state = new_path(spark, "stream-flows"), new_path(spark, "stream-flow-state")
+    sink = sfl.flow_sink(sfl.FlowState(spark, state, schema), path)
+    drain(file_stream(spark, folder, "*.parquet", schema, max_files=1), sink)
+    sfl.flush(sfl.FlowState(spark, state, schema), path)
+    return rounded(spark.read.parquet(path).select("flow_id", *NF_VIEWS["nfv3_flows"]), 4)
 
 
 @query("stream_traffic", AL + "SELECT CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS second_s, count(*) AS traffic, count(*) FILTER (is_attack) AS attacks FROM alerts GROUP BY 1")

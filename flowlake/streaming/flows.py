@@ -1,118 +1,89 @@
-"""Flow assembly over a stream of packets.
+"""Flow assembly over a stream of packets, in micro-batches with the batch segmentation.
 
-State per flow key: the packets of its open flow, at most the active timeout plus one gap.  Packets
-of one call are taken in (ts_us, pkt_id) order under the same rules as the batch segmentation; an event-time timer
-closes a flow that stays silent.  Closed flows leave as tagged packets, which each micro-batch turns into records with
-the batch code.  Packets later than the watermark are dropped.
+Packets wait until the watermark has passed them, so packets that come out of order are still taken in order.  Each
+micro-batch adds the packets that are due to those of the flows still open, segments them with the batch operator
+(which spreads hot keys), writes the flows that have closed as records, and carries the packets of the open ones and of
+those not due below the state folder.  Packets that come after the watermark has passed them are dropped and counted.
 """
 
 from __future__ import annotations
 
-from collections import namedtuple
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from flowlake.operators.flow_keys import flow_keys
 from flowlake.operators.nfv3_features import nfv3_record
-from flowlake.operators.nfv3_segments import US, CloseRules, mark_flags
-
-class OpenFlow:
-    """Close signals of one flow, advanced packet by packet."""
-
-    def __init__(self, first):
-        self.flow_id, self.lo0, self.t0, self.last = first.pkt_id, first.from_lo, first.ts_us, first.ts_us
-        self.fins, self.deadline = set(), None
-
-    def include(self, p, rules: CloseRules) -> bool:
-        """Add a packet; True when the flow closes after it."""
-        late = self.deadline is not None and p.ts_us > self.deadline
-        self.last = p.ts_us
-        if p.fin:
-            self.fins.add(p.from_lo)
-            if self.deadline is None:
-                self.deadline = p.ts_us + rules.fin_grace_s * US
-        return bool(p.rst or late or p.ts_us - self.t0 > rules.active_s * US or len(self.fins) == 2)
-
-
-class FlowAssembler(StatefulProcessor):
-    """Holds the packets of the key's open flow; its signals follow from them, so they are the only state."""
-
-    def __init__(self, packet_schema: T.StructType, rules: CloseRules):
-        self.names, self.packet_schema, self.rules = packet_schema.names, packet_schema, rules
-        self.row = namedtuple("Packet", self.names)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.packets = handle.getListState("packets", self.packet_schema)
-
-    def _held(self) -> tuple[OpenFlow | None, list]:
-        rows = [self.row(*r) for r in self.packets.get()]
-        flow = OpenFlow(rows[0]) if rows else None
-        for p in rows:
-            flow.include(p, self.rules)
-        return flow, rows
-
-    def _tagged(self, key: str, closed: list[tuple[OpenFlow, list]]) -> pd.DataFrame:
-        """Packets of closed flows, with the columns the batch segmentation adds."""
-        out = pd.DataFrame([(*p, key, flow.flow_id, p.from_lo == flow.lo0) for flow, rows in closed for p in rows],
-                           columns=[*self.names, "flow_key", "flow_id", "fwd"])
-        return out.drop(columns=["fin", "rst", "may_start"])
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = sorted((self.row(*p) for pdf in rows for p in zip(*[pdf[n].tolist() for n in self.names])),
-                       key=lambda p: (p.ts_us, p.pkt_id))
-        flow, held = self._held()
-        closed = []
-        for p in fresh:
-            if flow and p.ts_us - flow.last > self.rules.inactive_s * US:
-                closed.append((flow, held))
-                flow, held = None, []
-            if flow is None and p.may_start:
-                flow = OpenFlow(p)
-            if flow:
-                held.append(p)
-                if flow.include(p, self.rules):
-                    closed.append((flow, held))
-                    flow, held = None, []
-        if flow:
-            self.packets.put([tuple(p) for p in held])
-            self.handle.registerTimer(self._silent_ms(flow))
-        else:
-            self.packets.clear()
-        if closed:
-            yield self._tagged(key[0], closed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        flow, held = self._held()
-        if flow and self._silent_ms(flow) <= expiredTimerInfo.getExpiryTimeInMs():  # else a later packet set a later timer
-            self.packets.clear()
-            yield self._tagged(key[0], [(flow, held)])
-
-    def _silent_ms(self, flow: OpenFlow) -> int:
-        return (flow.last + self.rules.inactive_s * US) // 1000 + 1
-
-    def close(self) -> None:
-        pass
-
-
-def tagged_packets(packets: DataFrame, rules: CloseRules = CloseRules(), late_s: int = 30) -> DataFrame:
-    """Packets of closed flows, tagged as the batch segmentation tags them."""
-    marked = mark_flags(flow_keys(packets), rules).withColumn("ts", F.timestamp_micros("ts_us"))
-    kept = T.StructType([T.StructField(f.name, f.dataType) for f in marked.schema if f.name not in ("flow_key", "ts")])
-    out = T.StructType([*[f for f in kept if f.name not in ("fin", "rst", "may_start")], T.StructField("flow_key", T.StringType()),
-                        T.StructField("flow_id", T.LongType()), T.StructField("fwd", T.BooleanType())])
-    return (marked.withWatermark("ts", f"{late_s} seconds").groupBy("flow_key")
-            .transformWithStateInPandas(FlowAssembler(kept, rules), outputStructType=out, outputMode="Append",
-                                        timeMode="EventTime"))
-
-
-def flow_sink(path: str):
-    """Each micro-batch's closed flows as NetFlow-v3 records."""
+from flowlake.operators.nfv3_segments import US, CloseRules, segment_flows
+from flowlake.session import settle
+
+MARKS = "batch long, watermark_us long, n_late long"
+SLOTS = 3  # states kept: the one that is written, the one before it, and a spare for a batch that is run again
+
+
+class FlowState:
+    """What is carried from batch to batch, in a few folders that take turns; it survives restarts of the stream."""
+
+    def __init__(self, spark: SparkSession, folder: str, packet_schema: T.StructType):
+        self.spark, self.folder = spark, folder
+        self.packet_schema = T.StructType([*packet_schema.fields, T.StructField("batch", T.LongType())])
+        for name, schema in (("packets", self.packet_schema), ("marks", MARKS)):
+            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}/slot=-1")
+
+    def before(self, batch_id: int) -> tuple[DataFrame, int | None, int]:
+        """Packets, watermark and number of late packets after the last batch before ``batch_id``."""
+        marks = self.spark.read.schema(MARKS).parquet(f"{self.folder}/marks").where(F.col("batch") < batch_id)
+        last = marks.orderBy(F.desc("batch")).first()
+        slot = last["batch"] % SLOTS if last else -1  # never the slot that batch_id is written to
+        held = self.spark.read.schema(self.packet_schema).parquet(f"{self.folder}/packets/slot={slot}")
+        held = held.where(F.col("batch") == (last["batch"] if last else -1)).drop("batch")
+        return held, last["watermark_us"] if last else None, last["n_late"] if last else 0
+
+    def save(self, batch_id: int, packets: DataFrame, watermark_us: int | None, late: int) -> None:
+        slot = f"slot={batch_id % SLOTS}"
+        packets.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/packets/{slot}")
+        self.spark.createDataFrame([(batch_id, watermark_us, late)], MARKS).write.mode("overwrite").parquet(f"{self.folder}/marks/{slot}")
+
+
+def closed_and_open(due: DataFrame, watermark_us: int | None, rules: CloseRules) -> tuple[DataFrame, DataFrame]:
+    """Packets of flows that no later packet can change, and of those that may go on.
+
+    Of each key all flows but the newest are closed; so is the newest after a silence.  Without watermark all are.
+    """
+    tagged = segment_flows(due, rules)
+    if watermark_us is None:
+        return tagged, tagged.where(F.lit(False))
+    ends = tagged.groupBy("flow_key", "flow_id").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
+    newest = F.row_number().over(Window.partitionBy("flow_key").orderBy(F.desc("t0"), F.desc("flow_id"))) == 1
+    going = settle(ends.withColumn("newest", newest).where("newest").where(
+        F.col("t1") + rules.inactive_s * US >= watermark_us).select("flow_key", "flow_id"), "open-flows")
+    keys = ["flow_key", "flow_id"]
+    return tagged.join(going, keys, "left_anti"), tagged.join(going, keys, "left_semi")
+
+
+def flow_sink(state: FlowState, path: str, rules: CloseRules = CloseRules(), late_s: int = 30):
+    """Sink that writes each micro-batch's closed flows as NetFlow-v3 records; a batch that is run again gives the same."""
     def write(df: DataFrame, batch_id: int) -> None:
-        nfv3_record(df).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        held, watermark, late = state.before(batch_id)
+        fresh = settle(df, "stream-packets")
+        stats = fresh.agg(F.max("ts_us").alias("top"), F.count_if(F.col("ts_us") <= F.lit(watermark).cast("long")).alias("late")).first()
+        if watermark is not None:
+            fresh = fresh.where(F.col("ts_us") > watermark)
+        moved = [t for t in (watermark, stats["top"] - late_s * US if stats["top"] is not None else None) if t is not None]
+        watermark = max(moved, default=None)
+        pool = held.unionByName(fresh)
+        if watermark is None:
+            state.save(batch_id, pool, None, late)
+            return
+        closed, going = closed_and_open(pool.where(F.col("ts_us") <= watermark), watermark, rules)
+        nfv3_record(closed).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        kept = going.select(*pool.columns).unionByName(pool.where(F.col("ts_us") > watermark))
+        state.save(batch_id, kept, watermark, late + (stats["late"] or 0))
     return write
+
+
+def flush(state: FlowState, path: str, rules: CloseRules = CloseRules()) -> int:
+    """Close all open flows at the end of a stream; returns the number of late packets."""
+    held, _, late = state.before(1 << 62)
+    closed, _ = closed_and_open(held, None, rules)
+    nfv3_record(closed).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    return late
