@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORDS = 5  # of a shingle
 VALUES = 128  # of a signature
 TREES, SHORTEST, DEPTH = 20, 4, 24  # orders; least common prefix; length of a sort key
+BLOCK = 512  # rows of a dense region that go on together
 NEAR, PIVOTS = 2, 3  # neighbours on one side; middles of a dense region that all its rows meet
 _random = np.random.default_rng(20240501)
 FACTORS = _random.integers(1, 2 ** 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,20 +135,20 @@ def sorted_orders(classes: DataFrame) -> DataFrame:
     return rows.repartitionByRange("tree", "key", "node").sortWithinPartitions("tree", "key", "node")
 
 
-MET = "kind string, tree int, key binary, a bigint, b bigint"
+MET = "kind string, tree int, key binary, a bigint, b bigint, block bigint"
 
 
-def met_rows(kind: str, tree, key, a, b) -> pa.RecordBatch:
+def met_rows(kind: str, tree, key, a, b, block=None) -> pa.RecordBatch:
     n = len(a)
     return pa.RecordBatch.from_arrays([
         pa.array([kind] * n, pa.string()), pa.nulls(n, pa.int32()) if tree is None else pa.array(tree, pa.int32()),
-        pa.nulls(n, pa.binary()) if key is None else pa.array(key, pa.binary()), pa.array(a, pa.int64()),
-        pa.array(b, pa.int64())], ["kind", "tree", "key", "a", "b"])
+        pa.nulls(n, pa.binary()) if key is None else pa.array(key, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
+        pa.nulls(n, pa.int64()) if block is None else pa.array(block, pa.int64())], ["kind", "tree", "key", "a", "b", "block"])
 
 
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What one range of the orders shows: ``pair`` rows (a, b), ``member`` rows (region, node a, prefix sizes b) of the
-    regions with more rows than their neighbours cover, and ``edge`` rows (key, node a), the first and last of the range.
+    regions with more rows than their neighbours cover, in blocks of at most ``BLOCK`` rows, and ``edge`` rows (key, node a), the first and last of the range.
     """
     held = [b for b in batches if b.num_rows]
     if not held:
@@ -163,7 +165,8 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.bincount(region)[region]
     dense = np.flatnonzero((size > NEAR + 1) | (region == 0) | (region == region[-1]))
     score = prefix_sizes(changed)
-    yield met_rows("member", trees[dense], [keys[i][:2 * SHORTEST] for i in dense], nodes[dense], score[dense])
+    block = (TaskContext.get().partitionId() << 32) + dense // BLOCK
+    yield met_rows("member", trees[dense], [keys[i][:2 * SHORTEST] for i in dense], nodes[dense], score[dense], block)
     ends = sorted({*range(min(NEAR, len(nodes))), *range(max(0, len(nodes) - NEAR), len(nodes))})
     yield met_rows("edge", trees[ends], [keys[i] for i in ends], nodes[ends], nodes[ends])
 
@@ -181,17 +184,18 @@ def candidates(classes: DataFrame) -> DataFrame:
 
     Each class meets its ``NEAR`` neighbours on both sides in every order if they share the shortest prefix.  In dense
     regions these are only the nearest; there each class also meets the ``PIVOTS`` classes in the middle of the region,
-    those of the largest prefix sizes over all orders.  So the number of candidates stays in proportion to the classes.
+    those of the largest prefix sizes over all orders; a region goes to that join in blocks, so a large one is spread.  So the number of candidates stays in proportion to the classes.
     """
     met = settle(sorted_orders(classes).mapInArrow(walk, MET), "forest-walk")
     across = (met.where("kind = 'edge'").select("tree", "key", "a").groupBy("tree")
               .applyInPandas(stitch, "a bigint, b bigint"))
-    members = met.where("kind = 'member'").select("tree", "key", F.col("a").alias("node"), F.col("b").alias("score"))
+    members = met.where("kind = 'member'").select("tree", "key", "block", F.col("a").alias("node"), F.col("b").alias("score"))
     density = members.groupBy("node").agg(F.sum("score").alias("density"))
     place = F.row_number().over(Window.partitionBy("tree", "key").orderBy(F.desc("density"), "node"))
     middle = settle(members.join(density, "node").withColumn("place", place).where(F.col("place") <= PIVOTS)
                     .select("tree", "key", F.col("node").alias("pivot")), "forest-pivots")
-    to_pivots = (members.join(middle, ["tree", "key"]).where("node <> pivot")
+    blocks = members.select("tree", "key", "block").distinct().join(middle, ["tree", "key"])
+    to_pivots = (members.join(blocks, ["tree", "key", "block"]).where("node <> pivot")
                  .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
     return met.where("kind = 'pair'").select("a", "b").union(across).union(to_pivots).distinct()
 
