@@ -32,9 +32,9 @@ class Bands:
     """
 
     lengths: tuple[int, ...] = (256, 1024, 4096, 16384)
-    limits: tuple[tuple[float, float], ...] = ((0.35, 1.10), (0.28, 0.95), (0.24, 0.85), (0.20, 0.80), (0.15, 0.80))
+    limits: tuple[tuple[float, float], ...] = ((0.35, 1.10), (0.28, 0.90), (0.24, 0.76), (0.20, 0.72), (0.15, 0.70))
     chunk: int = 2048
-    chunk_limits: tuple[float, float] = (0.20, 0.85)
+    chunk_limits: tuple[float, float] = (0.20, 0.75)
     level: int = 3
 
 

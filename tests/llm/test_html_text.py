@@ -8,7 +8,7 @@ PARAGRAPHS = ["First paragraph, with some words; and a few more. It goes on, and
 PLAIN = [PARAGRAPHS[0], "Second one & more: café € 5, as it was said. Nobody knows, but it is so.", PARAGRAPHS[2]]
 NOISE = ["<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News, sports, and more.</a></li></ul></nav>",
          "<header><h2>The Daily Site. All of the news, every day.</h2></header>",
-         "<div class='ad'>Buy this now, it is cheap. It is good, too, they say. " * 3 + "</div>",
+         "<div class='ad'>" + "Buy this now, it is cheap. It is good, too, they say. " * 3 + "</div>",
          "<div class='cookie-notice'>We use cookies, and so on. Please accept them all, now.</div>",
          "<aside>Also read: this, that, and the other story. It is long, too.</aside>",
          "<form>Your name, please: <input><textarea>nothing</textarea></form>",

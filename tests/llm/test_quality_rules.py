@@ -1,3 +1,4 @@
+import base64
 import random
 from collections import Counter
 
@@ -42,7 +43,7 @@ def test_bands_reject_repetition_and_noise():
     prose = " ".join("".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]) for _ in range(rng.randint(1, 4)))
                      for _ in range(800))
     block = " ".join(prose.split()[:120])
-    noise = " ".join("".join(chr(rng.randint(33, 0x2FFF)) for _ in range(9)) for _ in range(800))
+    noise = " ".join(base64.b64encode(rng.randbytes(30)).decode() for _ in range(300))
     assert judged(prose, Bands(), packer)[-1]
     assert not judged(" ".join([f"{block} {i}" for i in range(60)]), Bands(), packer)[-1]
     assert not judged(noise, Bands(), packer)[-1]
