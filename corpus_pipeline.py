@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +39,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once, or up to three times."""
-    keys = ["doc_id", "source", "size"]
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64("text"), "text")
-    numbered = docs.withColumn("size", word_count(F.col("text"))).withColumn("nth", F.row_number().over(order).cast("long"))
+    size, nth = fresh(docs, "mix_size"), fresh(docs, "mix_nth")
+    order = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"), "text")
+    numbered = docs.withColumn(size, word_count(F.col("text"))).withColumn(nth, F.row_number().over(order).cast("long"))
+    keys = {"doc_id": "doc_id", "source": "source", "size": size, "nth": nth}
     taken = settle(mixing.mix(docs, numbered=True).where("copies > 0").select(
-        *[F.col(k).alias(f"k_{k}") for k in (*keys, "nth")], "copies"), "pipeline-mix")
-    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in (*keys, "nth")]
-    met = numbered.join(taken, same[0] & same[1] & same[2] & same[3])
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("copies").alias("__copies")), "pipeline-mix")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in keys.items()])
+    met = numbered.join(taken, same)
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def pack_lengths(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -70,11 +69,11 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     least = np.full(VALUES, np.iinfo(np.uint64).max, dtype=np.uint64)
     for a in range(0, len(hashes), 256):
         np.minimum(least, (hashes[a:a + 256, None] * FACTORS + TERMS).min(axis=0), out=least)
-    return (least ^ (least >> np.uint64(23))).astype(np.uint16)
+    return (least ^ (least >> np.uint64(23))).astype(np.uint16).view(np.int16)
 
 
 def trimmed(memo: dict) -> None:
-    if len(memo) > 200_000:
+    if len(memo) > 50_000:
         memo.clear()
 
 
@@ -88,11 +87,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int16()))],
                 ["doc_id", "n_shingles", "set_id", "signature"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_id binary, signature binary")
+        run, "doc_id bigint, n_shingles bigint, set_id binary, signature array<smallint>")
 
 
 def prefix_sizes(changed: np.ndarray) -> np.ndarray:
@@ -124,7 +123,7 @@ def sorted_orders(classes: DataFrame) -> DataFrame:
     """
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, VALUES)
+            values = batch.column(1).flatten().to_numpy().view(np.uint16).reshape(-1, VALUES)
             for t, at in enumerate(POSITIONS):
                 keys = np.ascontiguousarray(values[:, at].astype(">u2"))
                 yield pa.RecordBatch.from_arrays([
@@ -171,12 +170,12 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield met_rows("edge", trees[ends], [keys[i] for i in ends], nodes[ends], nodes[ends])
 
 
-def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across the cuts of one order, from the few rows at the ends of its ranges."""
-    pdf = pdf.sort_values(["key", "a"])
-    keys = np.frombuffer(b"".join(pdf["key"]), ">u2").reshape(-1, DEPTH)
-    order = np.column_stack([np.zeros(len(pdf), ">u2"), keys])
-    return pd.DataFrame(neighbours(order, pdf["a"].to_numpy(np.int64)), columns=["a", "b"])
+def stitched(edges: DataFrame) -> DataFrame:
+    """Pairs across the cuts of the orders, from the few rows at the ends of the ranges (tree, key, a)."""
+    w, prefix = Window.partitionBy("tree").orderBy("key", "a"), F.substring("key", 1, 2 * SHORTEST)
+    near = F.array(*[F.when(F.lead(prefix, j).over(w) == prefix, F.lead("a", j).over(w)) for j in range(1, NEAR + 1)])
+    pairs = edges.select("tree", "key", "a").distinct().withColumn("near", near).select("a", F.explode("near").alias("b"))
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -187,8 +186,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     those of the largest prefix sizes over all orders; a region goes to that join in blocks, so a large one is spread.  So the number of candidates stays in proportion to the classes.
     """
     met = settle(sorted_orders(classes).mapInArrow(walk, MET), "forest-walk")
-    across = (met.where("kind = 'edge'").select("tree", "key", "a").groupBy("tree")
-              .applyInPandas(stitch, "a bigint, b bigint"))
+    across = stitched(met.where("kind = 'edge'"))
     members = met.where("kind = 'member'").select("tree", "key", "block", F.col("a").alias("node"), F.col("b").alias("score"))
     density = members.groupBy("node").agg(F.sum("score").alias("density"))
     place = F.row_number().over(Window.partitionBy("tree", "key").orderBy(F.desc("density"), "node"))
@@ -209,15 +207,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
     share = percent / 100
     least = int(VALUES * share - 5 * (VALUES * share * (1 - share)) ** 0.5)
 
-    @F.pandas_udf("int")
-    def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
-        left, right = (np.frombuffer(b"".join(v), np.uint16).reshape(-1, VALUES) for v in (x, y))
-        return pd.Series((left == right).sum(axis=1), dtype="int32")
+    agreement = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
 
     mark = classes.select("rep", "signature", "n_shingles")
     both = (pairs.join(mark.toDF("a", "sa", "na"), "a").join(mark.toDF("b", "sb", "nb"), "b")
             .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    likely = settle(both.where(agreement("sa", "sb") >= least).select("a", "b"), "forest-likely")
+    likely = settle(both.where(agreement >= least).select("a", "b"), "forest-likely")
     asked = settle(likely.select("a").union(likely.select("b")).distinct(), "forest-asked")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

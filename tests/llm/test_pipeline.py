@@ -10,7 +10,7 @@ import corpus_pipeline as pipe
 from flowlake.llm import mixing, neardup, quality_model, secrets
 from flowlake.llm.queries import ORACLES, QUERIES, fitted_quality
 from flowlake.session import settle
-from tests.conftest import SMALL
+from tests.conftest import MIDDLE, SMALL
 from tests.llm.rows import awkward_docs, no_docs
 from tests.llm.test_neardup import brute
 
@@ -30,20 +30,20 @@ def test_query_equals_sql(spark, name):
 
 
 def test_stages_one_by_one(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     stages = dict(pipe.STAGES)
 
-    good = settle(stages["quality"](spark, docs, SMALL), "t")
+    good = settle(stages["quality"](spark, docs, MIDDLE), "t")
     assert good.columns == docs.columns
-    score = quality_model.scored(docs, fitted_quality(spark, SMALL, docs))
+    score = quality_model.scored(docs, fitted_quality(spark, MIDDLE, docs))
     assert sorted(good.collect()) == sorted(score.where("score >= 0.7").select(*docs.columns).collect())
 
-    one = settle(stages["near_duplicates"](spark, good, SMALL), "t")
+    one = settle(stages["near_duplicates"](spark, good, MIDDLE), "t")
     group = brute([(r["doc_id"], r["text"]) for r in good.collect()])
     assert sorted(r["doc_id"] for r in one.collect()) == sorted(i for i, (_, c) in group.items() if i == c)
     assert one.columns == docs.columns
 
-    clean = settle(stages["secrets"](spark, one, SMALL), "t")
+    clean = settle(stages["secrets"](spark, one, MIDDLE), "t")
     before, after = ({r["doc_id"]: r for r in df.collect()} for df in (one, clean))
     assert before.keys() == after.keys() and clean.columns == docs.columns
     touched = [i for i in before if before[i] != after[i]]
@@ -51,14 +51,14 @@ def test_stages_one_by_one(spark):
     again = secrets.digest(secrets.scan(clean, secrets.create_ledger(spark, pipe.new_path(spark, "l")))).where("n_access + n_hex > 0")
     assert again.count() == 0
 
-    mixed = settle(stages["mix"](spark, clean, SMALL), "t")
+    mixed = settle(stages["mix"](spark, clean, MIDDLE), "t")
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(clean).collect()}
     got = Counter(r["doc_id"] for r in mixed.collect())
     assert got == Counter({k: v for k, v in want.items() if v}) and mixed.columns == docs.columns
 
-    packed = stages["pack"](spark, mixed, SMALL)
+    packed = stages["pack"](spark, mixed, MIDDLE)
     assert Counter(r["doc_id"] for r in packed.collect()) == got
-    assert sorted(map(str, packed.collect())) == sorted(map(str, pipe.run(spark, SMALL).collect()))
+    assert sorted(map(str, packed.collect())) == sorted(map(str, pipe.run(spark, MIDDLE).collect()))
 
 
 def test_awkward_rows_pass_every_stage(spark):
