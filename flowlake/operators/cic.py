@@ -77,7 +77,7 @@ def cic_record(segmented: DataFrame) -> DataFrame:
     idle = F.col("gap_us") > fv.CIC_IDLE_GAP_S * US
 
     shared = {
-        "lo_first": F.bool_or(opens & lo), "first_window": F.max(F.when(opens, F.col("tcp_window"))),
+        "lo_first": F.bool_or(opens & lo), "first_window": F.coalesce(F.max(F.when(opens, F.col("tcp_window"))), F.lit(0)),
         "t0": F.min("ts_us"), "t1": F.max("ts_us"),
         **_stats("Pkt Len", length, ("Min", "Max", "Mean", "Std", "Var")), "tot_bytes": F.sum(length),
         **_stats("Flow IAT", gap, ("Mean", "Std", "Max", "Min")),

