@@ -15,6 +15,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowlake.llm.common import fresh
+
 SPAN = "struct<rule:string,start:bigint,end:bigint>"
 LEDGER_COLUMNS = {"blob": "binary", "scanned": "array<string>", "found": f"array<{SPAN}>"}
 LEDGER_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in LEDGER_COLUMNS.items())
@@ -136,8 +138,9 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
     """``versions`` with the spans found in each text, after bringing the ledger up to date.
 
     All rows stay, in any number of copies, with all their columns; without finding, or without text, the list is
-    empty.  An empty table only leaves an empty increment.
+    empty.  ``name`` gets underscores if it is taken.  An empty table only leaves an empty increment.
     """
+    name = fresh(versions, name)
     extend_ledger(versions, ledger, rules, text)
     found = findings(versions.sparkSession, ledger, rules).select(F.col("blob").alias("__blob"), F.col("spans").alias(name))
     keyed = versions.withColumn("__blob", blob_id(F.col(text)))
