@@ -20,6 +20,7 @@ from flowlake.llm.common import fresh
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+SLICE = 12  # documents of a language and slice of ids in the training sample
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,7 @@ class ByteNet:
                 setattr(self, k, (getattr(self, k) - change).astype(np.float32))
         return self
 
-    def predict(self, texts: list[str | None], batch: int = 256) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], batch: int = 32) -> tuple[list[str], list[float]]:
         """Language and its share of each whole text: softmax of the mean log share over all of its windows."""
         cut = [windows(t.encode(), self.shape.window) if t and LETTER.search(t) else None for t in texts]
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -108,10 +109,9 @@ class ByteNet:
         if not todo or not self.languages:
             return names, scores
         rows, owner = np.concatenate([cut[i] for i in todo]), np.repeat(np.arange(len(todo)), [len(cut[i]) for i in todo])
-        sums = np.zeros((len(todo), len(self.languages)))
-        for a in range(0, len(rows), batch):
-            np.add.at(sums, owner[a:a + batch], self.log_shares(rows[a:a + batch]))
-        means = sums / np.bincount(owner)[:, None]
+        logs = np.concatenate([self.log_shares(rows[a:a + batch]) for a in range(0, len(rows), batch)])
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        means = np.add.reduceat(logs.astype(np.float64), starts, axis=0) / np.bincount(owner)[:, None]
         shares = np.exp(means - means.max(axis=1, keepdims=True))
         shares /= shares.sum(axis=1, keepdims=True)
         for i, s in zip(todo, shares, strict=True):
@@ -121,19 +121,20 @@ class ByteNet:
 
 def fit(docs: DataFrame, learnable: Column, per_language: int = 600, pieces: int = 4, shape: Shape = Shape(),
         steps: int = 600, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNet:
-    """Train on a bounded sample: of each language at most ``per_language`` documents, the first in hash order, and of
-    each at most ``pieces`` windows at hashed places.
+    """Train on a bounded sample: of each language at most ``per_language`` documents, the first in hash order of each of
+    some slices of the ids (so no task sees a whole language), and of each at most ``pieces`` windows at hashed places.
 
     Rows without text, without a letter or without language teach nothing; without any there is no language to name.
     """
-    usable = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(doc_id, text, lang)
-    key = F.xxhash64(doc_id)
-    first = usable.withColumn("place", F.row_number().over(Window.partitionBy(lang).orderBy(key, doc_id)))
-    n, length = F.length(text), shape.window
+    key, n, length = F.xxhash64(doc_id), F.length(text), shape.window
     places = F.transform(F.sequence(F.lit(1), F.lit(pieces)), lambda i: F.substring(
         F.col(text), F.pmod(F.xxhash64(F.col(doc_id), i), F.greatest(n - length, F.lit(1))).cast("int") + 1, F.lit(length)))
-    rows = (first.where(F.col("place") <= per_language).select(lang, "place", F.array_distinct(places).alias("parts"))
-            .orderBy(lang, "place").collect())
+    usable = (docs.where(learnable & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+              .select(lang, key.alias("key"), F.array_distinct(places).alias("parts")))
+    slices = max(1, per_language // SLICE)
+    order = Window.partitionBy(lang, F.pmod("key", F.lit(slices))).orderBy("key", "parts")
+    first = usable.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language // slices)
+    rows = first.orderBy(lang, "key", "parts").collect()
     languages = sorted({r[lang] for r in rows})
     x = [windows(p.encode(), length)[0] for r in rows for p in r["parts"] if LETTER.search(p)]
     y = [languages.index(r[lang]) for r in rows for p in r["parts"] if LETTER.search(p)]
