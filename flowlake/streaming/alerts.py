@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowlake.operators.datasets import sequences
 from flowlake.operators.drift import histogram, kl_of_shares, shares
 from flowlake.operators.scoring import raise_alerts
-from flowlake.session import new_path
 
 
 def alert_sink(read_rules: Callable[[SparkSession], DataFrame], scorer_name: str, path: str):
@@ -53,23 +53,24 @@ def sequence_sink(spark: SparkSession, features: list[str], path: str, length: i
                   id_col: str = "row_id"):
     """Windows over the last ``length`` rows per sensor, across micro-batches.
 
-    Only the newest ``length - 1`` rows per sensor are carried, in a small table per batch; the windows themselves use
-    the batch operator, so one busy sensor is spread over many tasks.  Rows must arrive in id order between batches.
+    Only the newest ``length - 1`` rows per sensor are carried, in a small table beside the sink's folder that outlives
+    a restart; the windows themselves use the batch operator, so one busy sensor is spread over many tasks.  Rows must
+    arrive in id order between batches.  An empty batch hands the carried rows on.
     """
-    carry = new_path(spark, "sequence-carry")
+    carry = f"{path.rstrip('/')}-carry"
 
     def write(df: DataFrame, batch_id: int) -> None:
-        if df.isEmpty():
-            return
-        rows = df.withColumn("fresh", F.lit(True))
-        if batch_id > 0:
-            earlier = spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{carry}/{batch_id - 1}")
-            rows = rows.unionByName(earlier.withColumn("fresh", F.lit(False)))
+        kept = T.StructType([*df.schema.fields, T.StructField("__batch", T.LongType())])
+        spark.createDataFrame([], kept).write.mode("ignore").parquet(f"{carry}/slot=-1")
+        last = spark.read.schema(kept).parquet(carry).where(F.col("__batch") < batch_id).agg(F.max("__batch")).first()[0]
+        slot = -1 if last is None else last % 3  # three slots take turns: the one read is never the one written
+        earlier = spark.read.schema(kept).parquet(f"{carry}/slot={slot}").where(F.col("__batch") == last).drop("__batch")
+        rows = df.withColumn("fresh", F.lit(True)).unionByName(earlier.withColumn("fresh", F.lit(False)))
         sequences(rows, features, length, by, id_col).filter("fresh").drop("fresh").write.mode("overwrite").parquet(
             f"{path}/batch={batch_id}")
         newest = Window.partitionBy(by).orderBy(F.desc(id_col))
         (rows.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") < length).drop("rn", "fresh")
-         .write.mode("overwrite").parquet(f"{carry}/{batch_id}"))
+         .withColumn("__batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{carry}/slot={batch_id % 3}"))
     return write
 
 

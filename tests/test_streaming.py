@@ -63,9 +63,14 @@ def test_sequences_across_batches(spark, tmp_path):
     folder, path = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([], df.schema).write.parquet(folder)
     stream = spark.readStream.schema(df.schema).parquet(folder)
-    checkpoint, sink = None, sal.sequence_sink(spark, ["v"], path, length=5)
-    for _ in feed(df, folder, 4, "row_id"):
-        checkpoint = drain(stream, sink, checkpoint=checkpoint)
+    checkpoint = None
+    for _ in feed(df, folder, 4, "row_id"):  # each time a new sink: a restart
+        checkpoint = drain(stream, sal.sequence_sink(spark, ["v"], path, length=5), checkpoint=checkpoint)
+    last = spark.createDataFrame([(60, "true", 1), (61, "false", 2)], df.schema)
+    sink = sal.sequence_sink(spark, ["v"], path, length=5)
+    for batch, rows in ((4, last.filter("false")), (5, last), (5, last)):  # an empty batch, and one that is run again
+        sink(rows, batch)
+    df = df.union(last)
     got = {r.row_id: r.seq for r in spark.read.parquet(path).collect()}
     want = {r.row_id: r.seq for r in datasets.sequences(df, ["v"], length=5).collect()}
     assert got == want
