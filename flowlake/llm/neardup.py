@@ -4,7 +4,8 @@ Every document text becomes a set of 5-word shingles.  Texts with equal sets for
 smallest id.  The forest holds several orders of the classes, each sorted by another sequence of signature values, so
 that classes with a long common prefix lie side by side.  Neighbours that share a prefix are candidates: in a sparse
 region a short prefix is enough, in a dense one the sort itself deepens it, since only the nearest in the order meet.
-Candidates are confirmed on the full sets, and links are joined to components.
+Candidates are confirmed on the full sets, and links are joined to components.  Where a dense region still holds several
+components, an exact join on the rarest shingles of its sets finds the links that the nearest did not show.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ VALUES = 128  # of a signature
 TREES, SHORTEST, DEPTH = 20, 4, 24  # orders; least common prefix; length of a sort key
 BLOCK = 512  # rows of a dense region that go on together
 NEAR, PIVOTS = 2, 3  # neighbours on one side; middles of a dense region that all its rows meet
+BITS = 20  # of a shingle, by which its frequency is counted
+SALTED = 500  # rows of one shingle that go together in the exact join
 _random = np.random.default_rng(20240501)
 FACTORS = _random.integers(1, 2 ** 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _random.integers(0, 2 ** 63, VALUES, dtype=np.uint64)
@@ -178,14 +181,19 @@ def stitched(edges: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def forest(classes: DataFrame) -> DataFrame:
+    """What all ranges of the sorted orders show (see ``walk``)."""
+    return settle(sorted_orders(classes).mapInArrow(walk, MET), "forest-walk")
+
+
+def candidates(classes: DataFrame, met: DataFrame | None = None) -> DataFrame:
     """Distinct pairs a < b of classes (rep, signature) that the forest brings together.
 
     Each class meets its ``NEAR`` neighbours on both sides in every order if they share the shortest prefix.  In dense
     regions these are only the nearest; there each class also meets the ``PIVOTS`` classes in the middle of the region,
     those of the largest prefix sizes over all orders; a region goes to that join in blocks, so a large one is spread.  So the number of candidates stays in proportion to the classes.
     """
-    met = settle(sorted_orders(classes).mapInArrow(walk, MET), "forest-walk")
+    met = forest(classes) if met is None else met
     across = stitched(met.where("kind = 'edge'"))
     members = met.where("kind = 'member'").select("tree", "key", "block", F.col("a").alias("node"), F.col("b").alias("score"))
     density = members.groupBy("node").agg(F.sum("score").alias("density"))
@@ -198,6 +206,103 @@ def candidates(classes: DataFrame) -> DataFrame:
     return met.where("kind = 'pair'").select("a", "b").union(across).union(to_pivots).distinct()
 
 
+def shingle_sets(docs: DataFrame, doc_id: str, text: str, asked: DataFrame) -> DataFrame:
+    """node, shingles: the sets, taken from the texts again, of the ids in ``asked`` (a)."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        for batch in batches:
+            trimmed(memo)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
+                [shingles(t.as_py(), memo).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    source = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("body"))
+    return (source.join(asked, source["node"] == asked["a"], "left_semi")
+            .mapInArrow(sets, "node bigint, shingles array<bigint>").where(F.size("shingles") > 0))
+
+
+def unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """a: the classes in dense regions that hold more than one component of ``roots`` (node, root)."""
+    members = met.where("kind = 'member'").select("tree", "key", "block", F.col("a").alias("node"))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = (placed.groupBy("tree", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+             .where((F.col("lo") < F.col("hi")) & (F.col("n") > NEAR + 1)).select("tree", "key"))
+    blocks = members.select("tree", "key", "block").distinct().join(mixed, ["tree", "key"], "left_semi")
+    return members.join(blocks, ["tree", "key", "block"], "left_semi").select(F.col("node").alias("a")).distinct()
+
+
+def counted_shingles(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all ``sets`` fall into each of 2 ** ``BITS`` buckets of their leading bits."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            at = batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            total += np.bincount(at.astype(np.int64), minlength=1 << BITS)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["bucket", "n"])
+
+    rows = sets.select("shingles").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BITS, np.int64)
+    counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return counts
+
+
+def rarest(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """token, node, n, at, short: the first shingles of each set in one order of all shingles, rare ones first.
+
+    Two sets of the given similarity, the larger of n shingles, share one of the first n - least + 1 of the larger,
+    where least = percent x n / 100, and it is among those of the smaller that are marked ``short``, as both share
+    2 x percent / (100 + percent) of the smaller.  ``at`` is the place of the shingle in its set.
+    """
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for node, values in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = values.values.to_numpy().view(np.uint64)
+                n = len(values)
+                ranked = values[np.lexsort((values, counts[(values >> np.uint64(64 - BITS)).astype(np.int64)]))]
+                ranked = ranked[:n - -(-percent * n // 100) + 1].view(np.int64)
+                shorter = n - -(-2 * percent * n // (100 + percent)) + 1
+                parts.append(np.column_stack([ranked, np.full(len(ranked), node), np.full(len(ranked), n), np.arange(len(ranked)),
+                                              np.arange(len(ranked)) < shorter]))
+            if parts:
+                token, nodes, n, at, short = np.concatenate(parts).T
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(nodes), pa.array(n), pa.array(at), pa.array(short == 1)],
+                                                 ["token", "node", "n", "at", "short"])
+
+    return sets.select("node", "shingles").mapInArrow(first, "token bigint, node bigint, n bigint, at bigint, short boolean")
+
+
+def prefix_pairs(asked: DataFrame, roots: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """Pairs a < b of ``asked`` (a) in different components that can have the given similarity: all that have it are there.
+
+    An equi join on the rarest shingles.  Rows of the component that most rows of a shingle belong to do not meet each
+    other, so a large family costs no more than the rows outside it; a frequent shingle is spread over squares of salts.
+    """
+    sets = settle(shingle_sets(docs, doc_id, text, asked), "forest-dense-sets")
+    rows = settle(rarest(sets, counted_shingles(sets), percent).join(roots, "node", "left")
+                  .withColumn("root", F.coalesce("root", "node")).distinct(), "forest-rarest")
+    per_root = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.count_if("short").alias("shorts"))
+    tokens = settle(per_root.groupBy("token").agg(
+        F.max_by("root", F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("k").alias("k"),
+        F.sum("shorts").alias("shorts")).where("roots > 1 and shorts > 0")
+        .select("token", "top", F.ceil(F.col("shorts") / SALTED).alias("rows_of"), F.ceil(F.col("k") / SALTED).alias("columns_of")), "forest-tokens")
+    known = settle(rows.join(tokens, "token"), "forest-shared")
+    own = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts))
+    each = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    small = (known.where("short").withColumn("p", own("rows_of")).withColumn("q", each("columns_of"))
+             .select("token", "p", "q", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("root").alias("ry"),
+                     (F.col("root") == F.col("top")).alias("most")))
+    large = (known.withColumn("q", own("columns_of")).withColumn("p", each("rows_of"))
+             .select("token", "p", "q", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("root").alias("rx"),
+                     (F.col("root") == F.col("top")).alias("main")))
+    rest = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j"))  # at most so many are shared, if this is the first
+    fits = ((F.col("rx") != F.col("ry")) & (F.struct("ny", "y") < F.struct("nx", "x")) & (100 * F.col("ny") >= percent * F.col("nx"))
+            & ((100 + percent) * rest >= percent * (F.col("nx") + F.col("ny"))))
+    found = [s.join(g, ["token", "p", "q"]).where(fits) for s, g in ((small.where("not most"), large),
+                                                                   (small.where("most"), large.where("not main")))]
+    return found[0].union(found[1]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 x intersection >= percent x union.
 
@@ -215,16 +320,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str
     likely = settle(both.where(agreement >= least).select("a", "b"), "forest-likely")
     asked = settle(likely.select("a").union(likely.select("b")).distinct(), "forest-asked")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
-        for batch in batches:
-            trimmed(memo)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
-                [shingles(t.as_py(), memo).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    source = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("body"))
-    known = settle(source.join(asked, source["node"] == asked["a"], "left_semi")
-                   .mapInArrow(sets, "node bigint, shingles array<bigint>").where(F.size("shingles") > 0), "forest-sets")
+    known = settle(shingle_sets(docs, doc_id, text, asked), "forest-sets")
     shared = F.size(F.array_intersect("sa", "sb"))
     return (likely.join(known.toDF("a", "sa"), "a").join(known.toDF("b", "sb"), "b")
             .where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct())
@@ -265,12 +361,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     linked = marks.where(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull())
     classes = settle(linked.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"),
                                                   F.first("n_shingles").alias("n_shingles")), "forest-classes")
-    links = settle(confirmed(candidates(classes), classes, docs, doc_id, text, percent), "forest-links")
+    met = forest(classes)
+    links = settle(confirmed(candidates(classes, met), classes, docs, doc_id, text, percent), "forest-links")
     # a document with several texts joins their classes
     several = linked.groupBy("doc_id").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y")).where("x <> y")
     tied = (linked.join(several, "doc_id", "left_semi").join(classes.select("set_id", "rep"), "set_id")
             .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     roots = components(links.union(tied))
+    asked = settle(unsettled(met, roots), "forest-unsettled")
+    if not asked.isEmpty():
+        more = prefix_pairs(asked, roots, docs, doc_id, text, percent)
+        more = settle(confirmed(more, classes, docs, doc_id, text, percent), "forest-more-links")
+        if not more.isEmpty():
+            roots = components(roots.toDF("a", "b").union(more))
     placed = (marks.join(classes.select("set_id", "rep"), "set_id", "left")
               .join(roots, F.col("rep") == F.col("node"), "left"))
     component = F.coalesce("root", "rep", "doc_id")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from flowlake.llm import neardup
@@ -93,3 +94,53 @@ def test_texts_of_one_id_join_their_components(spark):
             (9, "something else that is long enough")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["component_id"] for r in got} == {3}
+
+
+def template_rows(n_pairs=1500):
+    """Pairs of similarity 0.86 to 0.90 whose texts share 0.82 to 0.84 with all others: one form, filled in."""
+    rng, rows = random.Random(3), []
+    form = [f"t{i}" for i in range(400)]
+    for k in range(n_pairs):
+        cut = rng.randint(36, 41)  # words of a text's own end; ``both`` of them are those of its pair
+        both = rng.randint(8, 13)
+        start = [f"b{k}w{i}" for i in range(both)]
+        rows += [form + start + [f"o{k}s{side}w{i}" for i in range(cut - both)] for side in (0, 1)]
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def similar_pairs(rows, percent):
+    """Pairs found by comparing all pairs by matrix products of their word sets."""
+    sets = [shingle_set(t) for _, t in rows]
+    number = {s: i for i, s in enumerate({s for x in sets for s in x})}
+    owners = {}
+    for i, x in enumerate(sets):
+        for s in x:
+            owners.setdefault(number[s], []).append(i)
+    shared = np.zeros((len(rows), len(rows)), np.int32)
+    everyone = sum(len(o) == len(rows) for o in owners.values())
+    for o in owners.values():
+        if 1 < len(o) < len(rows):
+            shared[np.ix_(o, o)] += 1
+    shared += everyone
+    sizes = np.array([len(x) for x in sets])
+    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    return {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(linked, 1)), strict=True)}
+
+
+def test_pairs_inside_a_shared_template_are_whole(spark):
+    rows = template_rows()
+    pairs = similar_pairs(rows, 85)
+    assert len(pairs) == len(rows) // 2 and len({x for p in pairs for x in p}) == len(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert {(r["component_id"], r["doc_id"]) for r in got if r["component_id"] != r["doc_id"]} == pairs
+
+
+def test_exact_join_finds_every_pair_between_components(spark):
+    rng, base = random.Random(8), [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(edited(base[:rng.randint(70, 90)], rng, rng.choice([0.01, 0.02, 0.03])))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    one = spark.createDataFrame([(i, i % 7) for i, _ in rows], "node bigint, root bigint")
+    pairs = neardup.prefix_pairs(docs.select(F.col("doc_id").alias("a")), one, docs, "doc_id", "text", 85)
+    want = {(a, b) for a, b in similar_pairs(rows, 85) if a % 7 != b % 7}
+    assert want and want <= {(r["a"], r["b"]) for r in pairs.collect()}
