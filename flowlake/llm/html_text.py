@@ -23,6 +23,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head script style noscript template title iframe object svg canvas select option button textarea "
                    "audio video map datalist".split())
+FALLBACK = frozenset("object canvas button audio video map".split())  # hidden, but read when nothing ends them
+HEAD_TAGS = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
 NOISE_TAGS = frozenset("nav footer aside form menu dialog header".split())
 NOISE_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner "
                         "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead header topbar "
@@ -44,6 +46,7 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple] = []
         self.parts: list[str] = []
         self.links, self.open_links, self.hidden, self.count = 0, 0, 0, 0
+        self.begun: dict[int, int] = {}  # open fallback element -> blocks before it
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -52,7 +55,15 @@ class Blocks(HTMLParser):
             self.blocks.append((tuple(x[1] for x in self.stack), tuple(x[2] for x in self.stack), text, self.links, top[3], top[4]))
         self.parts, self.links = [], 0
 
+    def end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self.close_tag("head", within=False)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body" and any(x[0] == "head" for x in self.stack):
+            self.close_tag("head", within=False)
+        elif tag not in HEAD_TAGS:
+            self.end_head()
         if tag in INLINE:
             self.open_links += tag == "a"
             if tag in ("br", "img", "wbr"):
@@ -70,7 +81,9 @@ class Blocks(HTMLParser):
         noise = above[3] or (tag in NOISE_TAGS and not (tag == "header" and above[4])) or (
             tag not in ("html", "body", "article", "main") and bool(words & NOISE_WORDS)) or any(k == "hidden" for k, _ in attrs)
         self.count += 1
-        self.hidden += tag in HIDDEN
+        self.hidden += tag in HIDDEN and tag not in FALLBACK
+        if tag in FALLBACK:
+            self.begun[self.count] = len(self.blocks)
         self.stack.append((tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, self.count, noise, home))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -83,12 +96,30 @@ class Blocks(HTMLParser):
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self.flush()
-                self.hidden -= sum(x[0] in HIDDEN for x in self.stack[i:])
+                self.hidden -= sum(x[0] in HIDDEN and x[0] not in FALLBACK for x in self.stack[i:])
+                if self.stack[i][2] in self.begun:
+                    del self.blocks[self.begun[self.stack[i][2]]:]
+                self.unwrap(i + 1)
+                self.begun.pop(self.stack[i][2], None)
                 del self.stack[i:]
                 return
             if within and self.stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
                 return
 
+    def unwrap(self, i: int) -> None:
+        """Open elements from place ``i`` of the stack that hide text but have no end tag count as not there."""
+        for _, _, number, *_ in self.stack[i:]:
+            start = self.begun.pop(number, None)
+            for k in range(len(self.blocks) if start is None else start, len(self.blocks)):
+                path, numbers, *rest = self.blocks[k]
+                at = numbers.index(number)
+                self.blocks[k] = (path[:at] + path[at + 1:], numbers[:at] + numbers[at + 1:], *rest)
+
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        self.unwrap(0)
+
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
             self.open_links = max(0, self.open_links - (tag == "a"))
@@ -98,6 +129,8 @@ class Blocks(HTMLParser):
         self.close_tag(tag, within=False)
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if not self.hidden:
             self.parts.append(data)
             self.links += len(data) * bool(self.open_links)
@@ -130,8 +163,7 @@ def main_text(html: str | None, threshold: float = 0.5) -> str:
     """
     parser = Blocks()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
+    parser.finish()
     blocks = parser.blocks
     if not blocks:
         return ""

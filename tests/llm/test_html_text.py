@@ -44,6 +44,22 @@ def test_broken_markup():
     assert main_text(None) == main_text("") == main_text("<html></html>") == main_text("<script>x</script>") == ""
 
 
+@pytest.mark.parametrize("start", ["<body>", "<body><div>", "", "<div>", "<script>x</script></noscript><body>"])
+def test_pages_without_end_of_head(start):
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    html = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>t, t.</title><style>p {{}}</style>{start}<article>{text}</article></html>"
+    assert main_text(html) == "\n\n".join(PLAIN)
+    assert main_text("<head><title>t</title>bare text, of a page") == "bare text, of a page"
+
+
+@pytest.mark.parametrize("tag", ["object", "audio", "video", "button", "canvas"])
+def test_hidden_elements_without_end(tag):
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS[1:])
+    for after in ("</article></body></html>", ""):
+        assert main_text(f"<html><body><article><p>{PARAGRAPHS[0]}</p><{tag} id=x>{text}{after}") == "\n\n".join(PLAIN)
+    assert main_text(f"<article><p>{PARAGRAPHS[0]}</p><{tag}>not, seen.</{tag}>{text}</article>") == "\n\n".join(PLAIN)
+
+
 def test_table_of_pages(spark):
     long = page("<article>" + f"<p>{PARAGRAPHS[0]}</p>" * 3000 + "</article>")
     rows = [(1, "u", page(f"<article><p>{PARAGRAPHS[0]}</p></article>"), "clash"), (2, None, None, "c"), (None, "u", "", "c"), (3, "u", long, "c")]
