@@ -46,6 +46,8 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple] = []
         self.parts: list[str] = []
         self.links, self.open_links, self.hidden, self.count = 0, 0, 0, 0
+        self.named: dict[int, bool] = {}  # element with a word of noise in its names -> whether that is a whole name
+        self.marks: list[tuple[str, frozenset[int]]] = []  # article, main and h1 elements: tag, elements around it
         self.begun: dict[int, int] = {}  # open fallback element -> blocks before it
 
     def flush(self) -> None:
@@ -78,9 +80,12 @@ class Blocks(HTMLParser):
         words = set("".join(c if c.isalpha() else " " for c in named).split())
         above = self.stack[-1] if self.stack else ("", "", 0, False, False)
         home = above[4] or tag in HOME_TAGS
-        noise = above[3] or (tag in NOISE_TAGS and not (tag == "header" and above[4])) or (
-            tag not in ("html", "body", "article", "main") and bool(words & NOISE_WORDS)) or any(k == "hidden" for k, _ in attrs)
+        noise = above[3] or (tag in NOISE_TAGS and not (tag == "header" and above[4])) or any(k == "hidden" for k, _ in attrs)
         self.count += 1
+        if tag not in ("html", "body", "article", "main") and words & NOISE_WORDS:
+            self.named[self.count] = bool(NOISE_WORDS.intersection(named.split()))
+        if tag in ("article", "main", "h1") and not noise and not self.hidden and not self.begun:
+            self.marks.append((tag, frozenset(x[2] for x in self.stack)))
         self.hidden += tag in HIDDEN and tag not in FALLBACK
         if tag in FALLBACK:
             self.begun[self.count] = len(self.blocks)
@@ -119,6 +124,29 @@ class Blocks(HTMLParser):
         self.close()
         self.flush()
         self.unwrap(0)
+        gone = self.named_noise()
+        if gone:
+            self.blocks = [(*b[:4], b[4] or not gone.isdisjoint(b[1]), b[5]) for b in self.blocks]
+
+    def named_noise(self) -> set[int]:
+        """The elements that their names make noise.
+
+        A name is no proof: an element that holds the main element or an h1 stays, and so does one that holds an article
+        or most of the paragraph text, unless a whole name says noise and an article stands outside of all such names.
+        """
+        if not self.named:
+            return set()
+        sizes = [(b[1], max(0, len(b[2]) - b[3]), b[0][-1:] and b[0][-1].partition(".")[0] == "p") for b in self.blocks if not b[4]]
+        if any(is_p for *_, is_p in sizes):
+            sizes = [x for x in sizes if x[2]]
+        total, held = sum(size for _, size, _ in sizes), defaultdict(int)
+        for numbers, size, _ in sizes:
+            for number in numbers:
+                held[number] += size
+        elsewhere = any(tag != "h1" and around.isdisjoint(self.named) for tag, around in self.marks)
+        holds = {tag: frozenset().union(*(around for t, around in self.marks if t == tag)) for tag in ("article", "main", "h1")}
+        return {e for e, whole in self.named.items() if e not in holds["main"] and e not in holds["h1"] and (
+            (e not in holds["article"] and 2 * held[e] <= total) or (whole and elsewhere))}
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:

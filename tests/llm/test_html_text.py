@@ -60,6 +60,28 @@ def test_hidden_elements_without_end(tag):
     assert main_text(f"<article><p>{PARAGRAPHS[0]}</p><{tag}>not, seen.</{tag}>{text}</article>") == "\n\n".join(PLAIN)
 
 
+@pytest.mark.parametrize("box", [
+    "div class='content has-sidebar'", "div class='layout-no-sidebar'", "div class='with-comments'", "div class='page-with-banner'",
+    "section class='notice-board'", "div id='sidebar-left-off'", "div class='social'"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_names_do_not_veto_what_holds_the_article(box, inner):
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    html = page(f"{NOISE[0]}<{box}><{inner}>{text}</{inner}></{box.split()[0]}>{NOISE[3]}{NOISE[8]}")
+    assert main_text(html) == "\n\n".join(PLAIN)
+
+
+def test_title_in_an_article_header_is_kept():
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    html = page(f"<article><div class='article-header'><h1>The title</h1></div>{text}<div class='share'>Share, it. Now.</div></article>")
+    assert main_text(html) == "\n\n".join(["The title", *PLAIN])
+
+
+def test_long_comments_beside_an_article_are_left_out():
+    text, comment = "".join(f"<p>{p}</p>" for p in PARAGRAPHS), "<article><p>Great story, really. I liked it, a lot.</p></article>"
+    html = page(f"<article>{text}</article><section id='comments'>{comment * 40}</section>")
+    assert main_text(html) == "\n\n".join(PLAIN)
+
+
 def test_table_of_pages(spark):
     long = page("<article>" + f"<p>{PARAGRAPHS[0]}</p>" * 3000 + "</article>")
     rows = [(1, "u", page(f"<article><p>{PARAGRAPHS[0]}</p></article>"), "clash"), (2, None, None, "c"), (None, "u", "", "c"), (3, "u", long, "c")]
