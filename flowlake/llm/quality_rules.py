@@ -28,11 +28,14 @@ class Bands:
     """Limits of compressed / plain bytes by length: ``limits[i]`` holds below ``lengths[i]``, the last one above all.
 
     Chunks have ``chunk`` bytes, the rest of a text joins its last chunk; the lowest and the highest chunk ratio must
-    lie in ``chunk_limits``.  Short texts carry the overhead of a frame and a cold window, so their bands lie higher.
+    lie in ``chunk_limits``.  Short texts carry the overhead of a frame and a cold window, so their bands lie higher;
+    their upper limits lie between the ratios of prose in four languages and those of random letters and digits.
     """
 
-    lengths: tuple[int, ...] = (256, 1024, 4096, 16384)
-    limits: tuple[tuple[float, float], ...] = ((0.35, 1.10), (0.28, 0.90), (0.24, 0.76), (0.20, 0.72), (0.15, 0.70))
+    lengths: tuple[int, ...] = (150, 200, 256, 320, 400, 512, 700, 1024, 1500, 2048, 4096, 16384)
+    limits: tuple[tuple[float, float], ...] = (
+        (0.35, 0.99), (0.35, 0.93), (0.35, 0.90), (0.28, 0.86), (0.28, 0.83), (0.28, 0.80), (0.28, 0.77), (0.28, 0.74),
+        (0.24, 0.70), (0.24, 0.66), (0.24, 0.65), (0.20, 0.72), (0.15, 0.70))
     chunk: int = 2048
     chunk_limits: tuple[float, float] = (0.20, 0.75)
     level: int = 3

@@ -1,5 +1,6 @@
 import base64
 import random
+import string
 from collections import Counter
 
 import zstandard
@@ -51,6 +52,19 @@ def test_bands_reject_repetition_and_noise():
     assert not judged(mixed, Bands(), packer)[-1]
 
 
+def test_noise_is_rejected_in_every_band():
+    rng, packer = random.Random(4), zstandard.ZstdCompressor(level=3)
+    printable = "".join(map(chr, range(33, 127)))
+    for size in (260, 300, 350, 450, 600, 900, 1200, 1800, 3000, 4000, 6000, 20000):
+        for letters in (string.ascii_letters + string.digits, printable):
+            if size < 700 and letters is not printable:
+                continue  # 50 words of so few bytes are too short for that
+            word = min(12, size // 52 - 1)
+            text = " ".join("".join(rng.choice(letters) for _ in range(word)) for _ in range(size // (word + 1)))
+            rules = judged(text, Bands(), packer)
+            assert not rules[5] and not rules[-1], (size, rules)
+
+
 def test_awkward_rows(spark):
     rows = apply_rules(awkward_docs(spark)).collect()
     assert len(rows) == 14 and "_rules" in rows[0] and rows[0]["rules"] == "x"
