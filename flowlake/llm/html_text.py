@@ -2,7 +2,7 @@
 
 A page is a run of blocks, each with the path of block-level tags from the root.  Text length and punctuation are
 aggregated per path; the two ratios are fused, smoothed along the page and compared with a threshold.  The blocks that
-pass show which element is the article, and its blocks are the text.
+pass show which element is the article; of its blocks, the ratios leave out lists of links and what surrounds the text.
 """
 
 from __future__ import annotations
@@ -34,35 +34,59 @@ NOISE_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising s
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th tr figcaption address summary".split())
 HOME_TAGS = frozenset("article main".split())
 CLOSED_BY = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？")
+ENDS = frozenset(".:!?…。：！？\"'”’»)")
+
+
+class Element:
+    """One element of the page.  ``name`` tells whether its names hold a word of noise: None, or whether that is a whole name."""
+
+    __slots__ = ("tag", "label", "number", "above", "noise", "home", "name", "gone")
+
+    def __init__(self, tag: str, label: str, number: int, above: Element | None, noise: bool, home: bool, name: bool | None) -> None:
+        self.tag, self.label, self.number, self.above = tag, label, number, above
+        self.noise, self.home, self.name, self.gone = noise, home, name, False
+
+
+class Block:
+    __slots__ = ("element", "text", "links", "noise", "home", "path")
+
+    def __init__(self, element: Element, text: str, links: int) -> None:
+        self.element, self.text, self.links = element, text, links
+        self.noise, self.home, self.path = element.noise, element.home, 0
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page: (path of tags, numbers of its elements, text, link characters, in noise, in an article)."""
+    """Blocks of a page, each with its innermost element; every element is made, opened and closed once."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, int, bool, bool]] = []  # tag, label, number, noise, home
-        self.blocks: list[tuple] = []
+        self.root = Element("", "", 0, None, False, False, None)
+        self.elements: list[Element] = [self.root]
+        self.stack: list[Element] = []
+        self.open: dict[str, int] = defaultdict(int)  # open elements of each tag
+        self.blocks: list[Block] = []
         self.parts: list[str] = []
-        self.links, self.open_links, self.hidden, self.count = 0, 0, 0, 0
-        self.named: dict[int, bool] = {}  # element with a word of noise in its names -> whether that is a whole name
-        self.marks: list[tuple[str, frozenset[int]]] = []  # article, main and h1 elements: tag, elements around it
+        self.links, self.open_links, self.hidden = 0, 0, 0
+        self.marks: list[Element] = []  # article, main and h1 elements
         self.begun: dict[int, int] = {}  # open fallback element -> blocks before it
 
+    def top(self) -> Element:
+        return self.stack[-1] if self.stack else self.root
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            top = self.stack[-1] if self.stack else ("", "", 0, False, False)
-            self.blocks.append((tuple(x[1] for x in self.stack), tuple(x[2] for x in self.stack), text, self.links, top[3], top[4]))
+            self.blocks.append(Block(self.top(), text, self.links))
         self.parts, self.links = [], 0
 
     def end_head(self) -> None:
-        if self.stack and self.stack[-1][0] == "head":
+        if self.stack and self.stack[-1].tag == "head":
             self.close_tag("head", within=False)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "body" and any(x[0] == "head" for x in self.stack):
+        if tag == "body":
             self.close_tag("head", within=False)
         elif tag not in HEAD_TAGS:
             self.end_head()
@@ -78,18 +102,21 @@ class Blocks(HTMLParser):
             self.close_tag(other, within=CLOSED_BY.get(tag) is not None)
         named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
         words = set("".join(c if c.isalpha() else " " for c in named).split())
-        above = self.stack[-1] if self.stack else ("", "", 0, False, False)
-        home = above[4] or tag in HOME_TAGS
-        noise = above[3] or (tag in NOISE_TAGS and not (tag == "header" and above[4])) or any(k == "hidden" for k, _ in attrs)
-        self.count += 1
+        above = self.top()
+        noise = above.noise or (tag in NOISE_TAGS and not (tag == "header" and above.home)) or any(k == "hidden" for k, _ in attrs)
+        name = None
         if tag not in ("html", "body", "article", "main") and words & NOISE_WORDS:
-            self.named[self.count] = bool(NOISE_WORDS.intersection(named.split()))
+            name = bool(NOISE_WORDS.intersection(named.split()))
+        element = Element(tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, len(self.elements), above, noise,
+                          above.home or tag in HOME_TAGS, name)
         if tag in ("article", "main", "h1") and not noise and not self.hidden and not self.begun:
-            self.marks.append((tag, frozenset(x[2] for x in self.stack)))
+            self.marks.append(element)
         self.hidden += tag in HIDDEN and tag not in FALLBACK
         if tag in FALLBACK:
-            self.begun[self.count] = len(self.blocks)
-        self.stack.append((tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, self.count, noise, home))
+            self.begun[element.number] = len(self.blocks)
+        self.elements.append(element)
+        self.stack.append(element)
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -98,55 +125,85 @@ class Blocks(HTMLParser):
 
     def close_tag(self, tag: str, within: bool = True) -> None:
         """Close the nearest open ``tag``; with ``within``, not across a list, table or section it stands in."""
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+            element = self.stack[i]
+            if element.tag == tag:
                 self.flush()
-                self.hidden -= sum(x[0] in HIDDEN and x[0] not in FALLBACK for x in self.stack[i:])
-                if self.stack[i][2] in self.begun:
-                    del self.blocks[self.begun[self.stack[i][2]]:]
+                if element.number in self.begun:
+                    del self.blocks[self.begun.pop(element.number):]
                 self.unwrap(i + 1)
-                self.begun.pop(self.stack[i][2], None)
+                for x in self.stack[i:]:
+                    self.open[x.tag] -= 1
+                    self.hidden -= x.tag in HIDDEN and x.tag not in FALLBACK
                 del self.stack[i:]
                 return
-            if within and self.stack[i][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
+            if within and element.tag in ("ul", "ol", "dl", "table", "div", "section", "article", "body"):
                 return
 
     def unwrap(self, i: int) -> None:
         """Open elements from place ``i`` of the stack that hide text but have no end tag count as not there."""
-        for _, _, number, *_ in self.stack[i:]:
-            start = self.begun.pop(number, None)
-            for k in range(len(self.blocks) if start is None else start, len(self.blocks)):
-                path, numbers, *rest = self.blocks[k]
-                at = numbers.index(number)
-                self.blocks[k] = (path[:at] + path[at + 1:], numbers[:at] + numbers[at + 1:], *rest)
+        for element in self.stack[i:]:
+            if self.begun.pop(element.number, None) is not None:
+                element.gone = True
 
     def finish(self) -> None:
+        """Give each block its path, a number for the labels from the root, and mark the noise by names."""
         self.close()
         self.flush()
         self.unwrap(0)
-        gone = self.named_noise()
-        if gone:
-            self.blocks = [(*b[:4], b[4] or not gone.isdisjoint(b[1]), b[5]) for b in self.blocks]
+        paths: dict[tuple[int, str], int] = {}
+        of = [0] * len(self.elements)
+        for e in self.elements[1:]:
+            up = of[e.above.number]
+            of[e.number] = up if e.gone else paths.setdefault((up, e.label), len(paths) + 1)
+        noise = self.named_noise()
+        for b in self.blocks:
+            b.path, b.noise = of[b.element.number], b.noise or noise[b.element.number]
 
-    def named_noise(self) -> set[int]:
-        """The elements that their names make noise.
+    def around(self, tags: tuple[str, ...]) -> set[int]:
+        """The elements that hold one of the marked elements with these tags."""
+        found: set[int] = set()
+        for mark in self.marks:
+            e = mark.above
+            while mark.tag in tags and e.number and e.number not in found:
+                found.add(e.number)
+                e = e.above
+        return found
+
+    def sums(self, of_block: dict[int, float]) -> list[float]:
+        """Per element the sum over it and all elements in it, from sums over its own blocks."""
+        held = [of_block.get(e.number, 0.0) for e in self.elements]
+        for e in reversed(self.elements[1:]):
+            held[e.above.number] += held[e.number]
+        return held
+
+    def named_noise(self) -> list[bool]:
+        """Per element, whether names make it noise: its own or those of an element around it.
 
         A name is no proof: an element that holds the main element or an h1 stays, and so does one that holds an article
         or most of the paragraph text, unless a whole name says noise and an article stands outside of all such names.
         """
-        if not self.named:
-            return set()
-        sizes = [(b[1], max(0, len(b[2]) - b[3]), b[0][-1:] and b[0][-1].partition(".")[0] == "p") for b in self.blocks if not b[4]]
-        if any(is_p for *_, is_p in sizes):
-            sizes = [x for x in sizes if x[2]]
-        total, held = sum(size for _, size, _ in sizes), defaultdict(int)
-        for numbers, size, _ in sizes:
-            for number in numbers:
-                held[number] += size
-        elsewhere = any(tag != "h1" and around.isdisjoint(self.named) for tag, around in self.marks)
-        holds = {tag: frozenset().union(*(around for t, around in self.marks if t == tag)) for tag in ("article", "main", "h1")}
-        return {e for e, whole in self.named.items() if e not in holds["main"] and e not in holds["h1"] and (
-            (e not in holds["article"] and 2 * held[e] <= total) or (whole and elsewhere))}
+        if all(e.name is None for e in self.elements):
+            return [False] * len(self.elements)
+        clean = [b for b in self.blocks if not b.noise]
+        paragraphs = [b for b in clean if inner_tag(b.element) == "p"]
+        own: dict[int, float] = defaultdict(float)
+        for b in paragraphs or clean:
+            own[b.element.number] += max(0, len(b.text) - b.links)
+        held = self.sums(own)
+        below = [False] * len(self.elements)  # in an element whose names say noise
+        for e in self.elements[1:]:
+            below[e.number] = below[e.above.number] or e.above.name is not None
+        elsewhere = any(m.tag != "h1" and not below[m.number] for m in self.marks)
+        spared, articles = self.around(("main", "h1")), self.around(("article",))
+        noise = [False] * len(self.elements)
+        for e in self.elements[1:]:
+            small = e.number not in articles and 2 * held[e.number] <= held[0]
+            named = e.name is not None and not e.gone and e.number not in spared and (small or (e.name and elsewhere))
+            noise[e.number] = noise[e.above.number] or named
+        return noise
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
@@ -164,30 +221,62 @@ class Blocks(HTMLParser):
             self.links += len(data) * bool(self.open_links)
 
 
-def path_scores(blocks: list[tuple], width: float = 1.0) -> np.ndarray:
-    """Fused ratio of each block: text per node and punctuation per node of its path, smoothed along the page.
+def inner_tag(element: Element) -> str:
+    while element.gone:
+        element = element.above
+    return element.tag
+
+
+def path_scores(blocks: list[Block], width: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Fused ratio of each block, text per node and punctuation per node of its path: smoothed along the page, and as it is.
 
     Text in links counts against a path, blocks in noise count nothing, and blocks of an article element double.
     """
     text, marks, nodes = defaultdict(float), defaultdict(float), defaultdict(int)
-    for path, _, words, links, *_ in blocks:
-        text[path] += max(0, len(words) - 2 * links)
-        marks[path] += sum(map(words.count, PUNCTUATION))
-        nodes[path] += 1
-    raw = np.array([0.0 if noise else math.sqrt(text[p] / nodes[p] * (1 + marks[p] / nodes[p])) * (2 if home else 1)
-                    for p, _, _, _, noise, home in blocks])
+    for b in blocks:
+        text[b.path] += max(0, len(b.text) - 2 * b.links)
+        marks[b.path] += sum(map(b.text.count, PUNCTUATION))
+        nodes[b.path] += 1
+    raw = np.array([0.0 if b.noise else math.sqrt(text[b.path] / nodes[b.path] * (1 + marks[b.path] / nodes[b.path])) * (2 if b.home else 1)
+                    for b in blocks])
     reach = np.arange(-3, 4)
     weights = np.exp(-0.5 * (reach / width) ** 2)
     smooth = np.convolve(np.pad(raw, 3, mode="edge"), weights / weights.sum(), mode="valid")
-    return np.where([b[4] for b in blocks], 0.0, smooth)
+    return np.where([b.noise for b in blocks], 0.0, smooth), raw
+
+
+def node_choice(blocks: list[Block], inside: list[bool], content: np.ndarray, marked: bool) -> list[bool]:
+    """Which blocks of the box are text, by the ratios of their paths.
+
+    A path whose text is mostly links is a list of links.  Where no article or main element says how far the article goes,
+    it also ends with its content: before the first and after the last content node only headings before it stay, and
+    blocks of a path that has content nodes elsewhere, unless they are lines without a full stop after the last one.
+    """
+    text, links, good = defaultdict(int), defaultdict(int), set()
+    for b, held, is_content in zip(blocks, inside, content, strict=True):
+        text[b.path] += len(b.text)
+        links[b.path] += b.links
+        if held and is_content:
+            good.add(b.path)
+    kept = [held and (b.path in good or 2 * links[b.path] <= text[b.path]) for b, held in zip(blocks, inside, strict=True)]
+    places = [i for i, b in enumerate(blocks) if content[i] and kept[i] and b.text[-1] in ENDS]
+    if marked or not places:
+        return kept
+    for i, b in enumerate(blocks):
+        heading = inner_tag(b.element) in HEADINGS
+        if i < places[0]:
+            kept[i] = kept[i] and (heading or b.path in good)
+        elif i > places[-1]:
+            kept[i] = kept[i] and b.path in good and b.text[-1] in ENDS
+    return kept
 
 
 def main_text(html: str | None, threshold: float = 0.5) -> str:
     """Blocks of the article in page order, joined by an empty line.
 
     Content nodes score at least ``threshold`` times the text-weighted mean.  The article is the smallest element, paragraphs
-    and the like aside, with nine tenths of their text, or else the article element around it; all of its blocks
-    outside noise belong to the text, headings and short lines too.
+    and the like aside, with nine tenths of their text, or else the article element around it.  Its blocks outside noise are
+    the text, headings and short lines too, but for those that ``node_choice`` leaves out.
     """
     parser = Blocks()
     parser.feed(html or "")
@@ -195,21 +284,25 @@ def main_text(html: str | None, threshold: float = 0.5) -> str:
     blocks = parser.blocks
     if not blocks:
         return ""
-    scores, sizes = path_scores(blocks), np.array([len(b[2]) for b in blocks], dtype=float)
+    (scores, raw), sizes = path_scores(blocks), np.array([len(b.text) for b in blocks], dtype=float)
     if not scores.any():
         return ""
-    content = scores >= threshold * float((scores * sizes).sum() / sizes[scores > 0].sum())
-    held: dict[tuple[int, str], float] = defaultdict(float)
+    limit = threshold * float((scores * sizes).sum() / sizes[scores > 0].sum())
+    content = scores >= limit
+    own: dict[int, float] = defaultdict(float)
     for b, inside, size in zip(blocks, content, sizes, strict=True):
-        if inside:
-            for element in zip(b[1], b[0], strict=True):
-                held[element] += size
-    need = 0.9 * sizes[content].sum()
-    whole = sorted((e, label.partition(".")[0]) for (e, label), s in held.items() if s >= need)  # from the root down
-    homes = [e for e, tag in whole if tag in HOME_TAGS]
-    boxes = [e for e, tag in whole if tag not in LEAVES]
-    article = homes[-1] if homes else boxes[-1] if boxes else 0
-    return "\n\n".join(b[2] for b in blocks if not b[4] and (not article or article in b[1]))
+        own[b.element.number] += size * inside
+    held, need = parser.sums(own), 0.9 * sizes[content].sum()
+    whole = [e for e in parser.elements[1:] if held[e.number] >= need and not e.gone]  # from the root down
+    homes = [e for e in whole if e.tag in HOME_TAGS]
+    boxes = [e for e in whole if e.tag not in LEAVES]
+    article = (homes or boxes or [parser.root])[-1]
+    within = [False] * len(parser.elements)
+    for e in parser.elements:
+        within[e.number] = e is article or (e.number > 0 and within[e.above.number])
+    held_by_box = [not b.noise and within[b.element.number] for b in blocks]
+    kept = node_choice(blocks, held_by_box, content & (raw >= limit), article.tag in HOME_TAGS)
+    return "\n\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:

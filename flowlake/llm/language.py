@@ -7,18 +7,18 @@ of a text decides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.llm.common import fresh
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # the same letters as in Spark SQL; numerals such as "½" are none
 UNKNOWN = "und"
 SLICE = 12  # documents of a language and slice of ids in the training sample
 

@@ -40,7 +40,18 @@ class ImpactIndex:
                 dims.append(j)
                 edges.append(max(abs(offset[by[a], j]), abs(offset[by[b - 1], j])))
         self.dims, self.impact = np.array(dims), np.array(edges)
-        self.energy = (offset ** 2).sum(axis=1)
+        self.energy = (offset.astype(np.float64) ** 2).sum(axis=1)  # squares of large components don't fit in 64 bits
+        self.reach = float(np.abs(self.vectors.astype(np.float64)).max(axis=0).sum()) if n else 0.0
+
+    def check_fit(self, query: np.ndarray) -> None:
+        """Raise where a sum of products could leave 64 bits: no exact score exists there."""
+        limit = float(np.abs(query.astype(np.float64)).max(initial=0.0)) * self.reach
+        if limit < float(1 << 62):
+            return
+        exact = self.vectors.astype(object) @ query.astype(object)
+        parts = np.abs(self.vectors.astype(np.float64)) @ np.abs(query.astype(np.float64))
+        if max(map(abs, exact), default=0) >= 1 << 63 or parts.max(initial=0.0) >= 2.0 ** 63 * (1 - 1e-9):
+            raise OverflowError("inner products of these vectors do not fit in 64 bits")
 
     def search(self, query: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors but ``skip``: by score descending, then by id.
@@ -50,6 +61,7 @@ class ImpactIndex:
         bound is below the k-th best lower bound are out.  When few are left they are scored exactly.
         """
         query = query.astype(np.int64)
+        self.check_fit(query)
         n = len(self.ids)
         alive = np.ones(n, dtype=bool)
         if skip is not None:
@@ -57,10 +69,13 @@ class ImpactIndex:
         k = min(k, int(alive.sum()))
         if not k:
             return self.ids[:0], self.ids[:0]
-        score, energy = np.full(n, int(query @ self.center), dtype=np.float64), self.energy.astype(np.float64)
-        norm = float(np.sqrt(float(query @ query)))
-        slack = 1 + 1e-9 * norm * float(np.sqrt(energy.max()))  # rounding of the sums
-        weight = np.abs(query)[self.dims] * self.impact
+        wide = query.astype(np.float64)
+        score, energy = np.full(n, float(wide @ self.center), dtype=np.float64), self.energy.copy()
+        norm = float(np.sqrt(wide @ wide))
+        # rounding of the sums, of the centre's share too
+        slack = 1 + 1e-9 * norm * (float(np.sqrt(energy.max())) + float(np.linalg.norm(self.center.astype(np.float64))))
+        rounding = 1e-9 * float(energy.max())
+        weight = np.abs(wide)[self.dims] * self.impact
         order = np.argsort(-weight, kind="stable")
         order = order[weight[order] > 0]
         few, at, step = max(4 * k, n // 32), 0, max(1, len(order) // 4)
@@ -69,11 +84,11 @@ class ImpactIndex:
             at += step
             step = max(1, len(order) // 12)
             rows = np.concatenate([self.rows[i] for i in taken])
-            values = np.concatenate([self.values[i] for i in taken])
-            by = np.repeat(query[self.dims[taken]], [len(self.rows[i]) for i in taken])
+            values = np.concatenate([self.values[i] for i in taken]).astype(np.float64)
+            by = np.repeat(wide[self.dims[taken]], [len(self.rows[i]) for i in taken])
             score += np.bincount(rows, weights=values * by, minlength=n)
             energy -= np.bincount(rows, weights=values * values, minlength=n)
-            rest = norm * np.sqrt(np.maximum(energy, 0)) + slack
+            rest = norm * np.sqrt(np.maximum(energy, 0) + rounding) + slack
             proven = np.partition((score - rest)[alive], -k)[-k]
             alive &= score + rest >= proven
         left = np.flatnonzero(alive)
@@ -84,7 +99,9 @@ class ImpactIndex:
 
 def quantised(vector: Column, scale: int = 1024) -> Column:
     """floor(scale x component) of every component; null for a vector that is null or has one that isn't finite."""
-    whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    scaled = lambda x: F.floor(F.lit(scale) * x.cast("double"))
+    fits = lambda x: F.abs(F.lit(scale) * x.cast("double")) < F.lit(float(1 << 62))
+    whole = F.transform(vector, lambda x: F.when(fits(x), scaled(x).cast("long")).otherwise(F.raise_error("a component is too large")))
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return F.when(vector.isNotNull() & good, whole)
 
@@ -105,7 +122,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_i
           scale: int = 1024, block_rows: int = 1 << 15, query_rows: int = 1 << 12) -> DataFrame:
     """The k rows of ``base`` of highest integer inner product for every row of ``queries``, its own id left out.
 
-    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id, and with fewer rows all are returned.
+    Scores are longs: a search whose products or sums leave 64 bits fails instead of wrapping, and so do components whose
+    scaled value does not fit.  Returns query_id, rank (from 1), vec_id, score; ties go to the smaller id, and with fewer rows all are returned.
     Vectors that are null, or hold null or non-finite components, and rows without id take no part; vectors of another
     number of dimensions only meet their like.  Repeated rows of ``base`` stand as often as they are there, and a
     repeated query id is answered once for each of its distinct vectors.  Empty tables give an empty result.

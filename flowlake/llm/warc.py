@@ -196,7 +196,17 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    return manifest.repartition(F.col("archive")).mapInArrow(read, READ_SCHEMA)
+    return manifest.repartition(read_tasks(manifest)).mapInArrow(read, READ_SCHEMA)
+
+
+def read_tasks(manifest: DataFrame, per_task: int = 1 << 28) -> int:
+    """Tasks that read the archives: one for every 256 MB or 64,000 records, at least one per core as far as there are archives.
+
+    A number given to ``repartition`` stays; without one, Spark would join the small manifest rows into a single task.
+    """
+    total = manifest.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum("records").alias("records")).first()
+    wanted = max((total["bytes"] or 0) // per_task, (total["records"] or 0) // 64_000, manifest.sparkSession.sparkContext.defaultParallelism)
+    return max(1, min(total["n"], wanted))
 
 
 def round_trip(pages: DataFrame, spark: SparkSession) -> DataFrame:

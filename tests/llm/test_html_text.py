@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from flowlake.llm.html_text import extract, main_text
+from flowlake.llm.html_text import Blocks, extract, main_text, path_scores
 
 PARAGRAPHS = ["First paragraph, with some words; and a few more. It goes on, and on, for a while.",
               "Second one &amp; more: caf&eacute; &#8364; 5, as it was said. Nobody knows, but it is so.",
@@ -89,3 +91,42 @@ def test_table_of_pages(spark):
     of = {r["page_id"]: r["text"] for r in got}
     assert of[1] == PLAIN[0] and of[2] == of[None] == "" and of[3] == "\n\n".join([PLAIN[0]] * 3000) and "score" in got[0]
     assert extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Section {i}</a></li>" for i in range(5)) + "</ul>"
+
+
+@pytest.mark.parametrize("body", ["{links}{text}<p>Copyright 2024 by somebody</p>",
+                                  "<div>Home | World | Sport</div>{text}<div>Copyright 2024 by somebody</div>",
+                                  "<div id=content>{text}{links}</div>",
+                                  "<table><tr><td>Home<br>News<br>Sport</td><td>{text}</td></tr></table>"])
+def test_unmarked_menus_and_footers_go_by_their_ratios(body):
+    text = "".join(f"<p>{p}</p>" for p in PARAGRAPHS + PARAGRAPHS[:1])
+    assert main_text(page(body.format(links=LINKS, text=text))).split("\n\n") == PLAIN + PLAIN[:1]
+
+
+def test_ratios_of_paths_equal_plain_sums():
+    parser = Blocks()
+    parser.feed(page("<div><p>One, two.</p><p>Three; four, five.</p></div><ul><li><a href=x>link text</a> and more</li></ul>"))
+    parser.finish()
+    by_path = {}
+    for b in parser.blocks:
+        labels, e = [], b.element
+        while e.number:
+            labels.append(e.label)
+            e = e.above
+        by_path.setdefault(tuple(reversed(labels)), []).append(b)
+    assert set(by_path) == {("html", "body", "div", "p"), ("html", "body", "ul", "li")}
+    raw = path_scores(parser.blocks)[1]
+    for blocks in by_path.values():
+        text = sum(max(0, len(b.text) - 2 * b.links) for b in blocks) / len(blocks)
+        marks = sum(b.text.count(c) for b in blocks for c in ".,;") / len(blocks)
+        assert all(raw[parser.blocks.index(b)] == pytest.approx((text * (1 + marks)) ** 0.5) for b in blocks)
+
+
+@pytest.mark.parametrize("tag", ["div", "object", "p", "li", "article", "h1", "td", "section class=ad"])
+def test_depth_costs_no_more_than_length(tag):
+    start = time.time()
+    assert main_text(f"<{tag}>" * 20_000 + "text, and more.") in ("text, and more.", "")
+    main_text((f"<{tag}> w, ") * 20_000 + "</x></div>" * 1000)
+    assert time.time() - start < 10  # about a second; the square of the depth would take minutes

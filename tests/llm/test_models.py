@@ -41,6 +41,7 @@ def test_held_out_labels_teach_nothing(spark):
 def test_net_gradient_learns_and_reads_whole_texts():
     net = language.ByteNet(["a", "b"]).train(np.array([language.windows(t, 160)[0] for t in (b"aaaa bb", b"zzzz yy")] * 8),
                                              np.array([0, 1] * 8), steps=60)
+    assert net.predict(["½ ² ①", "Ⅷ", "٣ 12"])[0] == ["und"] * 3  # numerals are no letters
     assert net.predict(["aaaa", "zzzz", None, "", "12 !?", "aaaa " * 20 + "zzzz " * 900]) == (
         ["a", "b", "und", "und", "und", "b"], pytest.approx([1, 1, 0, 0, 0, 1], abs=0.4))
     assert language.windows(b"x" * 161, 160).shape == (2, 160)

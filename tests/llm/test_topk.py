@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from flowlake.llm.topk import ImpactIndex, top_k
 
@@ -52,3 +53,24 @@ def test_index_stops_on_proof_only():
             got, scores = index.search(vectors[q], 7, int(ids[q]))
             want = sorted((-int(s), int(i)) for s, i in zip(vectors @ vectors[q], ids) if i != ids[q])[:7]
             assert [(-int(s), int(i)) for s, i in zip(scores, got)] == want
+
+
+@pytest.mark.parametrize("size", [1e6, 3e6, 1e9])
+def test_large_components_equal_brute_force(size):
+    rng = np.random.default_rng(int(size))
+    vectors = rng.integers(-int(size), int(size), (2000, 8))
+    ids = np.arange(2000)
+    index = ImpactIndex(ids, vectors)
+    for query in (rng.integers(-2, 3, 8), np.full(8, 1), vectors[7] if size < 1e9 else rng.integers(-100, 100, 8)):
+        exact = [sum(int(a) * int(b) for a, b in zip(v, query, strict=True)) for v in vectors]
+        want = sorted((-s, int(i)) for i, s in zip(ids, exact, strict=True) if i != 7)[:10]
+        got_ids, got = index.search(query, 10, 7)
+        assert [(-int(s), int(i)) for i, s in zip(got_ids, got, strict=True)] == want
+
+
+def test_scores_beyond_a_long_fail_instead_of_wrapping(spark):
+    with pytest.raises(OverflowError):
+        ImpactIndex(np.arange(3), np.full((3, 8), 1 << 40)).search(np.full(8, 1 << 30), 1, None)
+    df = spark.createDataFrame([(0, [1e30]), (1, [2.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        top_k(df, df.where("vec_id = 0")).collect()

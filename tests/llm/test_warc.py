@@ -68,3 +68,14 @@ def test_missing_record_fails_the_job(spark):
 
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA), spark).count() == 0
+
+
+def test_archives_are_read_by_many_tasks(spark):
+    manifest = spark.createDataFrame([(f"a{i}", 1000, 1 << 20) for i in range(64)], warc.MANIFEST)
+    assert warc.read_tasks(manifest) == spark.sparkContext.defaultParallelism
+    assert warc.read_tasks(manifest, per_task=1 << 21) == 32
+    assert warc.read_tasks(manifest.limit(0)) == 1 and warc.read_tasks(manifest.limit(3)) == 3
+    written = warc.write_archives(pages(spark).coalesce(1), new_path(spark, "archives"), roll_bytes=300)
+    n = written.count()
+    assert n > 2 and warc.read_archives(written).withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 1
+    assert warc.read_archives(written).rdd.getNumPartitions() == min(n, spark.sparkContext.defaultParallelism)
