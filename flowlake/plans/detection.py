@@ -130,6 +130,17 @@ def decide_multiclass(spark, sf):
     return rounded(df.select("row_id", "is_attack", "confidence", "attack_type"))
 
 
+def flows_to_judge(df):
+    """Rows of ``alerts`` as flows; every seventh has odd numbers to clean."""
+    odd = F.when(F.col("id") % 14 == 0, float("nan")).when(F.col("id") % 7 == 0, float("inf"))
+    return df.select("id", "source", "conf_milli", F.transform_values("features", lambda _, v: F.coalesce(odd, v)).alias("features"))
+
+
+def judged(out):
+    return out.select("id", "is_attack", "confidence", "attack_type", F.coalesce("rule_id", F.lit(-1)).alias("rule_id"),
+                      F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, x: a + x).alias("feature_sum"))
+
+
 @query("alerts_short_circuit", cte("alerts", "ip_rules") + f", {RANGES_SQL}, " + hit_sql("split_part(source, '->', 1)", "alerts", "id") + """
 SELECT a.id, CASE verdict WHEN 'blacklist' THEN true WHEN 'whitelist' THEN false ELSE conf_milli > 400 END AS is_attack,
  CASE verdict WHEN 'blacklist' THEN 1.0 WHEN 'whitelist' THEN 0.0 ELSE conf_milli::DOUBLE / 1000 END AS confidence,
@@ -137,12 +148,7 @@ SELECT a.id, CASE verdict WHEN 'blacklist' THEN true WHEN 'whitelist' THEN false
  coalesce(h.rule_id, -1) AS rule_id, (CASE WHEN a.id % 7 = 0 THEN 0 ELSE 1 END) * (CASE a.id % 3 WHEN 0 THEN 443 + a.id % 5 + a.id % 1500 WHEN 1 THEN 8000 + a.id % 90 ELSE 53 END)::DOUBLE AS feature_sum
 FROM alerts a LEFT JOIN hit h USING (id)""")
 def alerts_short_circuit(spark, sf):
-    odd = F.when(F.col("id") % 14 == 0, float("nan")).when(F.col("id") % 7 == 0, float("inf"))
-    flows = alerts(spark, sf).select("id", "source", "conf_milli", F.transform_values(
-        "features", lambda _, v: F.coalesce(odd, v)).alias("features"))  # every seventh alert has odd numbers to clean
-    out = scoring.raise_alerts(flows, active_rules(spark, sf), "stored")
-    return out.select("id", "is_attack", "confidence", "attack_type", F.coalesce("rule_id", F.lit(-1)).alias("rule_id"),
-                      F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, x: a + x).alias("feature_sum"))
+    return judged(scoring.raise_alerts(flows_to_judge(alerts(spark, sf)), active_rules(spark, sf), "stored"))
 
 
 @query("outcome_classes", PR + """SELECT CASE WHEN y_true = 1 AND y_pred = 1 THEN 'HIT' WHEN y_true = 1 THEN 'MISS' WHEN y_pred = 1 THEN 'FALSE ALARM' ELSE 'OK' END AS outcome,

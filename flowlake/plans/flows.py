@@ -300,6 +300,15 @@ def l7_app_cache(spark, sf):
     return l7.app_cache(table(spark, sf, "app_flows"))
 
 
+def flow_ends(packets):
+    """Identity and end of each flow, from the segmentation alone."""
+    seg = nfv3_segments.segment_flows(packets)
+    first = lambda c: F.max(F.when(F.col("pkt_id") == F.col("flow_id"), F.col(c))).alias(c)
+    ends = seg.groupBy("flow_key", "flow_id").agg(*[first(c) for c in ("src_ip", "src_port", "dst_ip", "dst_port", "proto")],
+                                                  (F.floor(F.max("ts_us") / 1000) * 1000).alias("end_us"))
+    return ends.drop("flow_key")
+
+
 @query("l7_resolved", nf_segments_sql() + ", " + "app_flows AS (" + cte("app_flows").split("app_flows AS (", 1)[1].rstrip()
        + ", " + APP_CACHE + """, fl AS (SELECT flow_id, arg_min(src_ip, rn) AS src_ip, arg_min(src_port, rn) AS src_port,
  arg_min(dst_ip, rn) AS dst_ip, arg_min(dst_port, rn) AS dst_port, min(proto) AS proto, max(ts_us) // 1000 * 1000 AS end_us FROM seg GROUP BY flow_id),
@@ -311,12 +320,7 @@ best AS (SELECT flow_id, coalesce(arg_max(app_id, moment) FILTER (own), arg_max(
 res AS (SELECT f.*, cached_app FROM fl f LEFT JOIN best USING (flow_id))
 """ + f"SELECT flow_id, coalesce(cached_app, -1) AS cached_app, coalesce(nullif(cached_app, 0), {_guess_sql('dst_port', 'src_port', 'proto')}) AS l7_proto FROM res")
 def l7_resolved(spark, sf):
-    flows = nfv3_features.nfv3_record(nfv3_segments.segment_flows(table(spark, sf, "packets"))).select(
-        "flow_id", F.col("IPV4_SRC_ADDR").alias("src_ip"), F.col("L4_SRC_PORT").alias("src_port"),
-        F.col("IPV4_DST_ADDR").alias("dst_ip"), F.col("L4_DST_PORT").alias("dst_port"),
-        F.col("PROTOCOL").alias("proto"),
-        (F.col("FLOW_END_MILLISECONDS") * 1000).alias("end_us"))
-    return l7.resolve_apps(flows, table(spark, sf, "app_flows")).select(
+    return l7.resolve_apps(flow_ends(table(spark, sf, "packets")), table(spark, sf, "app_flows")).select(
         "flow_id", F.coalesce("cached_app", F.lit(-1)).alias("cached_app"), "l7_proto")
 
 

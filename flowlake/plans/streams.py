@@ -2,78 +2,58 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from flowlake.operators import alerts as al
 from flowlake.operators import drift, l7, scoring
-from flowlake.operators.flow_keys import flow_keys
-from flowlake.plans.derived import RAW_TABLES, cte, table
-from flowlake.plans.detection import AL, KL_SQL, active_rules
-from flowlake.plans.flows import APP_CACHE, KEYED, NF_VIEWS, nf_columns_sql
+from flowlake.plans.derived import table
+from flowlake.plans.detection import AL, KL_SQL, active_rules, alerts, flows_to_judge, judged
+from flowlake.plans.flows import NF_VIEWS, flow_ends, nf_columns_sql
 from flowlake.plans.registry import ORACLES, query, rounded
 from flowlake.plans.tables import CLEAN, RF, raw_flows
 from flowlake.session import new_path, settle
 from flowlake.streaming import alerts as sal
 from flowlake.streaming import flows as sfl
+from flowlake.streaming.apps import resolve_apps_stream
 from flowlake.streaming.jobs import batch_sink, collected, drain, file_stream, latest
 
 
-def stream_table(spark, sf, name):
-    """The derived table ``name`` as a stream over its raw file."""
-    raw = RAW_TABLES[name]
-    schema = spark.read.parquet(f"{sf}/{raw}.parquet").schema
-    view = f"stream_{uuid.uuid4().hex}"
-    file_stream(spark, sf, f"{raw}.parquet", schema).createOrReplaceTempView(view)
-    return spark.sql(cte(name).replace("WITH ", f"WITH {raw} AS (SELECT * FROM {view}),\n", 1) + f"SELECT * FROM {name}")
-
-
-def stream_alerts_table(spark, sf):
-    return stream_table(spark, sf, "alerts").withColumns({
-        "ts": F.col("ts").cast("timestamp"), "confidence": F.col("conf_milli") / F.lit(1000.0),
-        "features": F.from_json("features_json", "map<string,double>")})
+BATCHES = 6
 
 
-def with_heartbeat(spark, packets, folder):
-    """Packets joined by a heartbeat stream: a later packet of an unused address that moves the watermark on."""
-    spark.createDataFrame([], packets.schema).write.parquet(folder)
-    return packets.unionByName(spark.readStream.schema(packets.schema).parquet(folder))
+def arriving(spark, df, at_us, key):
+    """``df`` as a folder of files, one micro-batch each, up to 20 seconds out of the order of ``at_us`` (microseconds)."""
+    folder = new_path(spark, "arriving")
+    arrival = at_us + F.pmod(F.xxhash64(key), F.lit(20_000_000))
+    spread = settle(df.withColumn("__arrival", arrival), "arriving-spread")
+    bounds = spread.agg(F.min("__arrival").alias("lo"), (F.max("__arrival") + 1).alias("hi")).first()
+    cut = F.floor((F.col("__arrival") - bounds["lo"]) * BATCHES / F.lit(bounds["hi"] - bounds["lo"]))
+    for i in range(BATCHES):
+        spread.where(cut == i).drop("__arrival").coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
-def send_heartbeat(spark, sf, schema, folder):
-    last = table(spark, sf, "packets").agg(F.max("ts_us").alias("t"))
-    row = last.select(F.explode(F.array(F.lit(8_000_000_000_000_000), F.lit(8_000_000_000_000_001))).alias("pkt_id"),
-                      (F.col("t") + 86_400_000_000).alias("ts_us"))
-    fixed = {"src_ip": "0.0.0.0", "dst_ip": "0.0.0.0", "proto": 17}
-    cols = [F.col(f.name) if f.name in row.columns else F.lit(fixed.get(f.name, 0)).cast(f.dataType).alias(f.name)
-            for f in schema]
-    row.select(*cols).write.mode("append").parquet(folder)
+def in_batches(spark, df, at_us, key):
+    """``df`` as a stream of ``BATCHES`` micro-batches."""
+    return file_stream(spark, arriving(spark, df, at_us, key), "*.parquet", df.schema, max_files=1)
 
 
-BATCHES = 6
+def stream_alerts_table(spark, sf):
+    return in_batches(spark, alerts(spark, sf), F.unix_micros("ts"), "id")
 
 
-def arriving(spark, sf):
-    """The packets as a folder of files, one micro-batch each, up to 20 seconds out of order."""
-    folder = new_path(spark, "packets-arriving")
-    packets = table(spark, sf, "packets")
-    bounds = packets.agg(F.min("ts_us").alias("lo"), (F.max("ts_us") + 20_000_001).alias("hi")).first()
-    arrival = F.col("ts_us") + F.pmod(F.xxhash64("pkt_id"), F.lit(20_000_000))
-    cut = F.floor((arrival - bounds["lo"]) * BATCHES / F.lit(bounds["hi"] - bounds["lo"]))
-    spread = settle(packets.withColumn("file", cut), "packets-spread")
-    for i in range(BATCHES):
-        spread.where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").parquet(folder)
-    return folder, packets.schema
+def stream_raw_flows(spark, sf):
+    """Raw flows have no time; they come in the order of their ids."""
+    return in_batches(spark, raw_flows(spark, sf), F.col("row_id") * 1_000_000_000, "row_id")
 
 
 @query("stream_flows", nf_columns_sql(NF_VIEWS["nfv3_flows"]))
 def stream_flows(spark, sf):
-    folder, schema = arriving(spark, sf)
+    packets = table(spark, sf, "packets")
     path, state = new_path(spark, "stream-flows"), new_path(spark, "stream-flow-state")
-    sink = sfl.flow_sink(sfl.FlowState(spark, state, schema), path)
-    drain(file_stream(spark, folder, "*.parquet", schema, max_files=1), sink)
-    sfl.flush(sfl.FlowState(spark, state, schema), path)
+    sink = sfl.flow_sink(sfl.FlowState(spark, state, packets.schema), path)
+    drain(in_batches(spark, packets, F.col("ts_us"), "pkt_id"), sink)
+    sfl.flush(sfl.FlowState(spark, state, packets.schema), path)
     return rounded(spark.read.parquet(path).select("flow_id", *NF_VIEWS["nfv3_flows"]), 4)
 
 
@@ -92,10 +72,8 @@ def stream_counters(spark, sf):
 def stream_alerts(spark, sf):
     path, rules_path = new_path(spark, "stream-alerts"), new_path(spark, "rules")
     active_rules(spark, sf).write.parquet(rules_path)
-    flows = stream_alerts_table(spark, sf).select("id", "source", "conf_milli", "features")
-    drain(flows, sal.alert_sink(lambda s: s.read.parquet(rules_path), "stored", path))
-    return spark.read.parquet(path).select("id", "is_attack", "confidence", "attack_type",
-                                           F.coalesce("rule_id", F.lit(-1)).alias("rule_id"))
+    drain(flows_to_judge(stream_alerts_table(spark, sf)), sal.alert_sink(lambda s: s.read.parquet(rules_path), "stored", path))
+    return judged(spark.read.parquet(path))
 
 
 @query("alerts_sink", AL + "SELECT id, source, is_attack, conf_milli::DOUBLE / 1000 AS confidence, attack_type FROM alerts")
@@ -112,7 +90,7 @@ def alerts_sink(spark, sf):
 def stream_replay_scores(spark, sf):
     scoring.register_scorer("packet-count", lambda df: df.withColumns(
         scoring.decide(F.least(F.lit(1.0), F.col("in_pkts") / 300), 0.5)))
-    flows = stream_table(spark, sf, "raw_flows")
+    flows = stream_raw_flows(spark, sf)
     truth = F.when(F.col("label") == 0, "Benign").otherwise("Attack")
     scored = scoring.score(flows.withColumn("truth", truth).drop("label", "attack"), "packet-count")
     return collected(scored.select("row_id", "is_attack", "confidence", "attack_type", "truth")).drop("batch")
@@ -122,7 +100,7 @@ def stream_replay_scores(spark, sf):
 FROM raw_flows QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY row_id) >= 10""")
 def stream_sequences(spark, sf):
     path = new_path(spark, "stream-sequences")
-    rows = stream_table(spark, sf, "raw_flows").select("row_id", "dataset", "out_bytes")
+    rows = stream_raw_flows(spark, sf).select("row_id", "dataset", "out_bytes")
     drain(rows, sal.sequence_sink(spark, ["out_bytes"], path))
     digest = F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x)
     return spark.read.parquet(path).select("row_id", "dataset", digest.alias("digest"))
@@ -132,31 +110,31 @@ def stream_sequences(spark, sf):
 def stream_drift(spark, sf):
     edges, reference = drift.fit_reference(raw_flows(spark, sf).filter("dataset = 'unsw'"), CLEAN)
     path, by = new_path(spark, "stream-drift"), ["dataset"]
-    drain(stream_table(spark, sf, "raw_flows").select(*by, *CLEAN), sal.drift_sink(edges, CLEAN, path, by))
+    drain(stream_raw_flows(spark, sf).select(*by, *CLEAN), sal.drift_sink(edges, CLEAN, path, by))
     done = sal.drift_so_far(spark.read.parquet(path), edges, reference, by)
     return rounded(done.select(*by, "feature", "kl", "drifted"), 5).withColumn("kl", F.col("kl") + 0.0)
 
 
-@query("stream_l7", cte("app_flows") + ", " + KEYED + ", " + APP_CACHE.split("cache AS")[0] + """
-entries AS (SELECT a.*, k.flow_key FROM app_ids a JOIN keyed k ON k.pkt_id IN (a.flow_no * 8 + 1, a.flow_no * 8 + 4) AND k.ts_us = a.ts_us),
-first AS (SELECT pkt_id, flow_key, ts_us FROM keyed WHERE pkt_id % 8 = 0)
-SELECT pkt_id, coalesce(arg_max(app_id, e.ts_us) , -1) AS app_id, count(e.app_id) AS entries FROM first f
-LEFT JOIN entries e ON e.flow_key = f.flow_key AND abs(e.ts_us - f.ts_us) <= 600000000 GROUP BY pkt_id""")
+def end_of_stream(df, at_us, folder):
+    """Two more files with a row far ahead, of an address that nothing else has: the first moves the watermark past all
+    other rows, the second makes the batch in which that counts."""
+    last = df.orderBy(F.desc(at_us)).limit(1).withColumns({
+        at_us: F.col(at_us) + 86_400_000_000, "src_ip": F.lit("0.0.0.0"), "dst_ip": F.lit("0.0.0.0"),
+        "proto": F.lit(17).cast(df.schema["proto"].dataType)})
+    for _ in range(2):
+        last.coalesce(1).write.mode("append").parquet(folder)
+
+
+@query("stream_l7", ORACLES["l7_resolved"])
 def stream_l7(spark, sf):
-    beat = new_path(spark, "heartbeat")
-    path = new_path(spark, "stream-l7")
-    packets = with_heartbeat(spark, stream_table(spark, sf, "packets"), beat)
-    keyed = flow_keys(packets).withColumn("ts", F.timestamp_micros("ts_us"))
-    view = f"stream_{uuid.uuid4().hex}"
-    packets.createOrReplaceTempView(view)
-    apps = spark.sql(cte("app_flows").replace(cte("packets").removeprefix("WITH ").rstrip() + ",", f"packets AS (SELECT * FROM {view}),")
-                     + "SELECT * FROM app_flows")
-    apps = flow_keys(apps.withColumn("app_id", l7.app_name_id(F.col("app_name")))).withColumn("ts", F.timestamp_micros("ts_us"))
-    starts = keyed.filter("pkt_id % 8 = 0").select("pkt_id", "flow_key", "ts")
-    joined = sal.join_apps(starts, apps).select("pkt_id", "app_id", "app_ts")
-    checkpoint = drain(joined, batch_sink(path))
-    send_heartbeat(spark, sf, packets.schema, beat)
-    drain(joined, batch_sink(path), checkpoint=checkpoint)
-    rows = spark.read.parquet(path).filter("pkt_id < 8000000000000000")
-    return rows.groupBy("pkt_id").agg(F.coalesce(F.max_by("app_id", "app_ts"), F.lit(-1)).alias("app_id"),
-                                      F.count("app_id").alias("entries"))
+    flows = flow_ends(table(spark, sf, "packets")).withColumn("l7_guess", l7.port_app_id(F.col("dst_port"), F.col("src_port"), F.col("proto")))
+    flows, apps = settle(flows, "flow-ends"), settle(table(spark, sf, "app_flows"), "app-flows")
+    streams = []
+    for df, at_us, key in ((flows, "end_us", "flow_id"), (apps, "ts_us", "flow_no")):
+        folder = arriving(spark, df, F.col(at_us), key)
+        end_of_stream(df, at_us, folder)
+        streams.append(file_stream(spark, folder, "*.parquet", df.schema, max_files=1))
+    answers = collected(resolve_apps_stream(*streams, "flow_id"))
+    return flows.join(answers.select("flow_id", "cached_app"), "flow_id", "left").select(
+        "flow_id", F.coalesce("cached_app", F.lit(-1)).alias("cached_app"),
+        F.coalesce(F.nullif("cached_app", F.lit(0)), "l7_guess").alias("l7_proto"))

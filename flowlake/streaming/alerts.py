@@ -73,11 +73,3 @@ def sequence_sink(spark: SparkSession, features: list[str], path: str, length: i
          .withColumn("__batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{carry}/slot={batch_id % 3}"))
     return write
 
-
-def join_apps(flows: DataFrame, apps: DataFrame, max_age: str = "600 seconds", late: str = "30 seconds") -> DataFrame:
-    """Stream-stream left join of flow starts and application entries on the direction-free key, within ``max_age``."""
-    f = flows.withWatermark("ts", late).alias("f")
-    a = apps.select(F.col("flow_key").alias("app_key"), F.col("ts").alias("app_ts"), "app_id").withWatermark(
-        "app_ts", late).alias("a")
-    near = F.expr(f"app_key = flow_key AND app_ts >= ts - INTERVAL {max_age} AND app_ts <= ts + INTERVAL {max_age}")
-    return f.join(a, near, "left")

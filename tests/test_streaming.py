@@ -3,11 +3,16 @@
 import pytest
 from pyspark.sql import functions as F
 
-from flowlake.operators import datasets, nfv3_features, nfv3_segments
+from flowlake import fixed_values as fv
+from flowlake.operators import datasets, l7, nfv3_features, nfv3_segments
+from flowlake.plans import streams
 from flowlake.streaming import alerts as sal
 from flowlake.streaming import flows as sfl
+from flowlake.streaming.apps import resolve_apps_stream
 from flowlake.streaming.jobs import batch_sink, drain, latest
+from tests.conftest import SMALL
 from tests.packets import Capture
+from tests.sql import assert_equals_sql
 from tests.test_flows import random_capture
 
 
@@ -96,7 +101,38 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
 
 
-@pytest.mark.parametrize("name", ["stream_counters", "stream_alerts"])
-def test_stream_queries_on_small_data(spark, name):
-    import __spark_entry__ as entry
-    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+STREAMS = ["stream_flows", "stream_traffic", "stream_counters", "stream_alerts", "alerts_sink", "stream_replay_scores",
+           "stream_sequences", "stream_drift", "stream_l7"]
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_stream_queries_over_many_batches_equal_their_sql(spark, name):
+    assert streams.BATCHES >= 5
+    assert_equals_sql(spark, name, SMALL)
+
+
+def test_app_cache_answers_as_of_the_event_for_any_arrival_order(spark, tmp_path):
+    """Entries after the question, too old, of the other direction, guessed, and a question before any entry."""
+    flow = "flow_id long, src_ip string, src_port long, dst_ip string, dst_port long, proto int, end_us long"
+    app = "flow_no long, src_ip string, src_port long, dst_ip string, dst_port long, proto int, app_name string, is_guessed boolean, ts_us long"
+    a, b = ("10.0.0.1", 1000), ("10.0.0.2", 443)
+    s = 1_000_000
+    entries = [(1, *a, *b, 6, "HTTP", False, 1000 * s), (2, *b, *a, 6, "DNS", False, 1100 * s), (3, *a, *b, 6, "TLS.Google", False, 1300 * s),
+               (4, *a, *b, 6, "Unknown", True, 1310 * s)]
+    times = {1: 990, 2: 1000, 3: 1150, 4: 1299, 5: 1301, 6: 1315, 7: 1650, 8: 1750, 9: 1900, 10: 1901, 11: 2600}
+    asked = [(i, *(a + b if i % 2 else b + a), 6, t * s) for i, t in times.items()]
+    far = [(99, "0.0.0.0", 1, "0.0.0.0", 2, 17)]
+    folders, frames = [str(tmp_path / n) for n in ("asked", "entries")], []
+    for folder, rows, schema, end in ((folders[0], asked, flow, (90_000 * s,)), (folders[1], entries, app, ("HTTP", False, 90_000 * s))):
+        shuffled = sorted(rows, key=lambda r: hash((r[0] * 7919) % 13))
+        parts = [[r] for r in shuffled] + [[(*far[0], *end)]] * 2
+        for part in parts:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        frames.append(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    path = str(tmp_path / "out")
+    drain(resolve_apps_stream(*frames, "flow_id", late="3000 seconds"), batch_sink(path))
+    got = {r.flow_id: r.cached_app for r in spark.read.parquet(path).collect()}
+    batch = l7.resolve_apps(spark.createDataFrame(asked, flow), spark.createDataFrame(entries, app))
+    assert got == {r.flow_id: r.cached_app for r in batch.collect()}
+    http, dns, tls = (fv.APP_NAME_ID[n] for n in ("HTTP", "DNS", "TLS"))
+    assert got == {1: None, 2: http, 3: http, 4: dns, 5: tls, 6: dns, 7: tls, 8: tls, 9: tls, 10: None, 11: None}
