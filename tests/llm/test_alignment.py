@@ -1,6 +1,7 @@
 """Token alignment against plain loops over all token pairs."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -86,6 +87,18 @@ def test_ids_and_groups_of_the_operator(spark, tool):
         assert (hashlib.sha256(text.encode()).hexdigest() if text else "") == want[6]
 
 
+def test_both_engines_give_the_same_ids(tool):
+    from tokenizers import Tokenizer
+    slow = Tokenizer.from_file(Pair().a)
+    slow.encode_special_tokens = True
+    rng = random.Random(8)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    bits = [" the", "ing", "'s", "'LL", "12", "\n\n", "  ", "\r", "\t", "aei", "<|endoftext|>", "!?"]
+    texts = [f"a{c}1{c} {c}{c}! {c}b\n{c} " for c in map(chr, range(0x3000))]
+    texts += ["".join(rng.choice([chr(rng.choice(points)), rng.choice(bits)]) for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    assert tool.a.encode(texts) == [e.ids for e in slow.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
 def test_byte_table_spells_all_bytes(tool):
     assert sorted(alignment.byte_of_char().values()) == list(range(256))
     assert len(tool.a.tokens) == 50257 and len(tool.b.tokens) == 32000
