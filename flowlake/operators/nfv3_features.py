@@ -10,69 +10,120 @@ from flowlake.operators.l7 import port_app_id
 
 # Upper edges of the packet-size histogram; larger packets are not counted.
 SIZE_EDGES = [128, 256, 512, 1024, 1514]
+ENDS = ["client_ip", "client_port", "server_ip", "server_port", "proto"]
+SIDES = {"SRC_TO_DST": True, "DST_TO_SRC": False}  # prefix of a direction's columns -> whether it is the client's
+US = 1_000_000
 
 
 def _sided(expr: Column, fwd: bool) -> Column:
     return F.when(F.col("fwd") if fwd else ~F.col("fwd"), expr)
 
 
-def nfv3_record(segmented: DataFrame) -> DataFrame:
-    """All 53 columns of a flow record, plus ``flow_id``.
+def partial_records(segmented: DataFrame, slot_s: int = 10) -> DataFrame:
+    """One mergeable record per flow and time slot of ``slot_s`` seconds.
 
-    The windows' keys start with ``flow_key``, so on the ordinary segmentation path they and the final aggregation
-    reuse its one shuffle.  A flow spans at most the active timeout plus one gap, which bounds each window.  All
-    aggregation buffers are of fixed width, which keeps the aggregation hash-based.  DNS fields count wherever
-    a packet has a DNS layer (``dns_qr`` is not null): the last query, its type if it has a question, the TTL of the last
-    reply with an answer.  ICMP and FTP columns are constant 0: only TCP and UDP packets form flows.
+    Sums, extremes and flag unions merge as they are.  For inter-arrival times a slot keeps, per direction, its first and
+    last packet's time, and the extremes and squared deviations of the gaps inside; for DNS fields its newest values.  A
+    repeated segment is marked in its slot first, and only the first one of each slot is compared across slots.  So no
+    window spans more than one flow's slot, or one row per slot, and a flow of any size is spread over tasks.
     """
     order = ["ts_us", "pkt_id"]
-    flow = Window.partitionBy("flow_key", "flow_id").orderBy(*order)
-    earlier = flow.rowsBetween(Window.unboundedPreceding, -1)
-    same_seq = Window.partitionBy("flow_key", "flow_id", "fwd", "tcp_seq", "payload_len").orderBy(*order)
+    flow = ["flow_key", "flow_id"]
+    in_slot = Window.partitionBy(*flow, "slot").orderBy(*order)
+    earlier = in_slot.rowsBetween(Window.unboundedPreceding, -1)
+    copies = [*flow, "fwd", "tcp_seq", "payload_len"]
     tcp = F.col("proto") == 6
     last_us = lambda fwd: F.last(_sided(F.col("ts_us"), fwd), ignorenulls=True).over(earlier)
-    pkts = segmented.withColumns({"at": F.row_number().over(flow), "last_fwd": last_us(True), "last_bwd": last_us(False)})
+    pkts = segmented.withColumn("slot", F.floor(F.col("ts_us") / F.lit(slot_s * US)))
+    pkts = pkts.withColumns({"at": F.row_number().over(in_slot), "last_fwd": last_us(True), "last_bwd": last_us(False),
+                             "first_here": F.row_number().over(Window.partitionBy(*copies, "slot").orderBy(*order)) == 1})
+    # firsts of all slots meet in one group; the others, which are repeats anyway, stay with their slot
+    among = Window.partitionBy(*copies, F.when(F.col("first_here"), F.lit(None)).otherwise(F.col("slot"))).orderBy(*order)
     pkts = pkts.withColumns({
-        "iat_ms": (F.col("ts_us") - F.when(F.col("fwd"), F.col("last_fwd")).otherwise(F.col("last_bwd"))) / F.lit(1000.0),
-        "again": tcp & (F.row_number().over(same_seq) > 1),
+        "gap_us": F.col("ts_us") - F.when(F.col("fwd"), F.col("last_fwd")).otherwise(F.col("last_bwd")),
+        "again": tcp & (~F.col("first_here") | (F.row_number().over(among) > 1)),
         **{f"{who}_{what}": F.when(F.col("fwd") == F.lit(who == "client"), F.col(f"src_{what}"))
            .otherwise(F.col(f"dst_{what}")) for who in ("client", "server") for what in ("ip", "port")},
     })
-    ends = ["client_ip", "client_port", "server_ip", "server_port", "proto"]
-    zero = lambda c: F.coalesce(c, F.lit(0))
     size = F.col("ip_len")
     lows = [-1, *SIZE_EDGES[:-1]]
     query, reply = F.col("dns_qr") == 0, (F.col("dns_qr") == 1) & (F.col("dns_ancount") > 0)
     asked = query & (F.col("dns_qdcount") > 0)
-    newest = lambda cond, c: zero(F.max_by(F.when(cond, F.col(c)), F.when(cond, F.col("at"))))
-    lasted = lambda fwd: F.when(F.count_if(F.col("fwd") == F.lit(fwd)) > 1,
-                                (F.max(_sided(F.col("ts_us"), fwd)) - F.min(_sided(F.col("ts_us"), fwd)))
-                                / F.lit(1000.0)).otherwise(0.0)
     aggs = {
         "t0": F.min("ts_us"), "t1": F.max("ts_us"),
-        "IN_BYTES": zero(F.sum(_sided(size, True))), "IN_PKTS": F.count_if("fwd"),
-        "OUT_BYTES": zero(F.sum(_sided(size, False))), "OUT_PKTS": F.count_if(~F.col("fwd")),
-        "TCP_FLAGS": zero(F.bit_or("tcp_flags")),
-        "CLIENT_TCP_FLAGS": zero(F.bit_or(_sided(F.col("tcp_flags"), True))),
-        "SERVER_TCP_FLAGS": zero(F.bit_or(_sided(F.col("tcp_flags"), False))),
-        "DURATION_IN": lasted(True), "DURATION_OUT": lasted(False),
+        "IN_BYTES": F.sum(_sided(size, True)), "IN_PKTS": F.count_if("fwd"),
+        "OUT_BYTES": F.sum(_sided(size, False)), "OUT_PKTS": F.count_if(~F.col("fwd")),
+        "TCP_FLAGS": F.bit_or("tcp_flags"),
+        "CLIENT_TCP_FLAGS": F.bit_or(_sided(F.col("tcp_flags"), True)),
+        "SERVER_TCP_FLAGS": F.bit_or(_sided(F.col("tcp_flags"), False)),
         "MIN_TTL": F.min("ttl"), "MAX_TTL": F.max("ttl"),
         "LONGEST_FLOW_PKT": F.max(size), "SHORTEST_FLOW_PKT": F.min(size),
-        "RETRANSMITTED_IN_BYTES": zero(F.sum(F.when(F.col("again") & F.col("fwd"), size))),
+        "RETRANSMITTED_IN_BYTES": F.sum(F.when(F.col("again") & F.col("fwd"), size)),
         "RETRANSMITTED_IN_PKTS": F.count_if(F.col("again") & F.col("fwd")),
-        "RETRANSMITTED_OUT_BYTES": zero(F.sum(F.when(F.col("again") & ~F.col("fwd"), size))),
+        "RETRANSMITTED_OUT_BYTES": F.sum(F.when(F.col("again") & ~F.col("fwd"), size)),
         "RETRANSMITTED_OUT_PKTS": F.count_if(F.col("again") & ~F.col("fwd")),
         **{name: F.count_if((size > lo) & (size <= hi)) for name, lo, hi in zip(fv.SIZE_COLUMNS, lows, SIZE_EDGES)},
-        "TCP_WIN_MAX_IN": zero(F.max(_sided(F.col("tcp_window"), True))),
-        "TCP_WIN_MAX_OUT": zero(F.max(_sided(F.col("tcp_window"), False))),
-        "DNS_QUERY_ID": newest(query, "dns_id"), "DNS_QUERY_TYPE": newest(asked, "dns_qtype"),
-        "DNS_TTL_ANSWER": newest(reply, "dns_ttl"),
+        "TCP_WIN_MAX_IN": F.max(_sided(F.col("tcp_window"), True)),
+        "TCP_WIN_MAX_OUT": F.max(_sided(F.col("tcp_window"), False)),
+    }
+    for name, cond, column in (("DNS_QUERY_ID", query, "dns_id"), ("DNS_QUERY_TYPE", asked, "dns_qtype"), ("DNS_TTL_ANSWER", reply, "dns_ttl")):
+        aggs |= {name: F.max_by(F.when(cond, F.col(column)), F.when(cond, F.col("at"))), f"{name}_at": F.max(F.when(cond, F.col("slot")))}
+    for prefix, fwd in SIDES.items():
+        time, gap = _sided(F.col("ts_us"), fwd), _sided(F.col("gap_us"), fwd)
+        aggs |= {f"{prefix}_first": F.min(time), f"{prefix}_last": F.max(time), f"{prefix}_least": F.min(gap), f"{prefix}_most": F.max(gap),
+                 f"{prefix}_n": F.count(gap), f"{prefix}_m2": F.var_pop(gap) * F.count(gap)}
+    return pkts.groupBy(*flow, *ENDS, "slot").agg(*[e.alias(n) for n, e in aggs.items()])
+
+
+def gap_figures(slots: Column) -> dict[str, Column]:
+    """Least, most, mean and deviation (milliseconds) of one direction's gaps, from its slots in order of time.
+
+    Between two slots lies one more gap.  All gaps add up to last minus first, so the mean is known at once, and squared
+    deviations follow from those inside the slots and the slots' own means.
+    """
+    n_slots = F.size(slots)
+    between = F.when(n_slots > 1, F.transform(F.sequence(F.lit(1), n_slots - 1), lambda i: F.get(slots, i)["first"] - F.get(slots, i - 1)["last"]))
+    between = F.coalesce(between, F.array().cast("array<bigint>"))
+    n = F.aggregate(slots, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]) + F.size(between)
+    mean = (F.get(slots, n_slots - 1)["last"] - F.get(slots, F.lit(0))["first"]) / n
+    off = lambda value: (value - mean) * (value - mean)
+    inside = F.aggregate(F.filter(slots, lambda x: x["n"] > 0), F.lit(0.0), lambda acc, x: acc + x["m2"] + x["n"] * off((x["last"] - x["first"]) / x["n"]))
+    m2 = inside + F.aggregate(between, F.lit(0.0), lambda acc, g: acc + off(g))
+    figures = {"MIN": F.least(F.array_min(F.transform(slots, lambda x: x["least"])), F.array_min(between)),
+               "MAX": F.greatest(F.array_max(F.transform(slots, lambda x: x["most"])), F.array_max(between)),
+               "AVG": mean, "STDDEV": F.sqrt(m2 / n)}
+    return {name: F.when(n > 0, value / F.lit(1000.0)).otherwise(0.0) for name, value in figures.items()}
+
+
+def nfv3_record(segmented: DataFrame, slot_s: int = 10) -> DataFrame:
+    """All 53 columns of a flow record, plus ``flow_id``: the partial records of the flow's slots, merged.
+
+    Windows and aggregations are keyed by ``flow_key`` first, so on the ordinary segmentation path all of them reuse its
+    one shuffle; packets of a hot key come spread over time and stay so.  Merging sees one row per slot of a flow.  DNS
+    fields count wherever a packet has a DNS layer (``dns_qr`` is not null): the last query, its type if it has a
+    question, the TTL of the last reply with an answer.  ICMP and FTP columns are constant 0: only TCP and UDP packets
+    form flows.
+    """
+    parts = partial_records(segmented, slot_s)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    total = ["IN_BYTES", "IN_PKTS", "OUT_BYTES", "OUT_PKTS", "RETRANSMITTED_IN_BYTES", "RETRANSMITTED_IN_PKTS", "RETRANSMITTED_OUT_BYTES",
+             "RETRANSMITTED_OUT_PKTS", *fv.SIZE_COLUMNS]
+    aggs = {
+        **{c: zero(F.sum(c)) for c in total},
+        **{c: F.min(c) for c in ("t0", "MIN_TTL", "SHORTEST_FLOW_PKT")}, **{c: F.max(c) for c in ("t1", "MAX_TTL", "LONGEST_FLOW_PKT")},
+        **{c: zero(F.max(c)) for c in ("TCP_WIN_MAX_IN", "TCP_WIN_MAX_OUT")},
+        **{c: zero(F.bit_or(c)) for c in ("TCP_FLAGS", "CLIENT_TCP_FLAGS", "SERVER_TCP_FLAGS")},
+        **{c: zero(F.max_by(c, f"{c}_at")) for c in ("DNS_QUERY_ID", "DNS_QUERY_TYPE", "DNS_TTL_ANSWER")},
     }
-    for prefix, fwd in (("SRC_TO_DST", True), ("DST_TO_SRC", False)):
-        gap = _sided(F.col("iat_ms"), fwd)
-        aggs |= {f"{prefix}_IAT_MIN": zero(F.min(gap)), f"{prefix}_IAT_MAX": zero(F.max(gap)),
-                 f"{prefix}_IAT_AVG": zero(F.avg(gap)), f"{prefix}_IAT_STDDEV": zero(F.stddev_pop(gap))}
-    flows = pkts.groupBy("flow_key", "flow_id", *ends).agg(*[e.alias(n) for n, e in aggs.items()])
+    for prefix in SIDES:
+        one = F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in ("first", "last", "n", "least", "most", "m2")])
+        aggs[f"{prefix}_slots"] = F.array_sort(F.collect_list(F.when(F.col(f"{prefix}_first").isNotNull(), one)))
+    flows = parts.groupBy("flow_key", "flow_id", *ENDS).agg(*[e.alias(n) for n, e in aggs.items()])
+    for prefix, column in zip(SIDES, ("DURATION_IN", "DURATION_OUT"), strict=True):
+        slots = F.col(f"{prefix}_slots")
+        span = F.get(slots, F.size(slots) - 1)["last"] - F.get(slots, F.lit(0))["first"]
+        flows = flows.withColumns({column: F.coalesce(span, F.lit(0)) / F.lit(1000.0),
+                                   **{f"{prefix}_IAT_{k}": v for k, v in gap_figures(slots).items()}})
 
     took = F.col("t1") - F.col("t0")
     rate = lambda amount: F.when(took > 0, amount / (took / F.lit(1e6))).otherwise(0.0)

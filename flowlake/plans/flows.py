@@ -136,6 +136,35 @@ for _name, _columns in NF_VIEWS.items():
     _add_nf_view(_name, _columns)
 
 
+# All but one packet of a hundred belong to one UDP conversation, and no rule closes it: one flow holds 99 % of all packets.
+ONE_FLOW_COLUMNS = {"src_ip": ("'10.9.9.9'", "'10.8.8.8'"), "dst_ip": ("'10.8.8.8'", "'10.9.9.9'"), "src_port": ("5000", "6000"), "dst_port": ("6000", "5000")}
+
+
+def one_flow_sql() -> str:
+    """Packets where every row but one in a hundred goes to one conversation, both ways."""
+    hot = "pkt_id % 100 <> 0"
+    cols = [f"CAST(CASE WHEN {hot} AND pkt_id % 3 > 0 THEN {there} WHEN {hot} THEN {back} ELSE {c} END AS {'VARCHAR(20)' if 'ip' in c else 'BIGINT'}) AS {c}"
+            for c, (there, back) in ONE_FLOW_COLUMNS.items()]
+    rest = [c for c in ("pkt_id", "ts_us", "ip_len", "frame_len", "ttl", "ip_ihl", "tcp_flags", "tcp_window", "tcp_seq", "tcp_dataofs",
+                        "payload_len", "dns_qr", "dns_id", "dns_qdcount", "dns_qtype", "dns_ancount", "dns_ttl")]
+    return f"SELECT {', '.join(rest)}, {', '.join(cols)}, CASE WHEN {hot} THEN 17 ELSE proto END AS proto FROM all_packets"
+
+
+HOT_REC = (PK.replace("packets AS (", "all_packets AS (", 1).rstrip() + f",\npackets AS ({one_flow_sql()}), " + KEYED + """,
+seg AS (SELECT *, first_value(pkt_id) OVER w AS flow_id, first_value(from_lo) OVER w = from_lo AS fwd FROM keyed WHERE proto = 17
+ WINDOW w AS (PARTITION BY flow_key ORDER BY ts_us, pkt_id))""" + NF_REC[len(NF_SEG):]
+           + "SELECT flow_id, " + ", ".join(f"{NF_COLUMN_SQL[c]} AS {c}" for c in fv.NFV3_RAW_COLUMNS) + " FROM rec")
+
+
+@query("nfv3_flows_one_hot", HOT_REC)
+def nfv3_flows_one_hot(spark, sf):
+    """UDP records where one flow has 99 % of the packets; both its key and the flow itself take the spread way."""
+    packets = spark.sql(one_flow_sql().replace("all_packets", "{packets}"), packets=table(spark, sf, "packets"))
+    forever = nfv3_segments.CloseRules(active_s=1 << 31, inactive_s=1 << 31)
+    seg = nfv3_segments.segment_flows(packets.where("proto = 17"), forever, hot_rows=1000)
+    return rounded(nfv3_features.nfv3_record(seg).select("flow_id", *fv.NFV3_RAW_COLUMNS), 4)
+
+
 @query("packets_infra_filter", PK + """SELECT pkt_id, src_ip, src_port, dst_ip, dst_port, proto FROM packets
 WHERE src_port NOT IN (6379, 5432, 8000) AND dst_port NOT IN (6379, 5432, 8000)""")
 def packets_infra_filter(spark, sf):
