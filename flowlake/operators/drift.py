@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlake.operators.cleaning import finite
 from flowlake.session import settle
 
 EPS = 1e-10
 
 
 def bin_edges(df: DataFrame, features: list[str], bins: int = 50) -> DataFrame:
-    """(feature, lo, hi, bins): equal bins from the smallest to the largest value, one unit wide in all if they agree."""
-    one = df.agg(*[F.struct(F.lit(c).alias("feature"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
+    """(feature, lo, hi, bins): equal bins from the smallest to the largest finite value, one unit wide in all if they agree."""
+    one = df.agg(*[F.struct(F.lit(c).alias("feature"), F.min(finite(F.col(c))).alias("lo"), F.max(finite(F.col(c))).alias("hi")).alias(c)
                    for c in features])
     rows = one.select(F.inline(F.array(*features)))
     flat = F.col("lo") == F.col("hi")
@@ -37,7 +38,7 @@ def bin_of(e: Column, x: Column) -> Column:
 
 
 def histogram(df: DataFrame, features: list[str], edges: DataFrame, by: list[str] = ()) -> DataFrame:
-    """(by, feature, bin, n) for every bin; values outside the edges are left out.
+    """(by, feature, bin, n) for every bin; values outside the edges, infinite and missing ones are left out.
 
     ``edges`` is one row per feature and travels as a single packed row.  Rows are counted map-side, at most bins x
     features partial rows per group and task.

@@ -10,7 +10,7 @@ from flowlake.operators import datasets, drift, labels, metrics, nfv3_features,
 from flowlake.plans.derived import cte, table
 from flowlake.plans.flows import NF_COLUMN_SQL, NF_REC
 from flowlake.plans.registry import query, rounded
-from flowlake.plans.tables import CLEAN, FIT_SQL, INPUTS, RF, _fit, raw_flows
+from flowlake.plans.tables import FIT_SQL, INPUTS, NUMERIC, RF, _fit, raw_flows
 from flowlake.plans.training import SHOTS
 from flowlake.session import new_path, settle
 
@@ -435,7 +435,7 @@ def hist_sql(where: str, name: str) -> str:
     """CTEs ``name`` (dataset, feature, bin, n) and ``name``_p with shares, by comparing each value with all edges."""
     parts = " UNION ALL ".join(
         f"SELECT dataset, '{c}' AS feature, least(len(list_filter(es, lambda e: e <= {c})), 50) - 1 AS bin, count(*) AS n FROM raw_flows, edges "
-        f"WHERE {where} AND feature = '{c}' AND {c} BETWEEN lo AND hi GROUP BY ALL" for c in CLEAN)
+        f"WHERE {where} AND feature = '{c}' AND {c} BETWEEN lo AND hi GROUP BY ALL" for c in NUMERIC)
     return f"""{name}_c AS ({parts}), {name}_k AS (SELECT DISTINCT dataset FROM raw_flows WHERE {where}),
 {name} AS (SELECT dataset, feature, bin, coalesce(n, 0) AS n FROM (SELECT dataset, feature, unnest(range(50)) AS bin FROM {name}_k, edges) b LEFT JOIN {name}_c USING (dataset, feature, bin)),
 {name}_d AS (SELECT dataset, feature, bin, coalesce(n / (nullif(sum(n) OVER (PARTITION BY dataset, feature), 0) * (hi - lo) / 50), 0) + 1e-10::DOUBLE AS d FROM {name} JOIN edges USING (feature)),
@@ -444,7 +444,7 @@ def hist_sql(where: str, name: str) -> str:
 
 
 EDGES_SQL = "bounds AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, min({c}) AS lo, max({c}) AS hi FROM raw_flows WHERE dataset = 'unsw'" for c in CLEAN) + """),
+    f"SELECT '{c}' AS feature, min({c}) AS lo, max({c}) AS hi FROM raw_flows WHERE dataset = 'unsw' AND isfinite({c})" for c in NUMERIC) + """),
 edges AS (SELECT feature, lo, hi, list_transform(range(51), lambda i: CASE WHEN i = 50 THEN hi ELSE lo + i * ((hi - lo) / 50) END) AS es FROM bounds), """
 KL_SQL = RF + ", " + EDGES_SQL + hist_sql("dataset = 'unsw'", "a") + ", " + hist_sql("true", "b") + \
     ", kl AS (SELECT b_p.dataset, feature, sum(a_p.p * ln(a_p.p / b_p.p)) AS kl FROM a_p JOIN b_p USING (feature, bin) GROUP BY ALL) "
@@ -452,25 +452,25 @@ KL_SQL = RF + ", " + EDGES_SQL + hist_sql("dataset = 'unsw'", "a") + ", " + hist
 
 def _reference(spark, sf):
     df = raw_flows(spark, sf)
-    return df, drift.fit_reference(df.filter("dataset = 'unsw'"), CLEAN)
+    return df, drift.fit_reference(df.filter("dataset = 'unsw'"), NUMERIC)
 
 
 @query("feature_histogram", RF + ", " + EDGES_SQL + hist_sql("true", "a") + "SELECT dataset, feature, bin, n FROM a")
 def feature_histogram(spark, sf):
     df = raw_flows(spark, sf)
-    edges = settle(drift.bin_edges(df.filter("dataset = 'unsw'"), CLEAN), "edges")
-    return drift.histogram(df, CLEAN, edges, ["dataset"]).select("dataset", "feature", "bin", "n")
+    edges = settle(drift.bin_edges(df.filter("dataset = 'unsw'"), NUMERIC), "edges")
+    return drift.histogram(df, NUMERIC, edges, ["dataset"]).select("dataset", "feature", "bin", "n")
 
 
 @query("drift_kl", KL_SQL + "SELECT dataset, feature, round(kl, 5) + 0.0 AS kl, kl > 0.1 AS drifted FROM kl")
 def drift_kl(spark, sf):
     df, (edges, ref) = _reference(spark, sf)
-    return rounded(drift.kl_by_feature(edges, ref, df, CLEAN, by=["dataset"]), 5).withColumn("kl", F.col("kl") + 0.0)
+    return rounded(drift.kl_by_feature(edges, ref, df, NUMERIC, by=["dataset"]), 5).withColumn("kl", F.col("kl") + 0.0)
 
 
 @query("drift_summary", KL_SQL + """SELECT dataset, bool_or(kl > 0.1) AS drifted, round(avg(kl), 5) + 0.0 AS mean_kl, round(max(kl), 5) + 0.0 AS max_kl,
  coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (kl > 0.1), '') AS drifted_features FROM kl GROUP BY dataset""")
 def drift_summary(spark, sf):
     df, (edges, ref) = _reference(spark, sf)
-    return rounded(drift.drift_summary(drift.kl_by_feature(edges, ref, df, CLEAN, by=["dataset"]), ["dataset"]), 5).withColumns(
+    return rounded(drift.drift_summary(drift.kl_by_feature(edges, ref, df, NUMERIC, by=["dataset"]), ["dataset"]), 5).withColumns(
         {c: F.col(c) + 0.0 for c in ("mean_kl", "max_kl")})

@@ -10,7 +10,7 @@ from flowlake.plans.derived import table
 from flowlake.plans.detection import AL, KL_SQL, active_rules, alerts, flows_to_judge, judged
 from flowlake.plans.flows import NF_VIEWS, flow_ends, nf_columns_sql
 from flowlake.plans.registry import ORACLES, query, rounded
-from flowlake.plans.tables import CLEAN, RF, raw_flows
+from flowlake.plans.tables import NUMERIC, RF, raw_flows
 from flowlake.session import new_path, settle
 from flowlake.streaming import alerts as sal
 from flowlake.streaming import flows as sfl
@@ -108,9 +108,9 @@ def stream_sequences(spark, sf):
 
 @query("stream_drift", KL_SQL + "SELECT dataset, feature, round(kl, 5) + 0.0 AS kl, kl > 0.1 AS drifted FROM kl")
 def stream_drift(spark, sf):
-    edges, reference = drift.fit_reference(raw_flows(spark, sf).filter("dataset = 'unsw'"), CLEAN)
+    edges, reference = drift.fit_reference(raw_flows(spark, sf).filter("dataset = 'unsw'"), NUMERIC)
     path, by = new_path(spark, "stream-drift"), ["dataset"]
-    drain(stream_raw_flows(spark, sf).select(*by, *CLEAN), sal.drift_sink(edges, CLEAN, path, by))
+    drain(stream_raw_flows(spark, sf).select(*by, *NUMERIC), sal.drift_sink(edges, NUMERIC, path, by))
     done = sal.drift_so_far(spark.read.parquet(path), edges, reference, by)
     return rounded(done.select(*by, "feature", "kl", "drifted"), 5).withColumn("kl", F.col("kl") + 0.0)
 

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlake import fixed_values as fv
-from flowlake.operators import cic, cleaning, datasets, labels, prep
+from flowlake.operators import cic, cleaning, datasets, labels, nfv3_features, nfv3_segments, prep
 from flowlake.plans.derived import cte, table
-from flowlake.plans.flows import CIC_COLUMN_SQL, CIC_SEG, snake
+from flowlake.plans.flows import CIC_COLUMN_SQL, CIC_SEG, NF_COLUMN_SQL, NF_REC, snake
 from flowlake.plans.registry import query, rounded
-from flowlake.session import new_path
+from flowlake.session import new_path, settle
 from flowlake.sources import files
 
 RF = cte("raw_flows")
@@ -20,7 +20,6 @@ RAW_SCHEMA = ("row_id long, ipv4_src_addr string, l4_src_port string, l4_dst_por
               "in_bytes double, out_bytes double, in_pkts double, out_pkts double, "
               "flow_duration_milliseconds double, label int, attack string, cic_label string")
 NUMERIC = ["in_bytes", "out_bytes", "in_pkts", "out_pkts", "flow_duration_milliseconds"]
-CLEAN = ["out_bytes", "in_pkts", "out_pkts", "flow_duration_milliseconds"]
 DATASETS = list(fv.DATASETS)
 
 
@@ -121,6 +120,11 @@ def clean_sql(by: str | None = "dataset", taken: str = "raw_flows", features: li
 INPUTS = ["protocol", *NUMERIC, *fv.PORT_BUCKET_COLUMNS]
 
 
+def clipped_flows(spark, sf):
+    """Raw flows without infinities, NaN and nulls in the numeric columns."""
+    return cleaning.clip_infinite(raw_flows(spark, sf), NUMERIC, ["dataset"])
+
+
 @query("clean_inf_to_max", RF + ", " + clean_sql() + "SELECT row_id, " + ", ".join(NUMERIC) + " FROM fixed")
 def clean_inf_to_max(spark, sf):
     return cleaning.clip_infinite(raw_flows(spark, sf), NUMERIC, ["dataset"]).select("row_id", *NUMERIC)
@@ -155,9 +159,9 @@ def port_buckets(spark, sf):
                     cleaning.port_buckets(F.col(f"l4_{side}_port"), f"{side.upper()}_PORT").items()])
 
 
-@query("log1p_features", RF + "SELECT row_id, " + ", ".join(f"round(ln(1 + abs({c})), 6) AS {c}" for c in CLEAN) + " FROM raw_flows")
+@query("log1p_features", RF + ", " + clean_sql() + "SELECT row_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in NUMERIC) + " FROM cleaned")
 def log1p_features(spark, sf):
-    return rounded(raw_flows(spark, sf).select("row_id", *[cleaning.log_scale(F.col(c)).alias(c) for c in CLEAN]))
+    return rounded(clipped_flows(spark, sf).select("row_id", *[cleaning.log_scale(F.col(c)).alias(c) for c in NUMERIC]))
 
 
 @query("nan_ratio_flags", RF + "".join(
@@ -251,37 +255,41 @@ def label_distribution(spark, sf):
 
 # ---- statistics and preprocessing -----------------------------------------------------------------------------
 
+FIXED = RF + ", " + clean_sql()
+
+
 def _long_stats(select: str) -> str:
-    return " UNION ALL ".join(f"SELECT dataset, '{c}' AS feature, {select.format(c=c)} FROM raw_flows GROUP BY dataset"
-                              for c in CLEAN)
+    return " UNION ALL ".join(f"SELECT dataset, '{c}' AS feature, {select.format(c=c)} FROM fixed GROUP BY dataset" for c in NUMERIC)
 
 
-@query("fit_zscore_stats", RF + _long_stats("round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, count({c}) AS n"))
+@query("fit_zscore_stats", FIXED + _long_stats("round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, count({c}) AS n"))
 def fit_zscore_stats(spark, sf):
-    return rounded(prep.fit_stats(raw_flows(spark, sf), CLEAN, ["dataset"]).select("dataset", "feature", "mean", "std", "n"), 4)
+    return rounded(prep.clipped_stats(raw_flows(spark, sf), NUMERIC, ["dataset"]).select("dataset", "feature", "mean", "std", "n"), 4)
 
 
-@query("fit_minmax_stats", RF + _long_stats("min({c}) AS min, max({c}) AS max"))
+@query("fit_minmax_stats", FIXED + _long_stats("min({c}) AS min, max({c}) AS max"))
 def fit_minmax_stats(spark, sf):
-    return prep.fit_stats(raw_flows(spark, sf), CLEAN, ["dataset"]).select("dataset", "feature", "min", "max")
+    return prep.clipped_stats(raw_flows(spark, sf), NUMERIC, ["dataset"]).select("dataset", "feature", "min", "max")
 
 
-@query("stats_summary", RF + f""", s AS ({_long_stats("avg({c}) AS mean, stddev_samp({c}) AS std")})
+@query("stats_summary", FIXED + f""", s AS ({_long_stats("avg({c}) AS mean, stddev_samp({c}) AS std")})
 SELECT dataset, count(*) AS features, round(min(mean), 4) AS mean_min, round(max(mean), 4) AS mean_max,
  round(min(std), 4) AS std_min, round(max(std), 4) AS std_max FROM s GROUP BY dataset""")
 def stats_summary(spark, sf):
-    return rounded(prep.fit_stats(raw_flows(spark, sf), CLEAN, ["dataset"]).groupBy("dataset").agg(
+    return rounded(prep.clipped_stats(raw_flows(spark, sf), NUMERIC, ["dataset"]).groupBy("dataset").agg(
         F.count("*").alias("features"), F.min("mean").alias("mean_min"), F.max("mean").alias("mean_max"),
         F.min("std").alias("std_min"), F.max("std").alias("std_max")), 4)
 
 
-@query("stats_roundtrip", RF + " UNION ALL ".join(
-    f"SELECT {i} AS ord, '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM raw_flows"
-    for i, c in enumerate(CLEAN)))
+@query("stats_roundtrip", RF + ", " + clean_sql(None) + " UNION ALL ".join(
+    f"SELECT {i} AS ord, '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM fixed"
+    for i, c in enumerate(NUMERIC)))
 def stats_roundtrip(spark, sf):
+    """Moments per dataset are saved, read back and merged; clipping follows the largest value of all datasets."""
     path = new_path(spark, "stats")
-    prep.fit_stats(raw_flows(spark, sf), CLEAN).write.parquet(path)
-    return rounded(spark.read.parquet(path).orderBy("ord").select("ord", "feature", "mean", "std"), 4)
+    prep.moments(raw_flows(spark, sf), NUMERIC, ["dataset"]).write.parquet(path)
+    merged = prep.clipped(prep.merge_moments(spark.read.parquet(path)))
+    return rounded(merged.orderBy("ord").select("ord", "feature", "mean", "std"), 4)
 
 
 @query("stats_order_check", """WITH a AS (SELECT row_number() OVER (ORDER BY column_name) AS ord, column_name AS saved FROM (DESCRIBE orders)),
@@ -346,15 +354,58 @@ def nfv3_preprocess_apply(spark, sf):
     return _floats(prep.nfv3_apply(later, stats, features, [], ["row_id", "dataset"]), INPUTS)
 
 
-@query("preprocess_all", RF + ", " + clean_sql() + f""", z AS (SELECT dataset, label, {zscore_sql('dataset', CLEAN)} FROM cleaned)
+@query("preprocess_all", RF + ", " + clean_sql() + f""", z AS (SELECT dataset, label, {zscore_sql('dataset', ['out_bytes', 'in_pkts'])} FROM cleaned)
 SELECT dataset, count(*) AS n_rows, round(avg(out_bytes), 3) AS out_bytes, round(avg(in_pkts), 3) AS in_pkts FROM z GROUP BY dataset
 UNION ALL SELECT 'combined_benign', count(*), round(avg(out_bytes), 3), round(avg(in_pkts), 3) FROM z WHERE label = 0""")
 def preprocess_all(spark, sf):
+    """Sums per dataset and label first; the union of all benign rows adds some of them up."""
     rows, _, _ = _fit(spark, sf)
-    sums = [F.count("*").alias("n_rows"), *[(F.round(F.avg(F.round(F.col(c).cast("double"), 4)), 3) + 0.0).alias(c)
-                                            for c in ("out_bytes", "in_pkts")]]
-    return rows.groupBy("dataset").agg(*sums).unionByName(
-        rows.filter("label = 0").groupBy(F.lit("combined_benign").alias("dataset")).agg(*sums))
+    columns = ["out_bytes", "in_pkts"]
+    parts = settle(rows.groupBy("dataset", "label").agg(
+        F.count("*").alias("n_rows"), *[F.sum(F.round(F.col(c).cast("double"), 4)).alias(c) for c in columns]), "preprocessed-sums")
+    means = [F.sum("n_rows").alias("n_rows"), *[(F.round(F.sum(c) / F.sum("n_rows"), 3) + 0.0).alias(c) for c in columns]]
+    return parts.groupBy("dataset").agg(*means).unionByName(
+        parts.filter("label = 0").groupBy(F.lit("combined_benign").alias("dataset")).agg(*means))
+
+
+# ---- preprocessing of whole flow records ----------------------------------------------------------------------
+
+def nf_records(spark, sf):
+    """Flow records of all packets, with every column."""
+    return nfv3_features.nfv3_record(nfv3_segments.segment_flows(table(spark, sf, "packets")))
+
+
+def record_inputs_sql() -> str:
+    """CTE ``inputs``: the 47 columns of a flow record that models read, log-scaled where they are, and six port buckets."""
+    def value(c: str) -> str:
+        return f"ln(1 + abs({c})) AS {c}" if c in fv.LOG_COLUMNS else f"{c}::DOUBLE AS {c}"
+    buckets = [f"(L4_{s}_PORT BETWEEN {lo} AND {hi})::INT::DOUBLE AS {s}_PORT_{n}" for s in ("SRC", "DST") for n, (lo, hi) in fv.PORT_BUCKETS.items()]
+    record = ", ".join(f"{NF_COLUMN_SQL[c]} AS {c}" for c in fv.NFV3_RAW_COLUMNS)
+    return NF_REC + f""", records AS (SELECT flow_id, {record} FROM rec),
+inputs AS (SELECT flow_id, {', '.join([value(c) for c in fv.NFV3_MODEL_COLUMNS] + buckets)} FROM records)
+"""
+
+
+RECORD_INPUTS = record_inputs_sql()
+
+
+@query("record_stats", RECORD_INPUTS + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(avg({c}), 3) AS mean, round(stddev_samp({c}), 3) AS std, round(min({c}), 3) AS min, round(max({c}), 3) AS max, count(*) AS n FROM inputs"
+    for c in fv.NFV3_INPUT_COLUMNS))
+def record_stats(spark, sf):
+    """Statistics of all 53 model inputs of the flow records."""
+    df, features, logs = prep.nfv3_numbers(rounded(nf_records(spark, sf), 4), [], ["flow_id"])
+    return rounded(prep.clipped_stats(df, features, [], logs).select("feature", "mean", "std", "min", "max", "n"), 3)
+
+
+@query("record_preprocess", RECORD_INPUTS + "SELECT flow_id, " + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / (stddev_samp({c}) OVER () + 1e-8::DOUBLE), 3) + 0.0 AS {c}" for c in fv.NFV3_INPUT_COLUMNS) + " FROM inputs")
+def record_preprocess(spark, sf):
+    """All 53 model inputs, fitted and transformed; the records are assembled once."""
+    records = settle(rounded(nf_records(spark, sf), 4), "records")
+    df, features, logs = prep.nfv3_numbers(records, [], ["flow_id"])
+    rows = prep.clip_and_scale(df, prep.clipped_stats(df, features, [], logs), features, [], logs)
+    return rows.select("flow_id", *[(F.round(F.col(c), 3) + 0.0).alias(c) for c in fv.NFV3_INPUT_COLUMNS])
 
 
 @query("cic_preprocess", RF + f""", known AS (SELECT row_id, dataset, {cic_class_sql('cic_label')} AS cls, {', '.join(

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowlake import fixed_values as fv
 from flowlake.operators import cleaning, datasets, labels
+from flowlake.plans.flows import NF_COLUMN_SQL, NF_REC
 from flowlake.plans.registry import query, rounded
-from flowlake.plans.tables import CLEAN, DATASETS, RF, cic_class_sql, raw_flows
+from flowlake.plans.tables import DATASETS, FIXED, NUMERIC, RF, cic_class_sql, clipped_flows, nf_records, raw_flows
 
 SHOTS = [5, 10, 20, 50]
 
@@ -86,18 +88,23 @@ def sample_head_per_dataset(spark, sf):
     return datasets.head_per_group(raw_flows(spark, sf), "dataset", 100).select("row_id", "dataset", "rn")
 
 
-_KEEP = ["row_id", "dataset", *CLEAN]
+_KEEP = ["row_id", "dataset", *NUMERIC]
+_KEPT_SQL = ", ".join(f"CASE WHEN isfinite({c}) THEN {c} ELSE 0 END AS {c}" if c in NUMERIC else c for c in _KEEP)
 
 
-@query("benign_union", RF + f"SELECT {', '.join(_KEEP)}, row_number() OVER (ORDER BY md5('42|' || row_id), row_id) AS shuffle_pos FROM raw_flows WHERE label = 0")
+def _finite_flows(spark, sf):
+    return raw_flows(spark, sf).withColumns({c: cleaning.zero_if_not_finite(F.col(c)) for c in NUMERIC})
+
+
+@query("benign_union", RF + f"SELECT {_KEPT_SQL}, row_number() OVER (ORDER BY md5('42|' || row_id), row_id) AS shuffle_pos FROM raw_flows WHERE label = 0")
 def benign_union(spark, sf):
-    return datasets.benign_union(raw_flows(spark, sf)).select(*_KEEP, "shuffle_pos")
+    return datasets.benign_union(_finite_flows(spark, sf)).select(*_KEEP, "shuffle_pos")
 
 
 @query("benign_union_capped", RF + f""", b AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('42|' || row_id), row_id) AS rn FROM raw_flows WHERE label = 0)
-SELECT {', '.join(_KEEP)}, row_number() OVER (ORDER BY md5('42|' || row_id), row_id) AS shuffle_pos FROM b WHERE rn <= 1500""")
+SELECT {_KEPT_SQL}, row_number() OVER (ORDER BY md5('42|' || row_id), row_id) AS shuffle_pos FROM b WHERE rn <= 1500""")
 def benign_union_capped(spark, sf):
-    return datasets.benign_union(raw_flows(spark, sf), cap=1500).select(*_KEEP, "shuffle_pos")
+    return datasets.benign_union(_finite_flows(spark, sf), cap=1500).select(*_KEEP, "shuffle_pos")
 
 
 @query("union_datasets", RF + """SELECT row_id, dataset, CASE WHEN dataset IN ('unsw', 'bot') THEN in_pkts ELSE -1 END AS in_pkts,
@@ -145,45 +152,54 @@ def jitter_sql(c: str, seed: str, x: str | None = None) -> str:
     return f"({x or c} * (1 + (2 * {u_sql(f'{seed}|jitter|{c}')} - 1) * 0.05::DOUBLE))"
 
 
-PAIRS = [("in_pkts", "out_pkts")]
+PAIRS = [("in_bytes", "out_bytes"), ("in_pkts", "out_pkts")]
 TIMING = ["flow_duration_milliseconds"]
 
 
-@query("aug_mask", RF + "SELECT row_id, " + ", ".join(f"{mask_sql(c, '7')} AS {c}" for c in CLEAN) + " FROM raw_flows")
+@query("aug_mask", FIXED + "SELECT row_id, " + ", ".join(f"{mask_sql(c, '7')} AS {c}" for c in NUMERIC) + " FROM fixed")
 def aug_mask(spark, sf):
-    return datasets.mask_features(raw_flows(spark, sf), CLEAN, "7").select("row_id", *CLEAN)
+    return datasets.mask_features(clipped_flows(spark, sf), NUMERIC, "7").select("row_id", *NUMERIC)
 
 
-@query("aug_noise", RF + "SELECT row_id, " + ", ".join(f"round({noise_sql(c, '7')}, 5) AS {c}" for c in CLEAN) + " FROM raw_flows")
+@query("aug_noise", FIXED + "SELECT row_id, " + ", ".join(f"round({noise_sql(c, '7')}, 5) AS {c}" for c in NUMERIC) + " FROM fixed")
 def aug_noise(spark, sf):
-    return rounded(datasets.add_noise(raw_flows(spark, sf), CLEAN, "7").select("row_id", *CLEAN), 5)
+    return rounded(datasets.add_noise(clipped_flows(spark, sf), NUMERIC, "7").select("row_id", *NUMERIC), 5)
+
+
+RECORDS = NF_REC + ", records AS (SELECT flow_id, flow_id AS row_id, " + ", ".join(f"{NF_COLUMN_SQL[c]} AS {c}" for c in fv.NFV3_RAW_COLUMNS) + " FROM rec) "
+_SWAPPED = [c for pair in fv.SWAP_PAIRS for c in pair]
+_OTHER = {a: b for x, y in fv.SWAP_PAIRS for a, b in ((x, y), (y, x))}
+RECORD_TIMING = fv.TIMING_COLUMNS + fv.IAT_COLUMNS
 
 
-@query("aug_swap", RF + f"""SELECT row_id, CASE WHEN {u_sql('7|swap')} < 0.1 THEN out_pkts ELSE in_pkts END AS in_pkts,
- CASE WHEN {u_sql('7|swap')} < 0.1 THEN in_pkts ELSE out_pkts END AS out_pkts FROM raw_flows""")
+@query("aug_swap", RECORDS + "SELECT flow_id, " + ", ".join(f"CASE WHEN {u_sql('7|swap')} < 0.1 THEN {_OTHER[c]} ELSE {c} END AS {c}" for c in _SWAPPED)
+       + " FROM records")
 def aug_swap(spark, sf):
-    return datasets.swap_directions(raw_flows(spark, sf), PAIRS, "7").select("row_id", "in_pkts", "out_pkts")
+    """All 13 pairs of forward and backward columns of the flow records."""
+    swapped = datasets.swap_directions(nf_records(spark, sf), fv.SWAP_PAIRS, "7", key="flow_id")
+    return rounded(swapped.select("flow_id", *_SWAPPED), 4)
 
 
-@query("aug_jitter", RF + "SELECT row_id, " + ", ".join(f"round({jitter_sql(c, '7')}, 4) AS {c}" for c in TIMING) + " FROM raw_flows")
+@query("aug_jitter", RECORDS + "SELECT flow_id, " + ", ".join(f"round({jitter_sql(c, '7')}, 3) AS {c}" for c in RECORD_TIMING) + " FROM records")
 def aug_jitter(spark, sf):
-    return rounded(datasets.jitter(raw_flows(spark, sf), TIMING, "7").select("row_id", *TIMING), 4)
+    """The eleven timing columns of the flow records."""
+    records = rounded(nf_records(spark, sf).select("flow_id", *RECORD_TIMING), 4)
+    return rounded(datasets.jitter(records, RECORD_TIMING, "7", key="flow_id"), 3)
 
 
 def _views_sql() -> str:
     parts = []
     for v in (1, 2):
         s = f"7|{v}"
-        stage = ", ".join(f"{noise_sql(c, s, mask_sql(c, s))} AS {c}" for c in CLEAN)
+        stage = ", ".join(f"{noise_sql(c, s, mask_sql(c, s))} AS {c}" for c in NUMERIC)
         swap = f"{u_sql(f'{s}|swap')} < 0.1"
-        cols = {c: c for c in CLEAN} | {"in_pkts": f"CASE WHEN {swap} THEN out_pkts ELSE in_pkts END",
-                                        "out_pkts": f"CASE WHEN {swap} THEN in_pkts ELSE out_pkts END"}
+        cols = {c: c for c in NUMERIC} | {x: f"CASE WHEN {swap} THEN {y} ELSE {x} END" for a, b in PAIRS for x, y in ((a, b), (b, a))}
         cols |= {c: jitter_sql(c, s) for c in TIMING}
         parts.append(f"SELECT row_id, {v} AS view, " + ", ".join(f"round({e}, 4) AS {c}" for c, e in cols.items())
-                     + f" FROM (SELECT row_id, {stage} FROM raw_flows) q{v}")
+                     + f" FROM (SELECT row_id, {stage} FROM fixed) q{v}")
     return " UNION ALL ".join(parts)
 
 
-@query("aug_two_views", RF + _views_sql())
+@query("aug_two_views", FIXED + _views_sql())
 def aug_two_views(spark, sf):
-    return rounded(datasets.two_views(raw_flows(spark, sf), CLEAN, PAIRS, TIMING, "7").select("row_id", "view", *CLEAN), 4)
+    return rounded(datasets.two_views(clipped_flows(spark, sf), NUMERIC, PAIRS, TIMING, "7").select("row_id", "view", *NUMERIC), 4)
