@@ -16,6 +16,7 @@ import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -108,7 +109,13 @@ class Pair:
     b: str = f"{TOKENIZERS}/piece_bpe_32k.model"
 
     def load(self) -> Aligner:
-        return Aligner(ByteLevel(self.a), Pieces(self.b))
+        return loaded(self)
+
+
+@lru_cache(maxsize=1)
+def loaded(pair: Pair) -> Aligner:
+    """The tokenizers are loaded once per Python worker, which serves many tasks."""
+    return Aligner(ByteLevel(pair.a), Pieces(pair.b))
 
 
 @dataclass
@@ -207,7 +214,7 @@ def slices(texts: list[str | None], run_chars: int) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-def align(docs: DataFrame, pair: Pair = Pair(), text: str = "text", name: str = "alignment", run_chars: int = 1 << 19) -> DataFrame:
+def align(docs: DataFrame, pair: Pair = Pair(), text: str = "text", name: str = "alignment", run_chars: int = 1 << 17) -> DataFrame:
     """``docs`` with a struct ``name``: the ids of both sides, and per id the number of its group (from 0).
 
     Null and empty texts, and texts that a tokenizer does not spell back exactly, get empty lists.  All rows and columns
@@ -283,8 +290,8 @@ class Block:
         yield from pa.Table.from_arrays(columns, schema=schema).to_batches(max_chunksize=rows_each)
 
 
-def link_statistics(docs: DataFrame, pair: Pair = Pair(), doc_id: str = "doc_id", text: str = "text", run_chars: int = 1 << 19,
-                    block_chars: int = 12 << 20) -> DataFrame:
+def link_statistics(docs: DataFrame, pair: Pair = Pair(), doc_id: str = "doc_id", text: str = "text", run_chars: int = 1 << 17,
+                    block_chars: int = 4 << 20) -> DataFrame:
     """Per row of ``docs``: its id, numbers of tokens, groups and links, the digest of its groups, and how its links rank.
 
     ``n_best`` counts links whose id pair has the highest corpus-wide count of all pairs of its B id (ties included),
