@@ -61,6 +61,28 @@ def scan_dir_limit_per_file(spark, sf):
         F.count("*").alias("n_rows"), F.min("row_id").alias("first_id"), F.max("row_id").alias("last_id"))
 
 
+@query("scan_dir_quarantine", RF + """SELECT dataset AS name, CAST(NULL AS VARCHAR) AS problem, count(*) AS n_rows, sum(row_id)::BIGINT AS ids FROM raw_flows GROUP BY dataset
+UNION ALL SELECT * FROM (VALUES ('cut', 'unreadable', 0, 0), ('odd', 'encoding', 0, 0), ('short', 'records', 0, 0)) b""")
+def scan_dir_quarantine(spark, sf):
+    """A folder of sound gzip files, and three that are not: cut off, of another encoding, with lines that don't fit."""
+    path, df = new_path(spark, "csv-quarantine"), raw_flows(spark, sf)
+    schema = RAW_SCHEMA.replace("row_id long,", "row_id long, dataset string,")
+    out = lambda rows, name, **more: rows.write.options(**files.CSV_OPTIONS, **more).csv(f"{path}/{name}")
+    out(df.repartitionByRange(8, "dataset", "row_id"), "sound", compression="gzip")
+    some = df.where("dataset = 'unsw'")
+    out(some.withColumn("attack", F.concat("attack", F.lit("\x81"))).coalesce(1), "odd", encoding="ISO-8859-1")
+    out(some.withColumn("row_id", F.concat(F.lit("no. "), "row_id")).coalesce(1), "short")
+    whole = files.file_sizes(spark, f"{path}/sound", "*.csv.gz").orderBy(F.desc("length")).first()
+    files.copy_part(whole["path"], f"{path}/cut/part-0.csv.gz", whole["length"] // 2)
+    report = settle(files.check_files(spark, path, schema), "file-report")
+    read = files.scan_csv_dir(spark, path, schema, report=report)
+    bad = report.where("problem is not null").select(F.regexp_extract("file", "/(cut|odd|short)/", 1).alias("name"), "problem")
+    lost = read.where(F.regexp_extract("file", "/(cut|odd|short)/", 1) != "").count()
+    return read.groupBy(F.col("dataset").alias("name"), F.lit(None).cast("string").alias("problem")).agg(
+        F.count("*").alias("n_rows"), F.sum("row_id").alias("ids")).unionByName(
+        bad.select("name", "problem", F.lit(lost).cast("long").alias("n_rows"), F.lit(0).cast("long").alias("ids")))
+
+
 SCHEMAS = {  # columns wanted of each table; one of each is not there, and others are there that nobody asks for
     "orders": ["o_orderkey", "o_custkey", "o_totalprice", "o_attack"],
     "lineitem": ["l_orderkey", "l_quantity", "l_attack"],

@@ -1,5 +1,6 @@
 """Cleaning, vectors, labels and fit/apply parity."""
 
+import gzip
 import math
 
 import pytest
@@ -93,3 +94,43 @@ def test_stats_order(spark):
     assert prep.stats_order_check(stats, stats).count() == 0
     other = spark.createDataFrame([(0, "a"), (1, "c")], "ord int, feature string")
     assert sorted(tuple(r) for r in prep.stats_order_check(stats, other).collect()) == [(1, "b", "c"), (2, "c", None)]
+
+
+def test_files_with_a_defect_give_no_row_and_one_report_row(spark, tmp_path):
+    lines = "id,name\n" + "".join(f"{i},n{i}\n" for i in range(3000))
+    packed = gzip.compress(lines.encode())
+    contents = {"good.csv": lines.encode(), "good2.csv.gz": packed, "two.csv.gz": packed + gzip.compress(b"7,seven\n"),
+                "cut.csv.gz": packed[:len(packed) // 2], "crc.csv.gz": packed[:-8] + b"12345678", "junk.csv.gz": b"not gzip at all",
+                "odd.csv": b"id,name\n1,caf\x81\n", "bad.csv": b"id,name\n1,a\nx,b\n", "none.csv": b"id,name\n"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    report = {r["file"].rpartition("/")[2]: r for r in files.check_files(spark, str(tmp_path), "id int, name string").collect()}
+    assert {k: r["problem"] for k, r in report.items()} == {
+        "good.csv": None, "good2.csv.gz": None, "two.csv.gz": None, "cut.csv.gz": "unreadable", "crc.csv.gz": "unreadable", "junk.csv.gz": "unreadable",
+        "odd.csv": "encoding", "bad.csv": "records", "none.csv": "empty"}
+    assert report["bad.csv"]["n_bad"] == 1 and report["good.csv"]["n_rows"] == 3000
+    got = files.scan_csv_dir(spark, str(tmp_path), "id int, name string").groupBy("file").count().collect()
+    assert {r["file"].rpartition("/")[2]: r["count"] for r in got} == {"good.csv": 3000, "good2.csv.gz": 3000, "two.csv.gz": 3001}
+    kept = files.check_files(spark, str(tmp_path), "id int, name string", max_bad_share=0.5).where("problem is null")
+    assert kept.count() == 4
+
+
+def test_clipped_moments_equal_statistics_of_clipped_rows_and_merge(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", 1.0, 2), ("a", inf, 3), ("a", -inf, None), ("a", nan, 5), ("b", None, 1), ("b", 7.0, 1), ("b", -3.5, 1), ("c", inf, 1), ("d", None, None)]
+    df = spark.createDataFrame(rows, "k string, x double, y int")
+    for logs in ([], ["x"]):
+        for by in (["k"], []):
+            clean = cleaning.clip_infinite(df.withColumn("y", F.col("y").cast("double")), ["x", "y"], by)
+            clean = clean.withColumns({c: cleaning.log_scale(F.col(c)) for c in logs})
+            keys = [*by, "feature"]
+            want = {tuple(r[k] for k in keys): r for r in prep.fit_stats(clean, ["x", "y"], by).collect()}
+            direct = prep.clipped_stats(df, ["x", "y"], by, logs)
+            parts = prep.moments(df, ["x", "y"], ["k"], logs)
+            merged = prep.clipped(prep.merge_moments(parts, by))
+            for got in (direct, merged):
+                found = {tuple(r[k] for k in keys): r for r in got.collect()}
+                assert set(found) == set(want)
+                for k, r in found.items():
+                    for c in ("mean", "std", "min", "max", "n"):
+                        assert r[c] == pytest.approx(want[k][c]) if want[k][c] is not None else r[c] is None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowlake.operators import cic, nfv3_features, nfv3_segments, sessions
 from flowlake.operators.flow_keys import flow_keys
 from flowlake.operators.nfv3_segments import CloseRules
+from flowlake.session import settle
 from tests.packets import Capture
 
 
@@ -153,3 +154,18 @@ def test_one_shuffle_for_a_record(spark):
 def test_idle_sessions_with_and_without_slots(spark):
     packets = random_capture(8).frame(spark)
     assert sorted(sessions.idle_sessions(packets).collect()) == sorted(sessions.idle_sessions(packets, hot_rows=0).collect())
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_records_merge_to_the_same_whatever_the_slots(spark, seed):
+    packets = random_capture(seed, 500).frame(spark)
+    packets = packets.withColumns({"tcp_seq": F.col("pkt_id") % 5, "payload_len": F.col("pkt_id") % 2})  # many repeated segments
+    seg = nfv3_segments.segment_flows(packets, CloseRules(active_s=1 << 20, inactive_s=1 << 20, require_syn=False)).cache()
+    fix = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    whole = fix(nfv3_features.nfv3_record(seg, slot_s=1 << 20))
+    assert any(r.RETRANSMITTED_IN_PKTS > 1 for r in nfv3_features.nfv3_record(seg).collect())
+    for slot_s in (1, 7, 60):
+        assert fix(nfv3_features.nfv3_record(seg, slot_s=slot_s)) == whole
+    stored = nfv3_features.nfv3_record(settle(seg, "segments"))
+    windows = [x for x in stored._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and all("slot" in x or "first_here" in x or "_w" in x for x in windows)  # none spans a whole flow
