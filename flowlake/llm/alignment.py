@@ -329,20 +329,36 @@ def link_statistics(docs: DataFrame, pair: Pair = Pair(), doc_id: str = "doc_id"
     # at most one row per id of B's vocabulary
     ranked = counts.join(F.broadcast(best), F.col("pair") % n_b == F.col("b")).select(
         "pair", "total", (F.col("total") == F.col("top")).alias("best"))
-    known = pairs.join(ranked, "pair").select(F.col("block").alias("of"), "slot", "total", "best")
+    known = pairs.join(ranked, "pair").select("block", "slot", "total", "best")
     figures = stored.where("pair is null").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")
-
-    def sums(rows: pa.Table, totals: pa.Table) -> pa.Table:
-        n = totals.num_rows
-        slot = totals.column("slot").to_numpy()
-        total, is_best = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        total[slot], is_best[slot] = totals.column("total").to_numpy(), totals.column("best").to_numpy().astype(np.int64)
-        numbers = [unpacked(x) if x else None for x in rows.column("links").to_pylist()]
-        n_best, count_sum = [[0 if x is None else int(v[x].sum()) for x in numbers] for v in (is_best, total)]
-        return (rows.drop_columns(["block", "links"]).append_column("n_best", pa.array(n_best, pa.int64()))
-                .append_column("count_sum", pa.array(count_sum, pa.int64())))
-
     done = T.StructType([*[f for f in figures.schema if f.name not in ("block", "links")],
                          T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
-    return (figures.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(sums, done)
-            .select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"))
+    # a block's pairs come before its documents, so a task holds the counts of one block and passes documents on
+    both = known.unionByName(figures, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("slot").isNull())
+    return both.mapInArrow(with_sums, done).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def with_sums(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with ``n_best`` and ``count_sum``, from rows in the order: pairs of a block, documents of that block."""
+    block, counts, values = None, [], None
+    for part in parts:
+        numbers, is_pair = part.column("block").to_numpy(zero_copy_only=False), part.column("slot").is_valid().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(is_pair.astype(np.int8)) != 0)) + 1
+        for lo, hi in zip([0, *edges], [*edges, part.num_rows], strict=True):
+            if lo == hi:
+                continue
+            rows = part.slice(lo, hi - lo)
+            if numbers[lo] != block:
+                block, counts, values = numbers[lo], [], None
+            if is_pair[lo]:
+                counts.append([rows.column(c).to_numpy(zero_copy_only=False) for c in ("slot", "total", "best")])
+                continue
+            if values is None:
+                slot, total, best = (np.concatenate(x) for x in zip(*counts, strict=True)) if counts else (np.zeros(0, np.int64),) * 3
+                values = np.zeros((2, len(slot)), np.int64)
+                values[:, slot.astype(np.int64)] = best.astype(np.int64), total.astype(np.int64)
+            links = (unpacked(x) if x else None for x in rows.column("links").to_pylist())
+            sums = [(0, 0) if x is None else values[:, x].sum(axis=1).tolist() for x in links]
+            kept = [rows.column(c) for c in rows.schema.names if c not in ("block", "slot", "total", "best", "links")]
+            names = [c for c in rows.schema.names if c not in ("block", "slot", "total", "best", "links")]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(list(x), pa.int64()) for x in zip(*sums, strict=True)]], [*names, "n_best", "count_sum"])
