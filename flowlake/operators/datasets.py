@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlake.operators.ordered import hash_bucket, hash_text, range_buckets, row_numbers
+from flowlake.operators.ordered import cut_values, hash_bucket, hash_text, join_back, range_buckets, row_numbers
 from flowlake.session import settle
 
 
@@ -28,30 +28,38 @@ def shuffled(df: DataFrame, by: list[str], seed: str, id_col: str = "row_id", na
 
 
 def split_ordered(df: DataFrame, by: str = "dataset", id_col: str = "row_id") -> DataFrame:
-    """80/10/10 by position within each dataset."""
-    ranked = numbered(df, [by], id_col, "rn", "n")
-    return ranked.withColumn("split", F.when(F.col("rn") <= F.floor(F.col("n") * F.lit(0.8)), "train")
-                             .when(F.col("rn") <= F.floor(F.col("n") * F.lit(0.9)), "val").otherwise("test"))
+    """80/10/10 by position within each dataset: the ids at both cuts are selected, then one comparison per row decides."""
+    id_ = F.col(id_col)
+    cuts = cut_values(df, [by], id_, [id_.alias("id")], [0.8, 0.9])
+    at = lambda i: id_ <= F.col(f"all_{i}.id")
+    done = join_back(df, cuts, [by]).withColumn("split", F.when(at(0), "train").when(at(1), "val").otherwise("test"))
+    return done.drop(*[c for c in cuts.columns if c != by])
 
 
 def split_leave_one_out(df: DataFrame, datasets: list[str], label: str = "label", seed: str = "42",
                         val_share: float = 0.1) -> DataFrame:
-    """One copy of the rows per held-out dataset, with ``split``; validation is stratified by label."""
-    copies = df.withColumn("holdout", F.explode(F.array(*[F.lit(d) for d in datasets])))
-    test = copies.filter("dataset = holdout").withColumn("split", F.lit("test"))
-    ranked = shuffled(copies.filter("dataset <> holdout"), ["holdout", label], seed, total="n")
-    rest = ranked.withColumn("split", F.when(F.col("rn") <= F.floor(F.col("n") * F.lit(val_share)), "val")
-                             .otherwise("train")).drop("rn", "n")
-    return test.unionByName(rest)
+    """One copy of the rows per held-out dataset, with ``split``; validation is stratified by label.
 
-
-def few_shot_rows(df: DataFrame, shots: list[int], label: str = "label", seed: str = "42") -> DataFrame:
-    """(holdout, shots, row_id): the adaptation rows, at most max(shots) per dataset and class."""
+    The last validation row of each (held-out dataset, label) in hash order is selected from the rows themselves; only the
+    result holds copies.
+    """
+    hashed = hash_text(seed, "row_id")
+    number = F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double")  # 52 bits, so exact
+    others = {f"h{i}": F.col("dataset") != F.lit(d) for i, d in enumerate(datasets)}
+    cuts = cut_values(df, [label], number, [hashed.alias("h"), F.col("row_id").alias("id")], [val_share], others)
+    at = F.struct(hashed.alias("h"), F.col("row_id").alias("id"))
+    copies = F.array(*[F.struct(F.lit(d).alias("holdout"), F.when(F.col("dataset") == d, "test").when(at <= F.col(f"h{i}_0"), "val")
+                                .otherwise("train").alias("split")) for i, d in enumerate(datasets)])
+    return join_back(df, cuts, [label]).select(*df.columns, F.inline(copies))
+
+
+def few_shot_rows(df: DataFrame, shots: list[int], label: str = "label", seed: str = "42", keep: list[str] = ()) -> DataFrame:
+    """(holdout, shots, row_id, and ``keep``): the adaptation rows, at most max(shots) per dataset and class."""
     w = Window.partitionBy("dataset", label).orderBy(hash_text(seed, "row_id"), "row_id")
-    top = df.select("dataset", label, "row_id").withColumn("rn", F.row_number().over(w)).filter(
+    top = df.select("dataset", "row_id", *dict.fromkeys([label, *keep])).withColumn("rn", F.row_number().over(w)).filter(
         F.col("rn") <= max(shots))
     each = top.withColumn("shots", F.explode(F.array(*[F.lit(n) for n in shots]))).filter("rn <= shots")
-    return each.select(F.col("dataset").alias("holdout"), "shots", "row_id")
+    return each.select(F.col("dataset").alias("holdout"), "shots", "row_id", *keep)
 
 
 def split_few_shot(df: DataFrame, shots: list[int], label: str = "label", seed: str = "42") -> DataFrame:
@@ -89,8 +97,9 @@ def head_per_group(df: DataFrame, by: str, rows: int, id_col: str = "row_id") ->
 def probe_sample(df: DataFrame, dataset: str, share: float = 0.01, at_least: int = 100,
                  test_rows: int = 5000) -> DataFrame:
     """First training rows (a share, at least ``at_least``) and first test rows of one dataset's ordered split."""
-    split = split_ordered(df.filter(F.col("dataset") == dataset))
+    ranked = numbered(df.filter(F.col("dataset") == dataset), ["dataset"], total="n")
     train_end, val_end = F.floor(F.col("n") * F.lit(0.8)), F.floor(F.col("n") * F.lit(0.9))
+    split = ranked.withColumn("split", F.when(F.col("rn") <= train_end, "train").when(F.col("rn") <= val_end, "val").otherwise("test"))
     train = (F.col("split") == "train") & (F.col("rn") <= F.greatest(F.floor(train_end * F.lit(share)), F.lit(at_least)))
     test = (F.col("split") == "test") & (F.col("rn") - val_end <= test_rows)
     return split.filter(train | test).drop("rn", "n")

@@ -98,22 +98,25 @@ def recall_by(df: DataFrame, attack: str, truth: str, predicted: str) -> DataFra
             .withColumn("recall", F.col("caught") / F.col("n")).orderBy(F.desc("n"), attack))
 
 
-def protocol_rows(df: DataFrame, test_split: Column, adapted: DataFrame, shots: list[int]) -> DataFrame:
-    """Rows per evaluation: a = test split of each dataset, b = whole held-out dataset, c = held-out rows not used for
-    adaptation, per shot count.  ``adapted`` holds (row_id, shots), a few rows per dataset and class."""
-    kinds = F.array_compact(F.array(
-        F.when(test_split, F.struct(F.lit("a").alias("protocol"), F.lit(0).alias("shots"))),
-        F.struct(F.lit("b").alias("protocol"), F.lit(0).alias("shots")),
-        *[F.struct(F.lit("c").alias("protocol"), F.lit(n).alias("shots")) for n in shots]))
-    rows = df.withColumn("__k", F.explode(kinds)).select(*df.columns, "__k.protocol", "__k.shots")
-    used = settle(adapted.withColumn("protocol", F.lit("c")), "adapted")
-    return rows.join(used, ["row_id", "shots", "protocol"], "left_anti")
-
-
-def protocol_results(rows: DataFrame, truth: str, predicted: str, score: str) -> DataFrame:
+def protocol_counts(df: DataFrame, test_split: Column, adapted: DataFrame, shots: list[int], keys: list[str]) -> DataFrame:
+    """Rows per evaluation and ``keys`` as counts ``n``: a = test split of each dataset, b = whole held-out dataset, c =
+    held-out rows not used for adaptation, per shot count.
+
+    The rows are counted once; every protocol is a sum of these counts, in which the few rows of ``adapted`` (``dataset``, ``keys``
+    and ``shots``, one row for each use) weigh -1.
+    """
+    parts = settle(df.groupBy("dataset", *keys, test_split.alias("__test")).agg(F.count("*").alias("n")), "protocol-parts")
+    kind = lambda name, n: F.struct(F.lit(name).alias("protocol"), F.lit(n).alias("shots"))
+    kinds = F.array_compact(F.array(F.when(F.col("__test"), kind("a", 0)), kind("b", 0), *[kind("c", n) for n in shots]))
+    used = adapted.select("dataset", *keys, F.lit("c").alias("protocol"), "shots", F.lit(-1).cast("long").alias("n"))
+    both = parts.select("dataset", *keys, F.explode(kinds).alias("k"), "n").select("dataset", *keys, "k.*", "n").unionByName(used)
+    return both.groupBy("protocol", "dataset", "shots", *keys).agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def protocol_results(counts: DataFrame, truth: str, predicted: str, score: str) -> DataFrame:
     """Accuracy, macro F1, AUROC and FPR per (protocol, dataset, shots), all from one count of the rows per score."""
     by = ["protocol", "dataset", "shots"]
-    counted = settle(rows.groupBy(*by, truth, predicted, score).agg(F.count("*").alias("n")), "counted")
+    counted = settle(counts, "counted")
     macro = averaged_metrics(class_metrics(counted, truth, predicted, by, "n"), by).select(*by, "n", "accuracy", "f1_macro")
     fpr = binary_metrics(confusion(counted, truth, predicted, by, "n")).select(*by, "fpr")
     return macro.join(fpr, by).join(auroc(counted, truth, score, by, "n").select(*by, "auroc"), by)

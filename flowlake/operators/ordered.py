@@ -15,6 +15,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlake.session import settle, single_row
+
+INF = float("inf")
+
 
 def hash_text(seed: str, *cols: str) -> Column:
     """Reproducible shuffle order: md5 of a seed and the key columns, as hex text."""
@@ -41,6 +45,60 @@ def range_buckets(df: DataFrame, col: str, name: str, buckets: int = 1024) -> Da
     return cut.transform(df.withColumn(number, F.col(col).cast("double"))).drop(number)
 
 
+def cut_values(df: DataFrame, by: list[str], number: Column, order: list[Column], shares: list[float],
+               groups: dict[str, Column] | None = None, most: int = 1 << 20) -> DataFrame:
+    """The exact row at rank floor(share x n) of each group, without sorting or ranking the rows.
+
+    One row per ``by``: ``<group>_n`` and ``<group>_<i>``, the struct of ``order`` of that row for the i-th share (null for
+    rank 0).  ``number`` must not fall along ``order``.  ``groups`` are overlapping sets of rows by condition, so rows need no
+    copies; without it there is one, called ``all``.
+
+    Rows with the same number are few: those of a cut's number are sorted together.  A first pass takes approximate quantiles a little below and above each cut, a second one counts the rows below and
+    sorts only those between.  While more than ``most`` lie between, the bracket is narrowed by another pass.
+    """
+    groups = groups or {"all": F.lit(True)}
+    keyed = df.select(*by, number.cast("double").alias("__x"), F.struct(*order).alias("__at"),
+                      *[cond.alias(f"__in_{g}") for g, cond in groups.items()])
+    member = {g: F.coalesce(F.col(f"__in_{g}"), F.lit(False)) & F.col("__x").isNotNull() for g in groups}
+    margin, names = 0.004, [(g, i) for g in groups for i in range(len(shares))]
+    quantiles = lambda x, ps: F.percentile_approx(x, [min(max(p, 0.0), 1.0) for p in ps], 1000)
+    first = [F.count_if(member[g]).alias(f"{g}_n") for g in groups]
+    for g in groups:
+        around = quantiles(F.when(member[g], F.col("__x")), [p for s in shares for p in (s - margin, s + margin)])
+        first.append(around.alias(f"{g}_q"))
+    known = keyed.groupBy(*by).agg(*first)
+    rank = {(g, i): F.floor(F.col(f"{g}_n") * F.lit(shares[i])) for g, i in names}
+    known = settle(known.select(*by, *[f"{g}_n" for g in groups], *[
+        c for g, i in names for c in (
+            F.when(F.col(f"{g}_n") < 1000, -INF).otherwise(F.get(f"{g}_q", F.lit(2 * i))).alias(f"{g}_lo{i}"),
+            F.when(F.col(f"{g}_n") < 1000, INF).otherwise(F.get(f"{g}_q", F.lit(2 * i + 1))).alias(f"{g}_hi{i}"))]), "cut-brackets")
+    largest = known.agg(F.max(F.greatest(F.lit(0), *[F.col(f"{g}_n") for g in groups]))).first()[0] or 0
+    width = largest * 2 * margin * len(names)
+    while True:
+        if by:
+            rows = join_back(keyed, known, by)
+        else:
+            rows = keyed.withColumn("__k", single_row(known)).select(*keyed.columns, "__k.*")
+        between = {(g, i): member[g] & F.col("__x").between(F.col(f"{g}_lo{i}"), F.col(f"{g}_hi{i}")) for g, i in names}
+        below = {(g, i): F.count_if(member[g] & (F.col("__x") < F.col(f"{g}_lo{i}"))).alias(f"{g}_below{i}") for g, i in names}
+        kept = [*[f"{g}_n" for g in groups], *[f"{g}_{e}{i}" for g, i in names for e in ("lo", "hi")]]
+        if width <= most:
+            found = rows.groupBy(*by, *kept).agg(*below.values(), *[
+                F.array_sort(F.collect_list(F.when(between[n], F.col("__at")))).alias(f"{n[0]}_rows{n[1]}") for n in names])
+            picked = {(g, i): F.get(f"{g}_rows{i}", (rank[g, i] - F.col(f"{g}_below{i}") - 1).cast("int")) for g, i in names}
+            return settle(found.select(*by, *[f"{g}_n" for g in groups], *[
+                F.when(rank[g, i] > 0, picked[g, i]).alias(f"{g}_{i}") for g, i in names]), "cuts")
+        narrowed = rows.groupBy(*by, *kept).agg(*below.values(), *[
+            c for (g, i) in names for c in (F.count_if(between[g, i]).alias(f"{g}_size{i}"),
+                                            F.percentile_approx(F.when(between[g, i], F.col("__x")), [j / 256 for j in range(257)], 10_000).alias(f"{g}_q{i}"))])
+        place = {(g, i): (rank[g, i] - F.col(f"{g}_below{i}")) / F.nullif(F.col(f"{g}_size{i}"), F.lit(0)) * 256 for g, i in names}
+        step = lambda g, i, off: F.get(f"{g}_q{i}", F.least(F.greatest(F.floor(place[g, i]) + off, F.lit(0)), F.lit(256)).cast("int"))
+        known = settle(narrowed.select(*by, *[f"{g}_n" for g in groups], *[
+            c for g, i in names for c in (F.greatest(F.col(f"{g}_lo{i}"), step(g, i, -2)).alias(f"{g}_lo{i}"),
+                                          F.least(F.col(f"{g}_hi{i}"), step(g, i, 3)).alias(f"{g}_hi{i}"))]), "cut-brackets")
+        width = width * 5 / 256
+
+
 def join_back(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on ``keys`` where null equals null; each key stays once."""
     renamed = summary.withColumnsRenamed({k: f"__k_{k}" for k in keys})

@@ -373,10 +373,11 @@ def protocol_results(spark, sf, predicted=None):
     df = predictions(spark, sf)
     if predicted is not None:
         df = df.withColumn("y_pred", predicted)
-    ranked = datasets.split_ordered(df.select("row_id", "dataset", "y_true", "y_pred", "p_milli")).drop("rn", "n")
-    adapted = datasets.few_shot_rows(df, SHOTS, "y_true").select("row_id", "shots")
-    rows = metrics.protocol_rows(ranked, F.col("split") == "test", adapted, SHOTS)
-    return metrics.protocol_results(rows, "y_true", "y_pred", "p_milli")
+    keys = ["y_true", "y_pred", "p_milli"]
+    split = datasets.split_ordered(df.select("row_id", "dataset", *keys))
+    adapted = datasets.few_shot_rows(df, SHOTS, "y_true", keep=keys).withColumnRenamed("holdout", "dataset")
+    counts = metrics.protocol_counts(split, F.col("split") == "test", adapted, SHOTS, keys)
+    return metrics.protocol_results(counts, "y_true", "y_pred", "p_milli")
 
 
 @query("protocol_eval", protocol_sql() + "SELECT protocol, dataset, shots, n, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro, round(auroc, 6) AS auroc, round(fpr, 6) AS fpr FROM res")

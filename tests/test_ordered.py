@@ -1,11 +1,14 @@
 """Bucketed order operations against plain windows, with one group holding most rows."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlake.operators import datasets
-from flowlake.operators.ordered import nearest_mark, previous_row, range_buckets, row_numbers, running_totals
+from flowlake.operators.ordered import cut_values, nearest_mark, previous_row, range_buckets, row_numbers, running_totals
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +99,22 @@ def test_sparse_ids_and_a_hot_group_share_bounded_buckets(spark):
     same(datasets.numbered(df, ["g"]).select("row_id", "rn"), df.select("row_id", F.row_number().over(w).alias("rn")))
     odd = spark.createDataFrame([(None,), (1.0,), (float("inf"),), (float("nan"),)], "x double")
     assert range_buckets(odd, "x", "b").count() == 4 and range_buckets(odd.filter("false"), "x", "b").count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 20, 30])
+def test_cuts_are_the_rows_that_sorting_gives(spark, most):
+    rng = random.Random(3)
+    ids = rng.sample(range(10 ** 12), 4000) + [10 ** 15 + i for i in range(1500)]
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y"]), i) for i in ids] + [("c", "x", 5), ("d", "y", 1), ("d", "y", 2), ("a", "x", None)]
+    df = spark.createDataFrame(rows, "k string, g string, id long")
+    shares, groups = [0.1, 0.5, 0.8], {"x": F.col("g") == "x", "any": F.lit(True)}
+    for by in (["k"], []):
+        got = cut_values(df, by, F.col("id"), [F.col("id").alias("id")], shares, groups, most).collect()
+        for r in got:
+            for name in groups:
+                mine = sorted(i for k, g, i in rows if i is not None and (name == "any" or g == "x") and (not by or k == r["k"]))
+                assert r[f"{name}_n"] == len(mine)
+                for j, s in enumerate(shares):
+                    rank = math.floor(len(mine) * s)
+                    assert (r[f"{name}_{j}"]["id"] if rank else r[f"{name}_{j}"]) == (mine[rank - 1] if rank else None)
+        assert len(got) == (5 if by else 1)
