@@ -210,14 +210,16 @@ def cic_rename_align(spark, sf):
     return out.toDF("row_id", *[snake(c) for c in wanted])
 
 
-@query("cic2018_to_2017", RF + """SELECT row_id, in_pkts AS total_fwd_packets, out_pkts AS total_backward_packets,
- out_bytes AS fwd_header_length, out_bytes AS fwd_header_length_1, trim(cic_label) AS label, ipv4_src_addr AS source_ip FROM raw_flows""")
+_NAMES_2017 = {c: {**fv.CIC_SCORER_NAMES, **fv.CIC_2018_ONLY_NAMES}.get(c, c) for c in CIC_COLUMN_SQL if c != "Fwd Header Length.1"}
+
+
+@query("cic2018_to_2017", CIC_SEG + "SELECT flow_key, seg, " + ", ".join(f"{CIC_COLUMN_SQL[c]} AS {snake(n)}" for c, n in _NAMES_2017.items())
+       + f", {CIC_COLUMN_SQL['Fwd Header Len']} AS fwd_header_length_1 FROM seg GROUP BY flow_key, seg")
 def cic2018_to_2017(spark, sf):
-    short = raw_flows(spark, sf).select(
-        "row_id", F.col("in_pkts").alias("Tot Fwd Pkts"), F.col("out_pkts").alias(" Tot Bwd Pkts"),
-        F.col("out_bytes").alias("Fwd Header Len"), F.trim("cic_label").alias(" Label"),
-        F.col("ipv4_src_addr").alias("Src IP"))
-    out = cleaning.to_2017_names(short)
+    """Whole records under the names of 2018, every other one with the blank that files have, to the names of 2017."""
+    flows = rounded(cic.cic_record(cic.cic_segments(table(spark, sf, "packets"))), 4).drop("Fwd Header Length.1")
+    padded = flows.toDF(*[f" {c}" if i % 2 else c for i, c in enumerate(flows.columns)])
+    out = cleaning.to_2017_names(padded)
     return out.toDF(*[snake(c) for c in out.columns])
 
 

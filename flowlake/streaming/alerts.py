@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from flowlake.operators.datasets import sequences
 from flowlake.operators.drift import histogram, kl_of_shares, shares
+from flowlake.operators.ordered import join_back
 from flowlake.operators.scoring import raise_alerts
+from flowlake.session import settle
 
 
 def alert_sink(read_rules: Callable[[SparkSession], DataFrame], scorer_name: str, path: str):
@@ -49,27 +51,48 @@ def drift_so_far(counts: DataFrame, edges: DataFrame, reference: DataFrame, by:
     return kl_of_shares(reference, shares(merged, edges, by), by=by)
 
 
-def sequence_sink(spark: SparkSession, features: list[str], path: str, length: int = 10, by: str = "dataset",
-                  id_col: str = "row_id"):
-    """Windows over the last ``length`` rows per sensor, across micro-batches.
+class SequenceSink:
+    """Windows over the last ``length`` rows per sensor in the order of ``id_col``, across micro-batches and arrival orders.
 
-    Only the newest ``length - 1`` rows per sensor are carried, in a small table beside the sink's folder that outlives
-    a restart; the windows themselves use the batch operator, so one busy sensor is spread over many tasks.  Rows must
-    arrive in id order between batches.  An empty batch hands the carried rows on.
+    A row waits until its sensor has shown an id more than ``late`` above it; rows that come after that are dropped.  Rows
+    that are due meet the newest ``length - 1`` rows before them, which are carried with the waiting ones in a small table
+    beside the sink's folder; it outlives a restart, and a batch that is run again replaces itself.  The windows use the
+    batch operator, so one busy sensor is spread over many tasks.  ``flush`` ends the stream: no row waits any longer.
     """
-    carry = f"{path.rstrip('/')}-carry"
-
-    def write(df: DataFrame, batch_id: int) -> None:
-        kept = T.StructType([*df.schema.fields, T.StructField("__batch", T.LongType())])
-        spark.createDataFrame([], kept).write.mode("ignore").parquet(f"{carry}/slot=-1")
-        last = spark.read.schema(kept).parquet(carry).where(F.col("__batch") < batch_id).agg(F.max("__batch")).first()[0]
-        slot = -1 if last is None else last % 3  # three slots take turns: the one read is never the one written
-        earlier = spark.read.schema(kept).parquet(f"{carry}/slot={slot}").where(F.col("__batch") == last).drop("__batch")
-        rows = df.withColumn("fresh", F.lit(True)).unionByName(earlier.withColumn("fresh", F.lit(False)))
-        sequences(rows, features, length, by, id_col).filter("fresh").drop("fresh").write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}")
-        newest = Window.partitionBy(by).orderBy(F.desc(id_col))
-        (rows.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") < length).drop("rn", "fresh")
-         .withColumn("__batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{carry}/slot={batch_id % 3}"))
-    return write
 
+    SLOTS = 3  # they take turns: the one that is read is never the one that is written
+
+    def __init__(self, spark: SparkSession, features: list[str], path: str, length: int = 10, by: str = "dataset",
+                 id_col: str = "row_id", late: int = 0):
+        self.spark, self.features, self.path, self.length, self.by, self.id_col, self.late = spark, features, path, length, by, id_col, late
+        self.carry = f"{path.rstrip('/')}-carry"
+
+    def before(self, schema: T.StructType, batch_id: int) -> DataFrame:
+        """Carried rows after the last batch before ``batch_id``."""
+        kept = T.StructType([*schema.fields, T.StructField("__done", T.BooleanType()), T.StructField("__batch", T.LongType())])
+        self.spark.createDataFrame([], kept).write.mode("ignore").parquet(f"{self.carry}/slot=-1")
+        last = self.spark.read.schema(kept).parquet(self.carry).where(F.col("__batch") < batch_id).agg(F.max("__batch")).first()[0]
+        slot = -1 if last is None else last % self.SLOTS
+        return self.spark.read.schema(kept).parquet(f"{self.carry}/slot={slot}").where(F.col("__batch") == last).drop("__batch")
+
+    def __call__(self, df: DataFrame, batch_id: int) -> None:
+        earlier = self.before(df.schema, batch_id)
+        shown = earlier.groupBy(self.by).agg(F.max(self.id_col).alias("__shown"))
+        in_time = F.col("__shown").isNull() | (F.col(self.id_col) > F.col("__shown") - self.late)
+        fresh = df.join(shown, df[self.by].eqNullSafe(shown[self.by]), "left").where(in_time).select(*[df[c] for c in df.columns])
+        pool = settle(fresh.withColumn("__done", F.lit(False)).unionByName(earlier), "sequence-pool")
+        tops = settle(pool.groupBy(self.by).agg(F.max(self.id_col).alias("__top")), "sequence-tops")
+        rows = join_back(pool, tops, [self.by]).withColumn("__due", F.col("__done") | (F.col(self.id_col) <= F.col("__top") - self.late)).drop("__top")
+        due, waiting = rows.where("__due").drop("__due"), rows.where("not __due").drop("__due")
+        self.emit(due, batch_id)
+        newest = Window.partitionBy(self.by).orderBy(F.desc(self.id_col))
+        kept = due.withColumn("rn", F.row_number().over(newest)).filter(F.col("rn") < self.length).drop("rn").withColumn("__done", F.lit(True))
+        (kept.unionByName(waiting).withColumn("__batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .parquet(f"{self.carry}/slot={batch_id % self.SLOTS}"))
+
+    def emit(self, due: DataFrame, batch_id: int) -> None:
+        done = sequences(due, self.features, self.length, self.by, self.id_col).filter("not __done").drop("__done", "pos")
+        done.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def flush(self, schema: T.StructType) -> None:
+        self.emit(self.before(schema, 1 << 62), -1)

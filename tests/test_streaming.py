@@ -1,5 +1,7 @@
 """Streams fed in several micro-batches against the batch operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,9 +72,9 @@ def test_sequences_across_batches(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(folder)
     checkpoint = None
     for _ in feed(df, folder, 4, "row_id"):  # each time a new sink: a restart
-        checkpoint = drain(stream, sal.sequence_sink(spark, ["v"], path, length=5), checkpoint=checkpoint)
+        checkpoint = drain(stream, sal.SequenceSink(spark, ["v"], path, length=5), checkpoint=checkpoint)
     last = spark.createDataFrame([(60, "true", 1), (61, "false", 2)], df.schema)
-    sink = sal.sequence_sink(spark, ["v"], path, length=5)
+    sink = sal.SequenceSink(spark, ["v"], path, length=5)
     for batch, rows in ((4, last.filter("false")), (5, last), (5, last)):  # an empty batch, and one that is run again
         sink(rows, batch)
     df = df.union(last)
@@ -81,6 +83,23 @@ def test_sequences_across_batches(spark, tmp_path):
     assert got == want
 
 
+def test_sequences_of_shuffled_batches_equal_the_batch_operator(spark, tmp_path):
+    df = spark.range(90).select(F.col("id").alias("row_id"), (F.when(F.col("id") % 7 > 0, F.col("id") % 3 == 0)).cast("string").alias("dataset"),
+                                (F.col("id") * 7 % 13).alias("v"))
+    path = str(tmp_path / "out")
+    sink, rows = sal.SequenceSink(spark, ["v"], path, length=4, late=30), df.collect()
+    random.Random(5).shuffle(rows)
+    rows.sort(key=lambda r: r.row_id // 30)  # out of order within thirty ids
+    for batch in range(6):
+        part = spark.createDataFrame(rows[15 * batch:15 * batch + 15], df.schema)
+        for _ in range(1 + (batch == 2)):  # one is run again
+            sink(part, batch)
+    sink(spark.createDataFrame([(1, "true", 5)], df.schema), 6)  # far too late
+    sink.flush(df.schema)
+    got = {r.row_id: r.seq for r in spark.read.parquet(path).collect()}
+    assert got == {r.row_id: r.seq for r in datasets.sequences(df, ["v"], length=4).collect()}
+
+
 def test_traffic_counts_survive_batches(spark, tmp_path):
     df = spark.range(200).select(F.timestamp_seconds(F.col("id") / 10).alias("ts"), (F.col("id") % 3 == 0).alias("is_attack"))
     folder, path = str(tmp_path / "in"), str(tmp_path / "out")
