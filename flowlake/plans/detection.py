@@ -77,10 +77,25 @@ def ip_rule_match(spark, sf):
                           F.coalesce("rule_id", F.lit(-1)).alias("rule_id"))
 
 
-@query("ip_rule_match_long_list", cte("packets", "ip_rules") + f", {RANGES_SQL}, " + hit_sql("src_ip", "packets", "pkt_id") + """
-SELECT pkt_id, src_ip, coalesce(verdict, 'none') AS verdict, coalesce(rule_id, -1) AS rule_id FROM packets LEFT JOIN hit USING (pkt_id)""")
+# As many rules as there are orders, of both families and all lengths from /25 to /32, and packets of which some are IPv6.
+LONG_RULES = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN concat('2001:db8:', o_orderkey % 50, '::/48')
+ ELSE concat('10.', o_orderkey % 3, '.0.', (o_orderkey * 7919) % 256, '/', 25 + o_orderkey % 8) END AS cidr,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'blacklist' ELSE 'whitelist' END AS list_type FROM orders"""
+BOTH_FAMILIES = "SELECT pkt_id, CASE WHEN pkt_id % 11 = 0 THEN concat('2001:db8:', pkt_id % 60, '::1') ELSE src_ip END AS src_ip FROM packets"
+
+
+@query("ip_rule_match_long_list", cte("packets") + f""", long_rules AS ({LONG_RULES}), seen AS ({BOTH_FAMILIES}), ips AS (SELECT DISTINCT src_ip FROM seen),
+v4r AS (SELECT *, CAST(pow(2, 32 - CAST(split_part(cidr, '/', 2) AS INT)) AS BIGINT) AS size, {v4("split_part(cidr, '/', 1)")} AS low FROM long_rules WHERE id % 5 <> 0),
+hits AS (SELECT src_ip, id, list_type FROM (SELECT src_ip, {v4("src_ip")} AS n FROM ips WHERE src_ip NOT LIKE '%:%') i JOIN v4r ON n // size = low // size
+ UNION ALL SELECT src_ip, id, list_type FROM ips JOIN long_rules ON id % 5 = 0 AND src_ip LIKE '%:%' AND split_part(src_ip, ':', 3) = split_part(cidr, ':', 3)),
+hit AS (SELECT src_ip, arg_min(list_type, k) AS verdict, arg_min(id, k) AS rule_id FROM (
+ SELECT *, CASE WHEN list_type = 'blacklist' THEN 0 ELSE 1000000000000 END + id AS k FROM hits) q GROUP BY src_ip)
+SELECT pkt_id, src_ip, coalesce(verdict, 'none') AS verdict, coalesce(rule_id, -1) AS rule_id FROM seen LEFT JOIN hit USING (src_ip)""")
 def ip_rule_match_long_list(spark, sf):
-    matched = rules.match_rules(table(spark, sf, "packets"), "src_ip", active_rules(spark, sf))
+    """A long list of rules meets addresses of both families."""
+    many = spark.sql(LONG_RULES.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf}/orders.parquet"))
+    seen = spark.sql(BOTH_FAMILIES.replace("FROM packets", "FROM {packets}"), packets=table(spark, sf, "packets"))
+    matched = rules.match_rules(seen, "src_ip", many)
     return matched.select("pkt_id", "src_ip", F.coalesce("verdict", F.lit("none")).alias("verdict"),
                           F.coalesce("rule_id", F.lit(-1)).alias("rule_id"))
 
