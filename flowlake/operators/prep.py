@@ -35,16 +35,20 @@ def moments(df: DataFrame, columns: list[str], by: list[str] | None = None, logs
     """
     by = by or []
 
-    def figures(i: int, c: str) -> Column:
-        good = finite(q(c).cast("double"))
-        value = log_scale(good) if c in logs else good
-        return F.struct(F.lit(i).alias("ord"), F.lit(c).alias("feature"), F.lit(c in logs).alias("logged"), F.count("*").alias("rows"),
-                        F.count_if(F.abs(q(c).cast("double")) == INF).alias("inf"), F.count(good).alias("n"), F.max(good).alias("top"),
-                        F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"), F.min(value).alias("lo"),
-                        F.max(value).alias("hi")).alias(f"s{i}")
-
-    wide = df.groupBy(*by).agg(*[figures(i, c) for i, c in enumerate(columns)])
-    return wide.select(*by, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(columns))])))
+    good = {c: finite(q(c).cast("double")) for c in columns}
+    plain = df.select(*by, *[good[c].alias(f"__x{i}") for i, c in enumerate(columns)],
+                      *[log_scale(good[c]).alias(f"__v{i}") for i, c in enumerate(columns) if c in logs],
+                      *[(F.abs(q(c).cast("double")) == INF).alias(f"__i{i}") for i, c in enumerate(columns)])
+    aggs = [F.count("*").alias("rows")]
+    for i, c in enumerate(columns):
+        v = f"__v{i}" if c in logs else f"__x{i}"
+        aggs += [F.count_if(f"__i{i}").alias(f"inf{i}"), F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), F.var_pop(v).alias(f"var{i}"),
+                 F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), *([F.max(f"__x{i}").alias(f"top{i}")] if c in logs else [])]
+    wide = plain.groupBy(*by).agg(*aggs)
+    figures = [F.struct(F.lit(i).alias("ord"), F.lit(c).alias("feature"), F.lit(c in logs).alias("logged"), F.col("rows"), F.col(f"inf{i}").alias("inf"),
+                        F.col(f"n{i}").alias("n"), F.col(f"top{i}" if c in logs else f"hi{i}").alias("top"), F.col(f"mean{i}").alias("mean"),
+                        (F.col(f"var{i}") * F.col(f"n{i}")).alias("m2"), F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")) for i, c in enumerate(columns)]
+    return wide.select(*by, F.inline(F.array(*figures)))
 
 
 def merge_moments(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
