@@ -117,12 +117,13 @@ def stream_drift(spark, sf):
     return rounded(done.select(*by, "feature", "kl", "drifted"), 5).withColumn("kl", F.col("kl") + 0.0)
 
 
-def end_of_stream(df, at_us, folder):
+def end_of_stream(df, at_us, folder, passing=None):
     """Two more files with a row far ahead, of an address that nothing else has: the first moves the watermark past all
-    other rows, the second makes the batch in which that counts."""
+    other rows, the second makes the batch in which that counts.  ``passing`` are the values that no filter before the
+    watermark drops."""
     last = df.orderBy(F.desc(at_us)).limit(1).withColumns({
         at_us: F.col(at_us) + 86_400_000_000, "src_ip": F.lit("0.0.0.0"), "dst_ip": F.lit("0.0.0.0"),
-        "proto": F.lit(17).cast(df.schema["proto"].dataType)})
+        "proto": F.lit(17).cast(df.schema["proto"].dataType), **(passing or {})})
     for _ in range(2):
         last.coalesce(1).write.mode("append").parquet(folder)
 
@@ -132,9 +133,9 @@ def stream_l7(spark, sf):
     flows = flow_ends(table(spark, sf, "packets")).withColumn("l7_guess", l7.port_app_id(F.col("dst_port"), F.col("src_port"), F.col("proto")))
     flows, apps = settle(flows, "flow-ends"), settle(table(spark, sf, "app_flows"), "app-flows")
     streams = []
-    for df, at_us, key in ((flows, "end_us", "flow_id"), (apps, "ts_us", "flow_no")):
+    for df, at_us, key, passing in ((flows, "end_us", "flow_id", {}), (apps, "ts_us", "flow_no", {"is_guessed": F.lit(False)})):
         folder = arriving(spark, df, F.col(at_us), key)
-        end_of_stream(df, at_us, folder)
+        end_of_stream(df, at_us, folder, passing)
         streams.append(file_stream(spark, folder, "*.parquet", df.schema, max_files=1))
     answers = collected(resolve_apps_stream(*streams, "flow_id"))
     return flows.join(answers.select("flow_id", "cached_app"), "flow_id", "left").select(

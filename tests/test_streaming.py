@@ -1,6 +1,7 @@
 """Streams fed in several micro-batches against the batch operators."""
 
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from flowlake import fixed_values as fv
 from flowlake.operators import datasets, l7, nfv3_features, nfv3_segments
 from flowlake.plans import streams
+from flowlake.plans.derived import table
 from flowlake.streaming import alerts as sal
 from flowlake.streaming import flows as sfl
 from flowlake.streaming.apps import resolve_apps_stream
@@ -130,6 +132,18 @@ def test_stream_queries_over_many_batches_equal_their_sql(spark, name):
     assert_equals_sql(spark, name, SMALL)
 
 
+def test_stream_l7_when_the_newest_entry_is_a_guess(spark, tmp_path):
+    """The newest entry is dropped before the watermark; the end of the stream must still move it."""
+    ids = [8 * c + p for c in (4, 5, 6, 7, 27) for p in range(8)]  # conversation 27 has a guessed, unknown application
+    rows = [(i, datetime(2024, 1, 1), 1, "view", 1.0) for i in ids]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(1).write.parquet(f"{tmp_path}/orders.parquet")
+    newest = table(spark, str(tmp_path), "app_flows").orderBy(F.desc("ts_us")).first()
+    assert (newest.app_name, newest.is_guessed) == ("Unknown", True)
+    assert_equals_sql(spark, "stream_l7", tmp_path)
+    assert streams.stream_l7(spark, str(tmp_path)).where("cached_app > 0").count() > 0
+
+
 def test_app_cache_answers_as_of_the_event_for_any_arrival_order(spark, tmp_path):
     """Entries after the question, too old, of the other direction, guessed, and a question before any entry."""
     flow = "flow_id long, src_ip string, src_port long, dst_ip string, dst_port long, proto int, end_us long"
