@@ -5,7 +5,7 @@ Every sink writes a micro-batch under its batch id, so a batch that is run again
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +49,17 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str =
     return checkpoint
 
 
+def drain_parts(stream: DataFrame, each: Callable[[DataFrame, int], None], arrivals: Iterable[Callable[[], None]], mode: str = "append") -> None:
+    """Drain the stream after each of ``arrivals``, which add files to its folder; every run goes on from the last one's checkpoint.
+
+    So a part may be many files, written and read by many tasks, and its order does not hang on modification times.
+    """
+    checkpoint = None
+    for arrive in arrivals:
+        arrive()
+        checkpoint = drain(stream, each, mode, checkpoint)
+
+
 def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Parquet sink with one folder per batch."""
     def write(df: DataFrame, batch_id: int) -> None:
@@ -56,10 +67,10 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Drain the stream into a fresh sink; in update mode rows carry ``batch``, the later one is the valid one."""
+def collected(stream: DataFrame, arrivals: Iterable[Callable[[], None]], mode: str = "append") -> DataFrame:
+    """Drain the stream after each arrival into a fresh sink; in update mode rows carry ``batch``, the later one is the valid one."""
     path = new_path(stream.sparkSession, "stream-out")
-    drain(stream, batch_sink(path), mode)
+    drain_parts(stream, batch_sink(path), arrivals, mode)
     return stream.sparkSession.read.parquet(path)
 
 

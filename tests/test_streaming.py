@@ -132,6 +132,20 @@ def test_stream_queries_over_many_batches_equal_their_sql(spark, name):
     assert_equals_sql(spark, name, SMALL)
 
 
+def test_parts_of_a_stream_are_written_by_many_tasks(spark):
+    df = spark.range(0, 4000, 1, 4)
+    folder, arrivals = streams.arriving(spark, df, F.col("id") * 1_000_000, "id")
+    seen = []
+    for arrive in arrivals:
+        arrive()
+        held = spark.read.parquet(folder).withColumn("file", F.input_file_name())
+        seen.append((held.count(), held.select("file").distinct().count()))
+    sizes = [n - before for (n, _), (before, _) in zip(seen, [(0, 0), *seen])]
+    assert seen[-1][0] == 4000 and len(seen) == streams.BATCHES and all(600 < n < 720 for n in sizes)
+    assert seen[-1][1] > streams.BATCHES  # not one file, written by one task, each
+    assert spark.read.parquet(folder).exceptAll(df).isEmpty()
+
+
 def test_stream_l7_when_the_newest_entry_is_a_guess(spark, tmp_path):
     """The newest entry is dropped before the watermark; the end of the stream must still move it."""
     ids = [8 * c + p for c in (4, 5, 6, 7, 27) for p in range(8)]  # conversation 27 has a guessed, unknown application
