@@ -75,23 +75,34 @@ def partial_records(segmented: DataFrame, slot_s: int = 10) -> DataFrame:
     return pkts.groupBy(*flow, *ENDS, "slot").agg(*[e.alias(n) for n, e in aggs.items()])
 
 
-def gap_figures(slots: Column) -> dict[str, Column]:
-    """Least, most, mean and deviation (milliseconds) of one direction's gaps, from its slots in order of time.
+SPAN_FIELDS = ("first", "last", "n", "least", "most", "m2")
 
-    Between two slots lies one more gap.  All gaps add up to last minus first, so the mean is known at once, and squared
-    deviations follow from those inside the slots and the slots' own means.
+
+def merged_slots(slots: Column) -> Column:
+    """One direction's slots, in order of time, as one: a record of the same shape, so that slots merge in steps.
+
+    Between two slots lies one more gap.  All gaps of a slot add up to last minus first, so its mean is known at once, and squared
+    deviations follow from those inside both parts and the means' distances.  Each slot is visited once.
     """
-    n_slots = F.size(slots)
-    between = F.when(n_slots > 1, F.transform(F.sequence(F.lit(1), n_slots - 1), lambda i: F.get(slots, i)["first"] - F.get(slots, i - 1)["last"]))
-    between = F.coalesce(between, F.array().cast("array<bigint>"))
-    n = F.aggregate(slots, F.lit(0).cast("long"), lambda acc, x: acc + x["n"]) + F.size(between)
-    mean = (F.get(slots, n_slots - 1)["last"] - F.get(slots, F.lit(0))["first"]) / n
-    off = lambda value: (value - mean) * (value - mean)
-    inside = F.aggregate(F.filter(slots, lambda x: x["n"] > 0), F.lit(0.0), lambda acc, x: acc + x["m2"] + x["n"] * off((x["last"] - x["first"]) / x["n"]))
-    m2 = inside + F.aggregate(between, F.lit(0.0), lambda acc, g: acc + off(g))
-    figures = {"MIN": F.least(F.array_min(F.transform(slots, lambda x: x["least"])), F.array_min(between)),
-               "MAX": F.greatest(F.array_max(F.transform(slots, lambda x: x["most"])), F.array_max(between)),
-               "AVG": mean, "STDDEV": F.sqrt(m2 / n)}
+    kinds = "struct<first:bigint,last:bigint,n:bigint,least:bigint,most:bigint,m2:double>"
+    off = lambda value, mean: (value - mean) * (value - mean)
+    inside = lambda x, mean: F.coalesce(x["m2"] + x["n"] * off((x["last"] - x["first"]) / F.nullif(x["n"], F.lit(0)), mean), F.lit(0.0))
+
+    def add(a: Column, x: Column) -> Column:
+        gap, n = x["first"] - a["last"], a["n"] + x["n"] + 1
+        mean = (x["last"] - a["first"]) / n
+        return F.struct(a["first"].alias("first"), x["last"].alias("last"), n.alias("n"),
+                        F.least(a["least"], x["least"], gap).alias("least"), F.greatest(a["most"], x["most"], gap).alias("most"),
+                        (inside(a, mean) + inside(x, mean) + off(gap, mean)).alias("m2")).cast(kinds)
+
+    head = F.get(slots, F.lit(0)).cast(kinds)
+    return F.aggregate(F.slice(slots, 2, F.greatest(F.size(slots), F.lit(1))), head, add)
+
+
+def gap_figures(span: Column) -> dict[str, Column]:
+    """Least, most, mean and deviation (milliseconds) of one direction's gaps, from its merged slots."""
+    n = span["n"]
+    figures = {"MIN": span["least"], "MAX": span["most"], "AVG": (span["last"] - span["first"]) / n, "STDDEV": F.sqrt(span["m2"] / n)}
     return {name: F.when(n > 0, value / F.lit(1000.0)).otherwise(0.0) for name, value in figures.items()}
 
 
@@ -116,14 +127,14 @@ def nfv3_record(segmented: DataFrame, slot_s: int = 10) -> DataFrame:
         **{c: zero(F.max_by(c, f"{c}_at")) for c in ("DNS_QUERY_ID", "DNS_QUERY_TYPE", "DNS_TTL_ANSWER")},
     }
     for prefix in SIDES:
-        one = F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in ("first", "last", "n", "least", "most", "m2")])
+        one = F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in SPAN_FIELDS])
         aggs[f"{prefix}_slots"] = F.array_sort(F.collect_list(F.when(F.col(f"{prefix}_first").isNotNull(), one)))
     flows = parts.groupBy("flow_key", "flow_id", *ENDS).agg(*[e.alias(n) for n, e in aggs.items()])
+    flows = flows.withColumns({f"{prefix}_span": merged_slots(F.col(f"{prefix}_slots")) for prefix in SIDES})
     for prefix, column in zip(SIDES, ("DURATION_IN", "DURATION_OUT"), strict=True):
-        slots = F.col(f"{prefix}_slots")
-        span = F.get(slots, F.size(slots) - 1)["last"] - F.get(slots, F.lit(0))["first"]
-        flows = flows.withColumns({column: F.coalesce(span, F.lit(0)) / F.lit(1000.0),
-                                   **{f"{prefix}_IAT_{k}": v for k, v in gap_figures(slots).items()}})
+        span = F.col(f"{prefix}_span")
+        flows = flows.withColumns({column: F.coalesce(span["last"] - span["first"], F.lit(0)) / F.lit(1000.0),
+                                   **{f"{prefix}_IAT_{k}": v for k, v in gap_figures(span).items()}})
 
     took = F.col("t1") - F.col("t0")
     rate = lambda amount: F.when(took > 0, amount / (took / F.lit(1e6))).otherwise(0.0)

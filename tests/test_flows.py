@@ -1,6 +1,8 @@
 """Flow assembly: golden cases, and all ways of segmenting against a plain per-packet walk."""
 
 import random
+import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +153,19 @@ def test_one_shuffle_for_a_record(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_records_of_long_flows_take_time_in_proportion_to_their_slots(spark):
+    one = Capture().udp(1000).frame(spark).drop("pkt_id", "ts_us")
+    n, step = 24_000, 15_000_000  # a slot of its own for every packet; each third gap is a second longer
+    times = spark.range(n).select(F.col("id").alias("pkt_id"), (F.col("id") * step + F.floor((F.col("id") + 2) / 3) * 1_000_000).alias("ts_us"))
+    seg = nfv3_segments.segment_flows(times.crossJoin(one), nfv3_segments.CloseRules(active_s=1 << 31, inactive_s=1 << 31))
+    began = time.monotonic()
+    flow, = nfv3_features.nfv3_record(seg).collect()
+    assert time.monotonic() - began < 60  # with one pass over all slots per slot: several minutes
+    gaps = [15_000.0 + 1000 * (i % 3 == 0) for i in range(n - 1)]
+    assert flow.IN_PKTS == n and (flow.SRC_TO_DST_IAT_MIN, flow.SRC_TO_DST_IAT_MAX) == (15_000, 16_000)
+    assert flow.SRC_TO_DST_IAT_AVG == pytest.approx(statistics.fmean(gaps)) and flow.SRC_TO_DST_IAT_STDDEV == pytest.approx(statistics.pstdev(gaps))
+
+
 def test_idle_sessions_with_and_without_slots(spark):
     packets = random_capture(8).frame(spark)
     assert sorted(sessions.idle_sessions(packets).collect()) == sorted(sessions.idle_sessions(packets, hot_rows=0).collect())
