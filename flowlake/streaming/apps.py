@@ -13,6 +13,8 @@ from flowlake.operators.flow_keys import flow_keys
 from flowlake.operators.l7 import known_apps
 
 US_PER_MS = 1000
+HELD = ("entry_lo array<boolean>, entry_us array<bigint>, entry_no array<bigint>, entry_app array<int>, "
+        "ask_us array<bigint>, ask_id array<bigint>, ask_lo array<boolean>, wake bigint")
 
 
 class AppCache(StatefulProcessor):
@@ -29,26 +31,44 @@ class AppCache(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getMapState("entries", "from_lo boolean, ts_us long, flow_no long", "app_id int")
-        self.questions = handle.getMapState("questions", "ts_us long, id long", "from_lo boolean")
-
-    def wake_after(self, ts_us: int) -> None:
-        self.handle.registerTimer(ts_us // US_PER_MS + 1)
+        self.held = handle.getValueState("held", HELD)
+
+    def load(self) -> tuple[dict, dict, int | None]:
+        """Entries, questions and the next timer: all that is held of a key is one value, read and written once per call."""
+        held = self.held.get()
+        if held is None:
+            return {}, {}, None
+        entry_lo, entry_us, entry_no, entry_app, ask_us, ask_id, ask_lo, wake = held
+        return (dict(zip(zip(entry_lo, entry_us, entry_no), entry_app)), dict(zip(zip(ask_us, ask_id), ask_lo)), wake)
+
+    def save(self, entries: dict, questions: dict, wake: int | None) -> None:
+        """Hold what is left, and wake for the first question, or else when the first entry is too old."""
+        if not entries and not questions:
+            self.held.clear()
+            return
+        first = min(k[0] for k in questions) if questions else min(k[1] for k in entries) + self.max_age_us
+        due = first // US_PER_MS + 1
+        if wake is None or due < wake:
+            self.handle.registerTimer(due)
+            wake = due
+        self.held.update((*([k[i] for k in entries] for i in range(3)), list(entries.values()),
+                          *([k[i] for k in questions] for i in range(2)), list(questions.values()), wake))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        entries, questions, wake = self.load()
         for r in rows:
             if r.ask:
-                self.questions.updateValue((r.ts_us, r.id), (r.from_lo,))
-                self.wake_after(r.ts_us)
+                questions[r.ts_us, r.id] = r.from_lo
             else:
-                self.entries.updateValue((r.from_lo, r.ts_us, r.id), (r.app_id,))
-                self.wake_after(r.ts_us + self.max_age_us)
+                entries[r.from_lo, r.ts_us, r.id] = r.app_id
+        self.save(entries, questions, wake)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed_us = timerValues.getCurrentWatermarkInMs() * US_PER_MS
-        known = sorted((k[1], k[2], k[0], v[0]) for k, v in self.entries.iterator())
-        due = sorted((k[0], k[1], v[0]) for k, v in self.questions.iterator() if k[0] < passed_us)
+        entries, questions, wake = self.load()
+        known = sorted((k[1], k[2], k[0], v) for k, v in entries.items())
+        due = sorted((k[0], k[1], v) for k, v in questions.items() if k[0] < passed_us)
         out, newest, at = [], {}, 0  # newest entry of each direction up to the question in hand
         for ts_us, ask_id, from_lo in due:
             while at < len(known) and known[at][0] <= ts_us:
@@ -56,13 +76,15 @@ class AppCache(StatefulProcessor):
                 at += 1
             fresh = [newest[side][3] for side in (from_lo, not from_lo) if side in newest and ts_us - newest[side][0] <= self.max_age_us]
             out.append(Row(id=ask_id, cached_app=fresh[0] if fresh else None))
-            self.questions.removeKey((ts_us, ask_id))
+            del questions[ts_us, ask_id]
         seen = set()
         for ts_us, flow_no, from_lo, _ in reversed(known):
             if ts_us < passed_us and (from_lo in seen or ts_us + self.max_age_us < passed_us):
-                self.entries.removeKey((from_lo, ts_us, flow_no))
+                del entries[from_lo, ts_us, flow_no]
             elif ts_us < passed_us:
                 seen.add(from_lo)
+        left = wake if wake is not None and wake > expiredTimerInfo.getExpiryTimeInMs() else None
+        self.save(entries, questions, left)
         return iter(out)
 
     def close(self) -> None:

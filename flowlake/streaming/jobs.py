@@ -23,11 +23,15 @@ def file_stream(spark: SparkSession, folder: str, pattern: str, schema, max_file
 
 
 @contextmanager
-def state_settings(spark: SparkSession) -> Iterator[None]:
-    """Settings a stateful stream fixes at its first start: RocksDB state, one partition per core of the cluster."""
+def state_settings(spark: SparkSession, last: bool = True) -> Iterator[None]:
+    """Settings a stateful stream fixes at its first start: RocksDB state, one partition per core of the cluster.
+
+    Unless this is the ``last`` run, what a batch without rows would do by the new watermark is left to the next run's first batch.
+    """
     wanted = {"spark.sql.streaming.stateStore.providerClass":
               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-              "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+              "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+              "spark.sql.streaming.noDataMicroBatches.enabled": str(last).lower()}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -39,10 +43,10 @@ def state_settings(spark: SparkSession) -> Iterator[None]:
 
 
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append",
-          checkpoint: str | None = None) -> str:
+          checkpoint: str | None = None, last: bool = True) -> str:
     """Run the stream over all available input and stop; returns the checkpoint folder, to go on later."""
     checkpoint = checkpoint or new_path(stream.sparkSession, "stream-checkpoint")
-    with state_settings(stream.sparkSession):
+    with state_settings(stream.sparkSession, last):
         run = (stream.writeStream.foreachBatch(each).outputMode(mode).trigger(availableNow=True)
                .option("checkpointLocation", checkpoint).start())
         run.awaitTermination()
@@ -54,10 +58,10 @@ def drain_parts(stream: DataFrame, each: Callable[[DataFrame, int], None], arriv
 
     So a part may be many files, written and read by many tasks, and its order does not hang on modification times.
     """
-    checkpoint = None
-    for arrive in arrivals:
+    checkpoint, arrivals = None, list(arrivals)
+    for i, arrive in enumerate(arrivals, 1):
         arrive()
-        checkpoint = drain(stream, each, mode, checkpoint)
+        checkpoint = drain(stream, each, mode, checkpoint, last=i == len(arrivals))
 
 
 def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
