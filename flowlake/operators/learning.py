@@ -1,16 +1,23 @@
 """Models: forest, adaptation, MLP, linear probe, few-shot heads, anomaly score, federated rounds, importance.
 
-MLlib does the distributed fits.  Driver loops run over rounds only; what they hold is model parameters, never rows.
+MLlib does the distributed fits, but for the MLP's loss and gradient, which are numpy products in Spark tasks.  Driver loops
+run over rounds only; what they hold is model parameters, never rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +60,143 @@ def forest_scorer(model: PipelineModel):
     return score
 
 
+# ---- MLP ------------------------------------------------------------------------------------------------------
+
+def _unrolled(weights: np.ndarray, layers: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Views of MLlib's flat weights: each layer's matrix (inputs x outputs) and intercepts."""
+    views, at = [], 0
+    for n, m in pairwise(layers):
+        views.append((weights[at:at + n * m].reshape(n, m), weights[at + n * m:at + n * m + m]))
+        at += n * m + m
+    return views
+
+
+def cross_entropy(weights: np.ndarray, layers: list[int], x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss of some rows, each ``n`` times, summed, and its gradient: sigmoid layers below a softmax, as in MLlib."""
+    slope = np.empty_like(weights)
+    steps = [*zip(_unrolled(weights, layers), _unrolled(slope, layers), strict=True)]
+    outs = [x]
+    for (w, b), _ in steps:
+        outs.append(outs[-1] @ w + b)
+        if len(outs) < len(layers):
+            outs[-1] = 1 / (1 + np.exp(-np.clip(outs[-1], -80, 80)))
+    z = outs.pop()
+    z -= z.max(axis=1, keepdims=True)
+    delta, at = np.exp(z), np.arange(len(y))
+    total = delta.sum(axis=1, keepdims=True)
+    loss = float(((np.log(total[:, 0]) - z[at, y]) * n).sum(dtype=float))
+    delta /= total
+    delta[at, y] -= 1
+    delta *= n[:, None].astype(x.dtype)
+    for ((w, _), (dw, db)), h in zip(reversed(steps), reversed(outs), strict=True):
+        np.matmul(h.T, delta, out=dw)
+        db[:] = delta.sum(axis=0)
+        if h is not x:
+            delta = (delta @ w.T) * (h * (1 - h))
+    return loss, slope
+
+
+def mean_loss(rows: DataFrame, layers: list[int], block: int = 512, groups: int = 8) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """Mean loss and gradient over rows (x array<float>, y int, n long: how often) as a function of the weights; each call is one pass.
+
+    A task adds up its rows in blocks, products in single precision and sums in double; tasks' sums meet in ``groups``, so the
+    driver gets no more than these.
+    """
+    fields = "part int, n long, loss double, slope binary"
+
+    def at(weights: np.ndarray) -> tuple[float, np.ndarray]:
+        single = weights.astype(np.float32)
+
+        def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            all_n, loss, slope = 0, 0.0, np.zeros(len(single))
+            for batch in batches:
+                x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, layers[0])
+                y, n = (batch[c].to_numpy(zero_copy_only=False) for c in ("y", "n"))
+                all_n += int(n.sum())
+                for i in range(0, len(y), block):
+                    more, step = cross_entropy(single, layers, x[i:i + block], y[i:i + block], n[i:i + block])
+                    loss += more
+                    slope += step
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % groups], pa.int32()), "n": [all_n],
+                                              "loss": [loss], "slope": [slope.tobytes()]})
+
+        def together(parts: pa.Table) -> pa.Table:
+            slope = np.sum([np.frombuffer(s) for s in parts["slope"].to_pylist()], axis=0)
+            return pa.table({"part": parts["part"][:1], "n": [sum(parts["n"].to_pylist())], "loss": [sum(parts["loss"].to_pylist())],
+                             "slope": [slope.tobytes()]})
+
+        sums = rows.mapInArrow(of_task, fields).groupBy("part").applyInArrow(together, fields).collect()
+        n = sum(r.n for r in sums)
+        if not n:
+            raise ValueError("no rows to learn from")
+        return sum(r.loss for r in sums) / n, sum(np.frombuffer(r.slope) for r in sums) / n
+    return at
+
+
+def lbfgs(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, iterations: int, memory: int = 10,
+          tolerance: float = 1e-6) -> np.ndarray:
+    """Weights after at most ``iterations`` steps of L-BFGS; each step's length meets the Wolfe conditions."""
+    value, slope = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(iterations):
+        if not np.abs(slope).max() > 0:
+            break
+        way, shares = -slope, []
+        for s, g in reversed(past):
+            shares.append(s @ way / (s @ g))
+            way = way - shares[-1] * g
+        if past:
+            way = way * (past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1]))
+        for (s, g), share in zip(past, reversed(shares), strict=True):
+            way = way + (share - g @ way / (s @ g)) * s
+        fall, low, high = slope @ way, 0.0, np.inf
+        step = 1.0 if past else 1 / np.linalg.norm(slope)
+        for _ in range(20):
+            there, rise = loss(w + step * way)
+            if not there <= value + 1e-4 * step * fall:
+                high = step
+            elif rise @ way < 0.9 * fall:
+                low = step
+            else:
+                break
+            step = (low + high) / 2 if high < np.inf else 2 * step
+        if not there < value:
+            break
+        if (rise - slope) @ way > 0:
+            past = [*past, (step * way, rise - slope)][-memory:]
+        gain = value - there
+        w, value, slope = w + step * way, there, rise
+        if gain <= tolerance * max(abs(value), tolerance):
+            break
+    return w
+
+
 def fit_mlp(df: DataFrame, features: list[str], label: str, hidden: list[int] = (256, 128, 64), classes: int = 2,
             iterations: int = 50, seed: int = 42) -> PipelineModel:
+    """MLlib's network, from its first weights, over all rows.
+
+    Its own fit multiplies in the JVM, far below the speed of a core, and in as many tasks as the input has files; here each
+    pass over the rows is numpy in even Spark tasks, and the weights go back into MLlib's model.  Rows equal in all features
+    and the label are one row with a count, so the loss is that of all rows.
+    """
     layers = [len(features), *hidden, classes]
-    return _pipeline(features, label, MultilayerPerceptronClassifier(
-        layers=layers, maxIter=iterations, seed=seed, blockSize=512)).fit(df)
+    scaler = Pipeline(stages=_pipeline(features, label, MultilayerPerceptronClassifier()).getStages()[:-1]).fit(df)
+    y = F.col(label).cast("double")
+    known = F.when((y >= 0) & (y < classes) & (y == F.floor(y)), y.cast("int")).otherwise(F.raise_error(F.lit(f"{label} must be 0 to {classes - 1}")))
+    rows = scaler.transform(df).select(vector_to_array("scaled", "float32").alias("x"), known.alias("y"))
+    rows = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
+    rows = settle(rows.repartition(4 * df.sparkSession.sparkContext.defaultParallelism), "mlp-rows")
+
+    def network(weights: list[float] | None = None):
+        """MLlib's model with these weights, or its seeded first ones: a fit of no step."""
+        mlp = MultilayerPerceptronClassifier(layers=layers, maxIter=0, seed=seed, featuresCol="scaled", labelCol=label)
+        if weights is not None:
+            mlp.setInitialWeights(Vectors.dense(weights))
+        any_row = df.sparkSession.createDataFrame([(Vectors.dense([0.0] * len(features)), 0.0)], ["scaled", label])
+        return mlp.fit(any_row)
+
+    found = lbfgs(mean_loss(rows, layers), network().weights.toArray(), iterations)
+    return PipelineModel([*scaler.stages, network(found.tolist())])
 
 
 def fit_probe(df: DataFrame, features: list[str], label: str) -> PipelineModel:

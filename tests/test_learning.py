@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
 from flowlake.operators import learning, scoring
@@ -37,6 +38,43 @@ def test_probe_and_importance(rows):
     assert drop["x1"] > 0.2 > drop["x2"]
 
 
+def test_mlp_gradient_equals_differences_and_rows_are_spread(spark):
+    rng, layers = np.random.default_rng(3), [2, 4, 3, 2]
+    x, y, n = rng.normal(size=(50, 2)), rng.integers(0, 2, 50), rng.integers(1, 5, 50)
+    w = rng.normal(size=2 * 4 + 4 + 4 * 3 + 3 + 3 * 2 + 2)
+    loss, slope = learning.cross_entropy(w, layers, x, y, n)
+    again = learning.cross_entropy(w, layers, x.repeat(n, axis=0), y.repeat(n), np.ones(n.sum()))
+    assert np.isclose(loss, again[0]) and np.allclose(slope, again[1])
+    off = np.eye(len(w)) * 1e-6
+    near = [(learning.cross_entropy(w + e, layers, x, y, n)[0] - learning.cross_entropy(w - e, layers, x, y, n)[0]) / 2e-6 for e in off]
+    assert np.allclose(slope, near, atol=1e-5)
+    df = spark.createDataFrame([(a.tolist(), int(b), int(c)) for a, b, c in zip(x, y, n)], "x array<float>, y int, n long").repartition(13)
+    mean, way = learning.mean_loss(df, layers, block=3, groups=2)(w)  # blocks and groups smaller than tasks
+    assert np.isclose(mean, loss / n.sum(), rtol=1e-5) and np.allclose(way, slope / n.sum(), atol=1e-5)
+
+
+def test_mlp_fits_as_well_as_mllib_in_as_many_steps(spark, rows):
+    hidden, steps = [8, 4], 40
+    ours = learning.fit_mlp(rows.coalesce(1), ["x1", "x2"], "y", hidden, iterations=steps)
+    theirs = learning._pipeline(["x1", "x2"], "y", MultilayerPerceptronClassifier(
+        layers=[2, *hidden, 2], maxIter=steps, seed=42, blockSize=512)).fit(rows)
+    loss = lambda m: m.transform(rows).agg(F.avg(-F.log(F.when(F.col("y") == 1, learning.p_attack()).otherwise(1 - learning.p_attack())))).first()[0]
+    assert loss(ours) < loss(theirs) + 0.02 < 0.2
+    assert learning.model_metrics(ours.transform(rows), "y").first().accuracy > 0.95
+    with pytest.raises(Exception, match="y must be 0 to 1"):
+        learning.fit_mlp(rows.withColumn("y", F.lit(2)), ["x1", "x2"], "y", hidden)
+
+
+def test_mlp_products_run_in_even_tasks(spark, rows, monkeypatch):
+    """One pass of all rows per loss, in many tasks also when the input is one file; equal rows go as one with a count."""
+    seen = []
+    whole = learning.mean_loss
+    monkeypatch.setattr(learning, "mean_loss", lambda r, layers: seen.append(r) or whole(r, layers))
+    learning.fit_mlp(rows.union(rows.filter("row_id < 100")).coalesce(1), ["x1", "x2"], "y", [3], iterations=1)
+    assert seen[0].count() == rows.count() and seen[0].groupBy("n").count().orderBy("n").collect() == [(1, 500), (2, 100)]
+    assert seen[0].select(F.input_file_name()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
 def test_federated_rounds_equal_numpy(rows):
     got, history = learning.federated_rounds(rows, ["x1", "x2"], "y", rounds=2, local_steps=2, rate=0.5, mu=0.1)
     data = _data()
