@@ -27,13 +27,15 @@ BATCHES = 6
 def arriving(spark, df, at_us, key):
     """A folder, and what adds ``df`` to it in ``BATCHES`` parts, up to 20 seconds out of the order of ``at_us`` (microseconds).
 
-    One pass deals the rows to the parts; every part is as many files as tasks wrote it, and is added by as many."""
+    One pass deals the rows to the parts, spread by ``key``, as rows of one time lie together in the table; so every part is a
+    file of like size per core, and is added by as many tasks."""
     folder, dealt = new_path(spark, "arriving"), new_path(spark, "arriving-parts")
     spark.createDataFrame([], df.schema).write.parquet(folder)
     arrival = at_us + F.pmod(F.xxhash64(key), F.lit(20_000_000))
     lo, hi = df.agg(F.min(arrival), F.max(arrival) + 1).first()
     part = F.floor((arrival - F.lit(lo)) * BATCHES / F.lit(hi - lo)) if lo is not None else F.lit(None)
-    df.withColumn("__part", part.cast("int")).write.partitionBy("__part").parquet(dealt)
+    spread = df.withColumn("__part", part.cast("int")).repartition(spark.sparkContext.defaultParallelism, key)
+    spread.write.partitionBy("__part").parquet(dealt)
     parts = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType())])).parquet(dealt)
 
     def add(i):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowlake.operators.flow_keys import flow_keys
 from flowlake.operators.nfv3_features import nfv3_record
 from flowlake.operators.nfv3_segments import US, CloseRules, segment_flows
 from flowlake.session import settle
@@ -47,17 +48,21 @@ class FlowState:
 def closed_and_open(due: DataFrame, watermark_us: int | None, rules: CloseRules) -> tuple[DataFrame, DataFrame]:
     """Packets of flows that no later packet can change, and of those that may go on.
 
-    Of each key all flows but the newest are closed; so is the newest after a silence.  Without watermark all are.
+    Of each key all flows but the newest are closed; so is the newest after a silence.  Without watermark all are.  Only keys
+    heard of since can have an open flow, so these are segmented first, to find it; all packets are segmented once.
     """
     tagged = segment_flows(due, rules)
     if watermark_us is None:
         return tagged, tagged.where(F.lit(False))
-    ends = tagged.groupBy("flow_key", "flow_id").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
+    since = F.col("t1") + rules.inactive_s * US >= watermark_us
+    keyed = flow_keys(due)
+    live = settle(keyed.groupBy("flow_key").agg(F.max("ts_us").alias("t1")).where(since).select("flow_key"), "live-keys")
+    recent = settle(segment_flows(keyed.join(live, "flow_key", "left_semi"), rules), "live-packets")
+    ends = recent.groupBy("flow_key", "flow_id").agg(F.min("ts_us").alias("t0"), F.max("ts_us").alias("t1"))
     newest = F.row_number().over(Window.partitionBy("flow_key").orderBy(F.desc("t0"), F.desc("flow_id"))) == 1
-    going = settle(ends.withColumn("newest", newest).where("newest").where(
-        F.col("t1") + rules.inactive_s * US >= watermark_us).select("flow_key", "flow_id"), "open-flows")
+    going = settle(ends.withColumn("newest", newest).where("newest").where(since).select("flow_key", "flow_id"), "open-flows")
     keys = ["flow_key", "flow_id"]
-    return tagged.join(going, keys, "left_anti"), tagged.join(going, keys, "left_semi")
+    return tagged.join(going, keys, "left_anti"), recent.join(going, keys, "left_semi")
 
 
 def flow_sink(state: FlowState, path: str, rules: CloseRules = CloseRules(), late_s: int = 30):

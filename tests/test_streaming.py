@@ -66,6 +66,18 @@ def test_flows_close_by_watermark_and_late_packets_are_counted(spark, tmp_path):
     assert sfl.flush(state, path) == 1 and n_rows() == 2
 
 
+def test_a_batch_is_segmented_once_and_its_live_keys_are_found_first(spark, tmp_path, monkeypatch):
+    cap = Capture()
+    for i in range(20):  # all but the last one are over when the watermark comes
+        cap.udp(1000 + i, ("10.0.1.1", 2000 + i))
+    cap.udp(1059, ("10.0.1.1", 3000)).udp(1061, ("10.0.1.1", 3000)).udp(1066, ("10.0.1.1", 4000))
+    seen = []
+    monkeypatch.setattr(sfl, "segment_flows", lambda df, *a, **k: seen.append(df.count()) or nfv3_segments.segment_flows(df, *a, **k))
+    closed, going = sfl.closed_and_open(cap.frame(spark).where("ts_us <= 1061000000"), 1061_000_000, nfv3_segments.CloseRules())
+    assert sorted(seen) == [2, 22]
+    assert (closed.count(), going.count()) == (20, 2)
+
+
 def test_sequences_across_batches(spark, tmp_path):
     df = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 4 == 0).cast("string").alias("dataset"),
                                 (F.col("id") * 7 % 13).alias("v"))
@@ -146,6 +158,19 @@ def test_parts_of_a_stream_are_written_by_many_tasks(spark):
     assert spark.read.parquet(folder).exceptAll(df).isEmpty()
 
 
+def test_every_part_is_spread_over_the_cores(spark):
+    df = spark.range(0, 4000, 1, 4)  # in order of time, so a part lies in two tasks at most
+    folder, arrivals = streams.arriving(spark, df, F.col("id") * 1_000_000, "id")
+    files = lambda: {r[0]: r[1] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).count().collect()}
+    before = {}
+    for arrive in arrivals:
+        arrive()
+        now = files()
+        new = [n for f, n in now.items() if f not in before]
+        assert len(new) >= 3 and max(new) < 0.6 * sum(new)
+        before = now
+
+
 def test_stream_l7_when_the_newest_entry_is_a_guess(spark, tmp_path):
     """The newest entry is dropped before the watermark; the end of the stream must still move it."""
     ids = [8 * c + p for c in (4, 5, 6, 7, 27) for p in range(8)]  # conversation 27 has a guessed, unknown application
